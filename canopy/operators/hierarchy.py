@@ -119,6 +119,11 @@ def refresh_hierarchy_unsafe(df: DataFrame, id_col: str, parent_col: str, no_cyc
                              max_levels=max_levels, primary_key=primary_key)
 
 
+def _fresh(df: DataFrame, name: str) -> DataFrame:
+    """Re-alias every column so both sides of a self join get their own attribute ids."""
+    return df.select(*[F.col(f"`{c}`").alias(c) for c in df.columns]).alias(name)
+
+
 def _pred(connect_by: str) -> Column:
     return F.expr(connect_by.replace("<parent>", "h").replace("<child>", "t"))
 
@@ -169,8 +174,7 @@ def custom_hierarchy(df: DataFrame, primary_key: list[str], connect_by: str,
     frontier = level1
     level = 2
     while True:
-        h = frontier.alias("h")
-        step = h.join(df.alias("t"), _pred(connect_by), "inner").select(
+        step = _fresh(frontier, "h").join(_fresh(df, "t"), _pred(connect_by), "inner").select(
             "t.*", F.lit(level).alias("__level"),
             *[F.concat(F.col(f"h.__cbp_{f}"), F.lit(d), as_text(f)).alias(f"__cbp_{f}") for f, d in paths],
             *[F.col(f"h.__cbr_{r}").alias(f"__cbr_{r}") for r in roots])
@@ -187,7 +191,7 @@ def custom_hierarchy(df: DataFrame, primary_key: list[str], connect_by: str,
 
     if not leaf:
         return out.select(*src_cols, *extra)
-    parents = (out.alias("h").join(out.alias("t"), _pred(connect_by), "inner")
+    parents = (_fresh(out, "h").join(_fresh(out, "t"), _pred(connect_by), "inner")
                .select(*[F.col(f"h.{k}").alias(k) for k in primary_key]).distinct()
                .withColumn("__nonleaf", F.lit(True)))
     res = out.join(parents, primary_key, "left").withColumn("__chier_leaf", F.col("__nonleaf").isNull())

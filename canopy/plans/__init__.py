@@ -1,0 +1,12 @@
+"""Registered queries over the driver tables (one or more per operator ID of the survey)."""
+
+from canopy.plans.registry import ORACLE, QUERIES  # noqa: F401
+from canopy.plans import hier  # noqa: F401  (registers on import)
+
+
+def all_queries():
+    return dict(QUERIES)
+
+
+def all_oracles():
+    return dict(ORACLE)
