@@ -85,10 +85,15 @@ def _row_number_ranges(df: DataFrame, keys: list[str], order: list, out: str, pa
               .filter(key_struct.eqNullSafe(F.col("__first")) | key_struct.eqNullSafe(F.col("__last")))
               .groupBy("__pid", *keys).agg(F.max("__lrn").alias("__len")))
     w = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__off", F.coalesce(F.sum("__len").over(w), F.lit(0))).drop("__len")
-    joined = local.join(F.broadcast(offsets), _null_safe_on(local, offsets, ["__pid"] + key_names), "left")
-    rn = (F.col("__lrn") + F.coalesce(offsets["__off"], F.lit(0))).alias(out)
-    return joined.select(*[local[c] for c in df.columns], rn)
+    offsets = counts.select(
+        F.col("__pid").alias("__opid"), *[F.col(k).alias(f"__ok{i}") for i, k in enumerate(key_names)],
+        F.coalesce(F.sum("__len").over(w), F.lit(0)).alias("__off"))
+    cond = F.col("__pid") == F.col("__opid")
+    for i, k in enumerate(key_names):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__ok{i}"))
+    joined = local.join(F.broadcast(offsets), cond, "left")
+    rn = (F.col("__lrn") + F.coalesce(F.col("__off"), F.lit(0))).alias(out)
+    return joined.select(*df.columns, rn)
 
 
 def max_over(df: DataFrame, value: str, key: Column | str, out: str) -> DataFrame:
