@@ -99,7 +99,8 @@ def read_file_listing(spark: SparkSession, path: str, glob: str | None = None) -
 
 def read_table_list(spark: SparkSession, path: str) -> DataFrame:
     """S5. One table name per line, stripped; blank lines skipped."""
-    return spark.read.text(path).select(F.trim("value").alias("table_name")).filter(F.col("table_name") != "")
+    stripped = F.regexp_replace("value", r"^\s+|\s+$", "")
+    return spark.read.text(path).select(stripped.alias("table_name")).filter(F.col("table_name") != "")
 
 
 def connection_options(connections: DataFrame, connection_id: int) -> dict:
@@ -162,3 +163,17 @@ def load_like(spark: SparkSession, target_path: str, like: DataFrame, options: d
               fmt: str = "parquet") -> DataFrame:
     """L2. As L1, the target recreated with the schema of another table."""
     return load_from_source(spark, target_path, like.schema, options, fmt)
+
+
+def connection_urls(connections: DataFrame) -> DataFrame:
+    """S6, column form: ``(id, url, user)`` for every registry row (JDBC URL built per row)."""
+    kind = F.lower(F.col("type"))
+    db = F.coalesce(F.col("instance_name"), F.col("database_name"))
+    url = (F.when(kind == "oracle", F.concat(F.lit("jdbc:oracle:thin:@//"), F.col("server_name"), F.lit(":"),
+                                              F.col("port").cast("string"), F.lit("/"), db))
+           .when(kind.isin("postgres", "postgresql"),
+                 F.concat(F.lit("jdbc:postgresql://"), F.col("server_name"), F.lit(":"), F.col("port").cast("string"),
+                          F.lit("/"), F.col("database_name")))
+           .otherwise(F.concat(F.lit("jdbc:"), kind, F.lit("://"), F.col("server_name"), F.lit(":"),
+                               F.col("port").cast("string"), F.lit("/"), F.col("database_name"))))
+    return connections.select("id", url.alias("url"), F.col("user_name").alias("user"))
