@@ -119,6 +119,13 @@ def refresh_hierarchy_unsafe(df: DataFrame, id_col: str, parent_col: str, no_cyc
                              max_levels=max_levels, primary_key=primary_key)
 
 
+def _union_all(dfs: list[DataFrame]) -> DataFrame:
+    out = dfs[0]
+    for d in dfs[1:]:
+        out = out.unionByName(d)
+    return out
+
+
 def _fresh(df: DataFrame, name: str) -> DataFrame:
     """Re-alias every column so both sides of a self join get their own attribute ids."""
     return df.select(*[F.col(f"`{c}`").alias(c) for c in df.columns]).alias(name)
@@ -169,25 +176,26 @@ def custom_hierarchy(df: DataFrame, primary_key: list[str], connect_by: str,
         *[F.col(f"t.{r}").alias(f"__cbr_{r}") for r in roots])
     extra = ["__level"] + [f"__cbp_{f}" for f, _ in paths] + [f"__cbr_{r}" for r in roots]
 
-    level1 = cut_lineage(level1)
-    out = level1
-    frontier = level1
+    # each level is written once; the visited keys are the union of the written levels, so no level
+    # is rewritten and lineage stays one union of checkpointed scans
+    levels = [cut_lineage(level1)]
+    frontier = levels[0]
     level = 2
     while True:
+        visited = _union_all([lv.select(*primary_key) for lv in levels]).distinct()
         step = _fresh(frontier, "h").join(_fresh(df, "t"), _pred(connect_by), "inner").select(
             "t.*", F.lit(level).alias("__level"),
             *[F.concat(F.col(f"h.__cbp_{f}"), F.lit(d), as_text(f)).alias(f"__cbp_{f}") for f, d in paths],
             *[F.col(f"h.__cbr_{r}").alias(f"__cbr_{r}") for r in roots])
-        fresh = step.join(out.select(*primary_key).distinct(), primary_key, "left_anti") \
-            .select(*src_cols, *extra)
-        fresh = cut_lineage(fresh)
+        fresh = cut_lineage(step.join(visited, primary_key, "left_anti").select(*src_cols, *extra))
         if fresh.limit(1).count() == 0:
             break
         if level > max_levels:
             raise HierarchyError(f"hierarchy depth increased {max_levels} levels. Check it manually")
-        out = cut_lineage(out.unionByName(fresh))
+        levels.append(fresh)
         frontier = fresh
         level += 1
+    out = _union_all(levels)
 
     if not leaf:
         return out.select(*src_cols, *extra)
@@ -204,16 +212,17 @@ def subtree_nodes(df: DataFrame, id_col: str, parent_col: str, value) -> DataFra
     spark = df.sparkSession
     edges = df.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent")) \
         .filter(F.col("id").isNotNull() & F.col("parent").isNotNull())
-    seen = cut_lineage(spark.range(1).select(F.lit(value).cast(df.schema[id_col].dataType).alias("id")))
-    frontier = seen
+    start = cut_lineage(spark.range(1).select(F.lit(value).cast(df.schema[id_col].dataType).alias("id")))
+    levels, frontier = [start], start
     while True:
+        seen = _union_all(levels)
         nxt = (edges.join(frontier.withColumnRenamed("id", "parent"), "parent", "left_semi")
                .select("id").distinct()
                .join(seen, "id", "left_anti"))
         nxt = cut_lineage(nxt)
         if nxt.limit(1).count() == 0:
             return seen
-        seen = cut_lineage(seen.unionByName(nxt))
+        levels.append(nxt)
         frontier = nxt
 
 
