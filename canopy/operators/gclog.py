@@ -25,51 +25,67 @@ FIELDS = ["is_full", "gc_start", "young_gen_old_size_kb", "young_gen_new_size_kb
           "perm_gen_new_size_kb", "perm_gen_max_size_kb", "full_heap_old_size_kb", "full_heap_new_size_kb",
           "full_heap_max_size_kb", "gc_runtime_sec"]
 
-# group numbers per pattern: dt, tm, young (3), old (3), perm (3), heap (3), secs
-_GROUPS = {
-    "parallel": dict(dt=1, tm=2, young=3, old=None, heap=6, perm=None, secs=9),
-    "defnew": dict(dt=1, tm=2, young=3, old=None, heap=6, perm=None, secs=9),
-    "full": dict(dt=1, tm=2, young=3, old=6, heap=9, perm=12, secs=15),
+# One regex pass per line: the matching pattern rewrites the whole line into its groups in a fixed
+# slot order [date, time, young x3, old x3, perm x3, heap x3, secs], joined by _SEP (empty = missing).
+_SEP = "\u0001"
+_SLOTS = {
+    "parallel": [1, 2, 3, 4, 5, None, None, None, None, None, None, 6, 7, 8, 9],
+    "defnew": [1, 2, 3, 4, 5, None, None, None, None, None, None, 6, 7, 8, 9],
+    "full": [1, 2, 3, 4, 5, 6, 7, 8, 12, 13, 14, 9, 10, 11, 15],
 }
-_PATTERNS = {"parallel": YOUNG_PARALLEL, "defnew": YOUNG_DEFNEW, "full": FULL}
+_PATTERNS = {"full": FULL, "defnew": YOUNG_DEFNEW, "parallel": YOUNG_PARALLEL}
 
 
-def parse_gc_line(line) -> Column:
-    """GC1. The 15-field struct of a GC log line; a line matching no pattern gives all NULLs."""
-    line = F.col(line) if isinstance(line, str) else line
-    kind = (F.when(line.rlike(FULL), F.lit("full"))
-            .when(line.rlike(YOUNG_DEFNEW), F.lit("defnew"))
-            .when(line.rlike(YOUNG_PARALLEL), F.lit("parallel")))
-
-    def pick(field: str, offset: int = 0, cast: str = "int") -> Column:
-        expr = None
-        for name, groups in _GROUPS.items():
-            g = groups[field]
-            if g is None:
-                continue
-            val = F.regexp_extract(line, _PATTERNS[name], g + offset)
-            expr = (F.when(kind == name, val) if expr is None else expr.when(kind == name, val))
-        return expr.cast(cast) if cast != "string" else expr
-
-    start = F.concat(pick("dt", cast="string"), F.lit(" "), pick("tm", cast="string")).try_cast("timestamp_ntz")
+def _template(kind: str) -> str:
+    return _SEP.join("" if g is None else f"${g}" for g in _SLOTS[kind])
+
+
+def gc_kind(line: Column) -> Column:
+    kind = None
+    for name, pat in _PATTERNS.items():
+        kind = F.when(line.rlike(pat), F.lit(name)) if kind is None else kind.when(line.rlike(pat), F.lit(name))
+    return kind
+
+
+def gc_slots(line: Column, kind: Column) -> Column:
+    """The 15 text slots of a matched line (one ``regexp_replace`` for the matching pattern)."""
+    norm = None
+    for name, pat in _PATTERNS.items():
+        rep = F.regexp_replace(line, pat + r"[\s\S]*", _template(name))
+        norm = F.when(kind == name, rep) if norm is None else norm.when(kind == name, rep)
+    return F.split(norm, _SEP)
+
+
+def gc_struct(kind: Column, slots: Column) -> Column:
+    def slot(i: int, cast: str = "int") -> Column:
+        return F.nullif(F.get(slots, i), F.lit("")).cast(cast)
+    start = F.concat(F.get(slots, 0), F.lit(" "), F.get(slots, 1)).try_cast("timestamp_ntz")
+    names = FIELDS[2:14]
     return F.struct(
         F.when(kind == "full", 1).when(kind.isNotNull(), 0).cast("smallint").alias("is_full"),
         start.alias("gc_start"),
-        pick("young", 0).alias("young_gen_old_size_kb"), pick("young", 1).alias("young_gen_new_size_kb"),
-        pick("young", 2).alias("young_gen_max_size_kb"),
-        pick("old", 0).alias("old_gen_old_size_kb"), pick("old", 1).alias("old_gen_new_size_kb"),
-        pick("old", 2).alias("old_gen_max_size_kb"),
-        pick("perm", 0).alias("perm_gen_old_size_kb"), pick("perm", 1).alias("perm_gen_new_size_kb"),
-        pick("perm", 2).alias("perm_gen_max_size_kb"),
-        pick("heap", 0).alias("full_heap_old_size_kb"), pick("heap", 1).alias("full_heap_new_size_kb"),
-        pick("heap", 2).alias("full_heap_max_size_kb"),
-        pick("secs", cast="double").alias("gc_runtime_sec"))
+        *[slot(2 + k).alias(n) for k, n in enumerate(names[:3])],
+        *[slot(5 + k).alias(n) for k, n in enumerate(names[3:6])],
+        *[slot(8 + k).alias(n) for k, n in enumerate(names[6:9])],
+        *[slot(11 + k).alias(n) for k, n in enumerate(names[9:12])],
+        slot(14, "double").alias("gc_runtime_sec"))
+
+
+def parse_gc_line(line) -> Column:
+    """GC1. The 15-field struct of a GC log line; a line matching no pattern gives all NULLs."""
+    line = F.col(line) if isinstance(line, str) else line
+    kind = gc_kind(line)
+    return gc_struct(kind, gc_slots(line, kind))
 
 
 def gc_table(lines: DataFrame, line_col: str = "gclogline", segment_col: str = "gp_segment") -> DataFrame:
-    """GC2. ``(gp_segment, gclogline, <15 fields>)``; unmatched lines are kept with NULL fields."""
-    return lines.select(F.col(segment_col).alias("gp_segment"), F.col(line_col).alias("gclogline"),
-                        parse_gc_line(line_col).alias("g")).select("gp_segment", "gclogline", "g.*")
+    """GC2. ``(gp_segment, gclogline, <15 fields>)``; unmatched lines are kept with NULL fields.
+    The pattern test and the group extraction are separate projections, so each runs once per line."""
+    k = lines.select(F.col(segment_col).alias("gp_segment"), F.col(line_col).alias("gclogline"),
+                     gc_kind(F.col(line_col)).alias("__kind"))
+    s = k.select("gp_segment", "gclogline", "__kind", gc_slots(F.col("gclogline"), F.col("__kind")).alias("__slots"))
+    return s.select("gp_segment", "gclogline", gc_struct(F.col("__kind"), F.col("__slots")).alias("g")) \
+        .select("gp_segment", "gclogline", "g.*")
 
 
 def _micros(ts: Column) -> Column:
@@ -114,22 +130,36 @@ def gc_seconds_last_hour(gc: DataFrame, as_of: str) -> DataFrame:
 
 
 def gc_alerts(gc: DataFrame, as_of: str, pick: str = "last") -> DataFrame:
-    """GC7. The four rules as rows ``(gp_segment, rule, value, threshold, is_error)``."""
+    """GC7. The four rules as rows ``(gp_segment, rule, value, threshold, is_error)``.
+
+    Two passes over the parsed log: the interval rule needs the ordered full GCs (a window); the heap,
+    event and time rules come from one grouped aggregate whose row is unfolded into rule rows. A rule
+    row exists only where the reference query returns a row for that segment."""
     dec = "decimal(20,3)"
     iv = full_gc_intervals(gc).select(
         "gp_segment", F.lit("fullgc_interval").alias("rule"), F.col("full_gc_interval").cast(dec).alias("value"),
         (F.col("avg_full_gc_interval") / FULLGC_INTERVAL).cast(dec).alias("threshold"),
         F.coalesce(F.col("full_gc_interval") * FULLGC_INTERVAL < F.col("avg_full_gc_interval"), F.lit(False))
         .alias("is_error"))
-    heap = heap_after_full_gc(gc, pick).select(
-        "gp_segment", F.lit("fullgc_heap").alias("rule"), F.col("full_heap_new_size_kb").cast(dec).alias("value"),
-        (F.col("full_heap_max_size_kb") * FULLGC_HEAP_PERC / 100.0).cast(dec).alias("threshold"),
-        F.coalesce(F.col("full_heap_max_size_kb") * FULLGC_HEAP_PERC / 100.0 < F.col("full_heap_new_size_kb"),
-                   F.lit(False)).alias("is_error"))
-    ev = full_gc_count_last_hour(gc, as_of).select(
-        "gp_segment", F.lit("fullgc_events").alias("rule"), F.col("events").cast(dec).alias("value"),
-        F.lit(FULLGC_EVENTS).cast(dec).alias("threshold"), (F.col("events") > FULLGC_EVENTS).alias("is_error"))
-    tm = gc_seconds_last_hour(gc, as_of).select(
-        "gp_segment", F.lit("gc_time").alias("rule"), F.col("gc_total_runtime").cast(dec).alias("value"),
-        F.lit(GC_TIME_SEC).cast(dec).alias("threshold"), (F.col("gc_total_runtime") > GC_TIME_SEC).alias("is_error"))
-    return iv.unionByName(heap).unionByName(ev).unionByName(tm)
+    full = F.col("is_full") == 1
+    recent = _last_hour(as_of)
+    chooser = F.max_by if pick == "last" else F.min_by
+    per = gc.groupBy("gp_segment").agg(
+        F.count_if(full).alias("n_full"),
+        chooser(F.struct("full_heap_max_size_kb", "full_heap_new_size_kb"), F.when(full, F.col("gc_start"))).alias("h"),
+        F.count_if(full & recent).alias("events"),
+        F.count_if(recent).alias("n_recent"),
+        F.sum(F.when(recent, F.col("gc_runtime_sec").cast("decimal(18,5)"))).alias("secs"))
+    hmax, hnew = F.col("h.full_heap_max_size_kb"), F.col("h.full_heap_new_size_kb")
+    rule = lambda present, name, value, threshold, err: F.struct(
+        present.alias("present"), F.lit(name).alias("rule"), value.cast(dec).alias("value"),
+        threshold.cast(dec).alias("threshold"), err.alias("is_error"))
+    rules = F.array(
+        rule(F.col("n_full") > 0, "fullgc_heap", hnew, hmax * FULLGC_HEAP_PERC / 100.0,
+             F.coalesce(hmax * FULLGC_HEAP_PERC / 100.0 < hnew, F.lit(False))),
+        rule(F.col("events") > 0, "fullgc_events", F.col("events"), F.lit(FULLGC_EVENTS),
+             F.col("events") > FULLGC_EVENTS),
+        rule(F.col("n_recent") > 0, "gc_time", F.col("secs"), F.lit(GC_TIME_SEC), F.col("secs") > GC_TIME_SEC))
+    rest = (per.select("gp_segment", F.explode(rules).alias("r")).filter(F.col("r.present"))
+            .select("gp_segment", "r.rule", "r.value", "r.threshold", "r.is_error"))
+    return iv.unionByName(rest)

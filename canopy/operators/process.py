@@ -16,16 +16,20 @@ PS_PATTERN = (r"^([0-9]+)\s+[0-9]+\s+([0-9]+)\s+([0-9]+)\s+([0-9\.]+)\s+([0-9\.]
 PS_FIELDS = ["pid", "rss", "vsz", "mem", "cpu", "username", "database", "session_id", "segment", "command_id", "slice"]
 
 
+_SEP = "\u0001"
+
+
 def parse_ps_line(line) -> Column:
-    """M1. The 11 text fields of a ``ps`` line (NULL for skipped kinds and unmatched lines)."""
+    """M1. The 11 text fields of a ``ps`` line (NULL for skipped kinds and unmatched lines).
+    One regex pass rewrites a matching line into its groups; '' (a missing group) becomes NULL."""
     line = F.col(line) if isinstance(line, str) else line
     skipped = None
     for k in SKIPPED_KINDS:
         c = F.instr(line, k) > 0
         skipped = c if skipped is None else skipped | c
     ok = ~skipped & line.rlike(PS_PATTERN)
-    groups = [F.nullif(F.regexp_extract(line, PS_PATTERN, i), F.lit("")) for i in range(1, 12)]
-    return F.when(ok, F.array(*groups))
+    groups = F.split(F.regexp_replace(line, PS_PATTERN + r"[\s\S]*", _SEP.join(f"${i}" for i in range(1, 12))), _SEP)
+    return F.when(ok, F.transform(groups, lambda g: F.nullif(g, F.lit(""))))
 
 
 def mem_watcher_view(snapshots: DataFrame, read_time, segment_col: str = "segment_id",
