@@ -156,6 +156,8 @@ def regex_any(text: Column, patterns: list[str] = REGEX_PATTERNS) -> Column:
 
 def w11_regex_count(df: DataFrame, text_col: str, patterns: list[str] = REGEX_PATTERNS) -> DataFrame:
     """W11. ``count(*)`` of rows matching any of four regexes."""
+    from canopy.session import spread
+    df = spread(df.select(text_col))
     return df.agg(F.count_if(regex_any(F.col(text_col), patterns)).alias("matches"))
 
 

@@ -14,7 +14,8 @@ from canopy.operators import locks as Q
 from canopy.operators import process as M
 from canopy.operators import reports as B
 from canopy.plans.registry import query
-from canopy.sources.files import split_gc_lines, split_process_lines
+from canopy.session import scratch_path
+from canopy.sources.files import read_gc_log, read_process_snapshot
 from canopy.sources.tables import table
 
 AS_OF = "2024-01-15 12:00:00"
@@ -27,26 +28,30 @@ def gc_source_text(spark, sf_dir):
     """``value = '<gc line>|<segment>'`` as the GC log source would deliver it."""
     e = table(spark, sf_dir, "events")
     i = F.col("event_id")
-    s = lambda x: x.cast("string")
-    y, z = s(500 + i % 1000), s(i % 500)
-    o, p = s(6000 + i % 100), s(i % 5000)
-    h, n = s(6500 + i % 1000), s(i % 9000)
-    secs = s((F.col("value").cast("decimal(18,2)") * F.lit(0.001).cast("decimal(3,3)")).cast("decimal(18,5)"))
-    prefix = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+0000: "), s(i), F.lit(".5: "))
-    heap = F.concat(h, F.lit("K->"), n, F.lit("K(9000K)"))
-    full = F.concat(F.lit("[Full GC [PSYoungGen: "), y, F.lit("K->0K(2000K)] [PSOldGen: "), o, F.lit("K->"), p,
-                    F.lit("K(7000K)] "), heap, F.lit(" [PSPermGen: 90K->90K(210K)], "), secs, F.lit(" secs]"))
-    defnew = F.concat(F.lit("[GC "), s(i), F.lit(".5: [DefNew: "), y, F.lit("K->"), z, F.lit("K(2000K), 0.0100 secs] "),
-                      heap, F.lit(", "), secs, F.lit(" secs]"))
-    young = F.concat(F.lit("[GC [PSYoungGen: "), y, F.lit("K->"), z, F.lit("K(2000K)] "), heap, F.lit(", "), secs,
-                     F.lit(" secs]"))
-    body = (F.when(F.col("event_type") == "error", full).when(F.col("event_type") == "signup", defnew)
-            .when(F.col("event_type").isin("click", "purchase"), young).otherwise(F.lit("safepoint noise")))
-    return e.select(F.concat(prefix, body, F.lit("|"), s(F.col("user_id") % 4)).alias("value"))
+    y, z, o, p, h, n = 500 + i % 1000, i % 500, 6000 + i % 100, i % 5000, 6500 + i % 1000, i % 9000
+    secs = (F.col("value").cast("decimal(18,2)") * F.lit(0.001).cast("decimal(3,3)")).cast("decimal(18,5)") \
+        .cast("string")
+    head = F.format_string("%s+0000: %d.5: ", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), i)
+    full = F.format_string("[Full GC [PSYoungGen: %dK->0K(2000K)] [PSOldGen: %dK->%dK(7000K)] %dK->%dK(9000K) "
+                           "[PSPermGen: 90K->90K(210K)], %s secs]", y, o, p, h, n, secs)
+    defnew = F.format_string("[GC %d.5: [DefNew: %dK->%dK(2000K), 0.0100 secs] %dK->%dK(9000K), %s secs]",
+                             i, y, z, h, n, secs)
+    young = F.format_string("[GC [PSYoungGen: %dK->%dK(2000K)] %dK->%dK(9000K), %s secs]", y, z, h, n, secs)
+    t = F.col("event_type")
+    body = (F.when(t == "error", full).when(t == "signup", defnew).when(t.isin("click", "purchase"), young)
+            .otherwise(F.lit("safepoint noise")))
+    return e.select(F.concat(head, body, F.lit("|"), (F.col("user_id") % 4).cast("string")).alias("value"))
+
+
+def gc_log_files(spark, sf_dir) -> str:
+    """The GC log as text files in the scratch folder (what the log source reads on a cluster)."""
+    path = scratch_path(spark, "gclog")
+    gc_source_text(spark, sf_dir).write.text(path)
+    return path
 
 
 def gc_lines(spark, sf_dir):
-    return G.gc_table(split_gc_lines(gc_source_text(spark, sf_dir)))
+    return G.gc_table(read_gc_log(spark, gc_log_files(spark, sf_dir)))
 
 
 GC_CTE = """
@@ -104,12 +109,12 @@ GC_COLS = ", ".join(["gp_segment", "gclogline"] + G.FIELDS)
 
 @query("S2", GC_LAST + "SELECT gclogline, gp_segment FROM g")
 def s2(spark, sf_dir):
-    return split_gc_lines(gc_source_text(spark, sf_dir))
+    return read_gc_log(spark, gc_log_files(spark, sf_dir))
 
 
 @query("GC1", GC_LAST + "SELECT gclogline, " + ", ".join(G.FIELDS) + " FROM g")
 def gc1(spark, sf_dir):
-    lines = split_gc_lines(gc_source_text(spark, sf_dir))
+    lines = read_gc_log(spark, gc_log_files(spark, sf_dir))
     return lines.select("gclogline", G.parse_gc_line("gclogline").alias("g")).select("gclogline", "g.*")
 
 
@@ -167,21 +172,26 @@ def gc7(spark, sf_dir):
 def ps_source_text(spark, sf_dir):
     """``value = '<segment>|<ps line>'``; error rows are a background process, view rows start with a blank."""
     e = table(spark, sf_dir, "events")
-    i, u = F.col("event_id"), F.col("user_id").cast("string")
-    s = lambda x: x.cast("string")
-    head = F.concat(s(1000 + i), F.lit(" 1 "), s(10000 + (i * 37) % 50000), F.lit(" "), s(200000 + (i * 91) % 100000),
-                    F.lit(" 1.5 0.3 00:00:01 01:00 10:00 - S 3 postgres: port 40000, "))
-    work = F.concat(F.lit("u"), u, F.lit(" db1 10.0.0.1(5555) con"), u, F.lit(" seg"), s(i % 4), F.lit(" cmd"), s(i % 5),
-                    F.lit(" "), F.when(F.col("event_type") == "click", F.lit("")).otherwise(F.lit("slice1 ")),
-                    F.lit("SELECT"))
-    line = (F.when(F.col("event_type") == "error", F.concat(head, F.lit("stats collector process")))
-            .when(F.col("event_type") == "view", F.concat(F.lit(" "), head, work))
+    i, u, t = F.col("event_id"), F.col("user_id"), F.col("event_type")
+    head = F.format_string("%d 1 %d %d 1.5 0.3 00:00:01 01:00 10:00 - S 3 postgres: port 40000, ",
+                           1000 + i, 10000 + (i * 37) % 50000, 200000 + (i * 91) % 100000)
+    work = F.format_string("u%d db1 10.0.0.1(5555) con%d seg%d cmd%d %sSELECT", u, u, i % 4, i % 5,
+                           F.when(t == "click", F.lit("")).otherwise(F.lit("slice1 ")))
+    line = (F.when(t == "error", F.concat(head, F.lit("stats collector process")))
+            .when(t == "view", F.concat(F.lit(" "), head, work))
             .otherwise(F.concat(head, work)))
-    return e.select(F.concat(s(F.col("user_id") % 4), F.lit("|"), line).alias("value"))
+    return e.select(F.concat((u % 4).cast("string"), F.lit("|"), line).alias("value"))
+
+
+def ps_files(spark, sf_dir) -> str:
+    """Process snapshots as text files in the scratch folder."""
+    path = scratch_path(spark, "ps")
+    ps_source_text(spark, sf_dir).write.text(path)
+    return path
 
 
 def mem_rows(spark, sf_dir):
-    return M.mem_watcher_view(split_process_lines(ps_source_text(spark, sf_dir)), AS_OF)
+    return M.mem_watcher_view(read_process_snapshot(spark, ps_files(spark, sf_dir)), AS_OF)
 
 
 MEM_CTE = """
@@ -207,7 +217,7 @@ SELECT CAST(user_id % 4 AS VARCHAR) AS segment_id,
          AS command
 FROM events""")
 def s3(spark, sf_dir):
-    return split_process_lines(ps_source_text(spark, sf_dir))
+    return read_process_snapshot(spark, ps_files(spark, sf_dir))
 
 
 @query("M1", MEM_CTE + """
@@ -216,7 +226,7 @@ SELECT CAST(pid AS VARCHAR) AS pid, CAST(rss AS VARCHAR) AS rss, CAST(vsz AS VAR
        CAST(command_id AS VARCHAR) AS command_id, slice
 FROM m""")
 def m1(spark, sf_dir):
-    src = split_process_lines(ps_source_text(spark, sf_dir))
+    src = read_process_snapshot(spark, ps_files(spark, sf_dir))
     ps = src.select(M.parse_ps_line("command").alias("ps")).filter(F.col("ps").isNotNull())
     return ps.select(*[F.get("ps", k).alias(name) for k, name in enumerate(M.PS_FIELDS)])
 
