@@ -18,6 +18,7 @@ from canopy.session import cut_lineage
 
 HIER_DEPTH_LIMIT = 100        # levels of H1 / H9 (a path may hold limit + 1 elements)
 SUBTREE_ARRAY_LIMIT = 100000  # H11 array form
+FRONTIER_BROADCAST_ROWS = 1_000_000  # a counted frontier up to this size is broadcast to the base table
 
 
 class HierarchyError(RuntimeError):
@@ -131,6 +132,12 @@ def _fresh(df: DataFrame, name: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(c) for c in df.columns]).alias(name)
 
 
+def _frontier_side(frontier: DataFrame, rows: int) -> DataFrame:
+    """Broadcast the frontier when its counted size is small, so the base table is only streamed;
+    otherwise leave the choice to the planner (shuffle join)."""
+    return F.broadcast(frontier) if rows <= FRONTIER_BROADCAST_ROWS else frontier
+
+
 def _pred(connect_by: str) -> Column:
     return F.expr(connect_by.replace("<parent>", "h").replace("<child>", "t"))
 
@@ -179,21 +186,23 @@ def custom_hierarchy(df: DataFrame, primary_key: list[str], connect_by: str,
     # each level is written once; the visited keys are the union of the written levels, so no level
     # is rewritten and lineage stays one union of checkpointed scans
     levels = [cut_lineage(level1)]
-    frontier = levels[0]
+    frontier, frontier_rows = levels[0], levels[0].count()
     level = 2
     while True:
-        visited = _union_all([lv.select(*primary_key) for lv in levels]).distinct()
-        step = _fresh(frontier, "h").join(_fresh(df, "t"), _pred(connect_by), "inner").select(
+        # left_anti needs no distinct on the visited keys
+        visited = _union_all([lv.select(*primary_key) for lv in levels])
+        step = _frontier_side(_fresh(frontier, "h"), frontier_rows).join(_fresh(df, "t"), _pred(connect_by), "inner").select(
             "t.*", F.lit(level).alias("__level"),
             *[F.concat(F.col(f"h.__cbp_{f}"), F.lit(d), as_text(f)).alias(f"__cbp_{f}") for f, d in paths],
             *[F.col(f"h.__cbr_{r}").alias(f"__cbr_{r}") for r in roots])
         fresh = cut_lineage(step.join(visited, primary_key, "left_anti").select(*src_cols, *extra))
-        if fresh.limit(1).count() == 0:
+        fresh_rows = fresh.count()  # cheap: reads the checkpoint
+        if fresh_rows == 0:
             break
         if level > max_levels:
             raise HierarchyError(f"hierarchy depth increased {max_levels} levels. Check it manually")
         levels.append(fresh)
-        frontier = fresh
+        frontier, frontier_rows = fresh, fresh_rows
         level += 1
     out = _union_all(levels)
 
@@ -213,17 +222,18 @@ def subtree_nodes(df: DataFrame, id_col: str, parent_col: str, value) -> DataFra
     edges = df.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent")) \
         .filter(F.col("id").isNotNull() & F.col("parent").isNotNull())
     start = cut_lineage(spark.range(1).select(F.lit(value).cast(df.schema[id_col].dataType).alias("id")))
-    levels, frontier = [start], start
+    levels, frontier, frontier_rows = [start], start, 1
     while True:
         seen = _union_all(levels)
-        nxt = (edges.join(frontier.withColumnRenamed("id", "parent"), "parent", "left_semi")
+        nxt = (edges.join(_frontier_side(frontier.withColumnRenamed("id", "parent"), frontier_rows), "parent", "left_semi")
                .select("id").distinct()
                .join(seen, "id", "left_anti"))
         nxt = cut_lineage(nxt)
-        if nxt.limit(1).count() == 0:
+        nxt_rows = nxt.count()
+        if nxt_rows == 0:
             return seen
         levels.append(nxt)
-        frontier = nxt
+        frontier, frontier_rows = nxt, nxt_rows
 
 
 def subtree(df: DataFrame, id_col: str, parent_col: str, value, limit: int = SUBTREE_ARRAY_LIMIT) -> DataFrame:

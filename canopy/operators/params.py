@@ -51,6 +51,14 @@ class Params:
         self.spark.sql(f"DECLARE OR REPLACE VARIABLE {name} {_KIND_TYPE[kind]} DEFAULT {_sql_literal(value, kind)}")
         self._kinds[name] = kind
 
+    def set_from_query(self, name: str, scalar_sql: str, kind: str = "v") -> None:
+        """P1 with a computed value: ``SET VAR name = (scalar query)``; the query runs on the cluster and
+        only its single value becomes the parameter."""
+        name = self._check(name)
+        self.spark.sql(f"DECLARE OR REPLACE VARIABLE {name} {_KIND_TYPE[kind]}")
+        self.spark.sql(f"SET VAR {name} = CAST(({scalar_sql}) AS {_KIND_TYPE[kind]})")
+        self._kinds[name] = kind
+
     def setparamv(self, name, value):
         self.set(name, value, "v")
 

@@ -65,6 +65,19 @@ def p1(spark, sf_dir):
         .agg(F.count(F.lit(1)).alias("cnt"))
 
 
+@query("P3", """
+SELECT 'last_order -> ' || CAST(max(o_orderdate) AS VARCHAR) AS entry FROM orders
+UNION ALL
+SELECT 'max_price -> ' || CAST(CAST(max(l_extendedprice) AS DECIMAL(38, 10)) AS VARCHAR) FROM lineitem""")
+def p3(spark, sf_dir):
+    p = Params(spark)
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("canopy_p3_lineitem")
+    table(spark, sf_dir, "orders").createOrReplaceTempView("canopy_p3_orders")
+    p.set_from_query("max_price", "SELECT max(l_extendedprice) FROM canopy_p3_lineitem", "n")
+    p.set_from_query("last_order", "SELECT max(o_orderdate) FROM canopy_p3_orders", "t")
+    return p.listentries()
+
+
 P2_SQL = """
 SELECT n_nationkey, 'test' || n_regionkey AS pname,
        CASE n_regionkey WHEN 0 THEN 'aaa' WHEN 1 THEN 'bbb' WHEN 2 THEN 'ccc' WHEN 3 THEN 'ddd' END AS pvalue
