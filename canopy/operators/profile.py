@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 # Schemas never profiled.
 SYSTEM_SCHEMAS = ["pg_catalog", "pg_toast", "information_schema", "gp_toolkit", "madlib", "pg_aoseg"]
 TABLE_STORAGE = ["h", "a", "c"]
+TOPK_BUCKETS = 512
 
 SNAPSHOT_SCHEMA = "tablename string, ischeckdistkey smallint, rowcount bigint, distkeycount bigint"
 
@@ -109,55 +110,59 @@ def snapshot_diff(first: DataFrame, second: DataFrame) -> DataFrame:
         F.col("m1.distkeycount").alias("dist_keys_before"), F.col("m2.distkeycount").alias("dist_keys_after"))
 
 
-def column_stats(df: DataFrame, columns: list[str] | None = None, exact: bool = False, mcv: int = 10,
-                 buckets: int = 10, rsd: float = 0.02) -> DataFrame:
-    """C6. Per column: null fraction, average width (bytes of the text form), NDV (approximate unless
-    ``exact``), the ``mcv`` most common values with their frequencies, and histogram bounds of
-    numeric columns. Scalar statistics come from one aggregate pass; the common values from one
-    grouped count over a (column, value) long form, ranked per column."""
+def column_stats(df: DataFrame, columns: list[str] | None = None, mcv: int = 10, buckets: int = 10) -> DataFrame:
+    """C6. Per column: null fraction, average width (bytes of the text form of non-NULL values), number
+    of distinct values, the ``mcv`` most common values with their frequencies, and histogram bounds of
+    numeric columns.
+
+    One grouped count over the (column, value) long form gives all but the histograms: it is combined
+    map-side, so each task ships one row per distinct (column, value) it saw, and the per-column
+    figures are sums over those counts (the NDV is therefore exact). Histogram bounds come from one
+    ``percentile_approx`` pass over the typed numeric columns."""
+    from canopy.session import spread
     cols = columns or df.columns
-    total = F.count(F.lit(1))
-    aggs = [total.alias("__n")]
-    for i, c in enumerate(cols):
-        col = F.col(f"`{c}`")
-        aggs += [F.count_if(col.isNull()).alias(f"nn{i}"),
-                 F.avg(F.octet_length(col.cast("string"))).alias(f"w{i}"),
-                 (F.countDistinct(col) if exact else F.approx_count_distinct(col, rsd)).alias(f"d{i}")]
-    scalars = df.agg(*aggs)
-    numeric = {f.name for f in df.schema.fields if f.dataType.typeName() in
-               ("integer", "long", "short", "byte", "double", "float", "decimal")}
-    percs = [k / buckets for k in range(buckets + 1)]
-    hist_aggs = [F.percentile_approx(F.col(f"`{c}`").cast("double"), percs, 10000).alias(f"h{i}")
-                 for i, c in enumerate(cols) if c in numeric]
-    hist = df.agg(*hist_aggs) if hist_aggs else None
-    rows = []
-    for i, c in enumerate(cols):
-        hcol = F.col(f"h{i}") if c in numeric else F.lit(None).cast("array<double>")
-        rows.append(F.struct(F.lit(c).alias("column_name"),
-                             (F.col(f"nn{i}") / F.col("__n")).alias("null_frac"),
-                             F.col(f"w{i}").alias("avg_width"),
-                             F.col(f"d{i}").cast("bigint").alias("n_distinct"),
-                             hcol.alias("histogram_bounds")))
-    base = scalars.crossJoin(hist) if hist is not None else scalars
-    per_col = base.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
-    common = most_common_values(df, cols, mcv)
-    return per_col.join(common, "column_name", "left")
-
-
-def most_common_values(df: DataFrame, cols: list[str], k: int) -> DataFrame:
-    """Top ``k`` values per column by frequency (ties by value text) as arrays."""
+    df = spread(df.select(*[F.col(f"`{c}`") for c in cols]))
     long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value"))
-        for c in cols])).alias("kv")).select("kv.*").filter(F.col("value").isNotNull())
-    counts = long.groupBy("column_name", "value").count()
-    total = df.count()
-    w = Window.partitionBy("column_name").orderBy(F.desc("count"), F.asc("value"))
-    top = counts.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k)
-    return top.groupBy("column_name").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("__r", "value", "count"))),
-                    lambda s: s["value"]).alias("most_common_vals"),
-        F.transform(F.array_sort(F.collect_list(F.struct("__r", "value", "count"))),
-                    lambda s: s["count"] / F.lit(total)).alias("most_common_freqs"))
+        F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in cols]))
+        .alias("kv")).select("kv.*")
+    counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    nn = F.col("value").isNotNull()
+    per_col = counts.groupBy("column_name").agg(
+        F.sum("n").alias("__rows"),
+        F.sum(F.when(~nn, F.col("n"))).alias("__nulls"),
+        F.sum(F.when(nn, F.col("n") * F.octet_length("value"))).alias("__bytes"),
+        F.count_if(nn).alias("n_distinct"))
+    per_col = per_col.select(
+        "column_name",
+        (F.coalesce(F.col("__nulls"), F.lit(0)) / F.col("__rows")).alias("null_frac"),
+        (F.col("__bytes") / (F.col("__rows") - F.coalesce(F.col("__nulls"), F.lit(0)))).alias("avg_width"),
+        F.col("n_distinct").cast("bigint").alias("n_distinct"), "__rows")
+    # exact top-k in two steps: top-k per (column, hash bucket of the value), then per column over at most
+    # TOPK_BUCKETS * mcv candidates, so a column with billions of distinct values never sits in one task
+    order = [F.desc("n"), F.asc("value")]
+    bucket = F.pmod(F.xxhash64("value"), F.lit(TOPK_BUCKETS))
+    local = (counts.filter(nn)
+             .withColumn("__r", F.row_number().over(Window.partitionBy("column_name", bucket).orderBy(*order)))
+             .filter(F.col("__r") <= mcv).drop("__r"))
+    w = Window.partitionBy("column_name").orderBy(*order)
+    top = (local.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= mcv)
+           .groupBy("column_name").agg(F.array_sort(F.collect_list(F.struct("__r", "value", "n"))).alias("__top")))
+    out = per_col.join(top, "column_name", "left").select(
+        "column_name", "null_frac", "avg_width", "n_distinct",
+        F.transform("__top", lambda t: t["value"]).alias("most_common_vals"),
+        F.transform("__top", lambda t: t["n"] / F.col("__rows")).alias("most_common_freqs"))
+    numeric = [c for c in cols if df.schema[c].dataType.typeName() in
+               ("integer", "long", "short", "byte", "double", "float", "decimal")]
+    percs = [k / buckets for k in range(buckets + 1)]
+    if numeric:
+        hist = df.agg(F.array(*[F.struct(F.lit(c).alias("column_name"),
+                                         F.percentile_approx(F.col(f"`{c}`").cast("double"), percs, 10000)
+                                         .alias("histogram_bounds")) for c in numeric]).alias("h")) \
+            .select(F.explode("h").alias("h")).select("h.*")
+        out = out.join(hist, "column_name", "left")
+    else:
+        out = out.withColumn("histogram_bounds", F.lit(None).cast("array<double>"))
+    return out
 
 
 def orphan_schema_drops(schemas: DataFrame, sessions: DataFrame, name_col: str = "nspname",

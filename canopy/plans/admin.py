@@ -159,7 +159,7 @@ SELECT '{c}' AS column_name,
 FROM lineitem""" for c in C6_COLS))
 def c6(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    st = C.column_stats(li, C6_COLS, exact=True, mcv=3)
+    st = C.column_stats(li, C6_COLS, mcv=3)
     return st.select("column_name", F.col("null_frac").cast("double").alias("null_frac"),
                      F.col("avg_width").cast("decimal(12,4)").alias("avg_width"), "n_distinct",
                      F.array_join("most_common_vals", ",").alias("top3"))
