@@ -20,16 +20,27 @@ def _seconds_since(as_of: str, ts: Column) -> Column:
 
 
 def locks_all(locks: DataFrame, activity: DataFrame, relations: DataFrame, schemas: DataFrame) -> DataFrame:
-    """Q1. Locks FULL JOIN activity, LEFT JOIN relation and schema; ordered by session, pid, schema, relation."""
+    """Q1. Locks FULL JOIN activity, LEFT JOIN relation and schema; ordered by session, pid, schema, relation.
+
+    The full join is written as locks LEFT JOIN activity plus the activity rows of sessions without
+    locks (anti join on the distinct lock sessions): a session holding a third of all locks is then a
+    skewed key of a left join, which adaptive execution splits; a full outer join it would not."""
     l, a = locks.alias("l"), activity.alias("a")
     c = relations.select(F.col("oid").alias("c_oid"), "relname", "relnamespace")
     n = schemas.select(F.col("oid").alias("n_oid"), "nspname")
-    j = (l.join(a, F.col("l.mppsessionid") == F.col("a.sess_id"), "full")
-         .join(c, F.col("l.relation") == F.col("c_oid"), "left")
+    with_activity = l.join(a, F.col("l.mppsessionid") == F.col("a.sess_id"), "left")
+    lock_sessions = locks.select(F.col("mppsessionid").alias("__s")).filter(F.col("__s").isNotNull()).distinct()
+    idle = activity.join(lock_sessions, activity["sess_id"] == lock_sessions["__s"], "left_anti")
+    no_locks = idle.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in locks.schema.fields],
+                           *[F.col(f.name) for f in activity.schema.fields]).alias("x")
+    both = with_activity.select(*[F.col(f"l.{f.name}") for f in locks.schema.fields],
+                                *[F.col(f"a.{f.name}") for f in activity.schema.fields]).unionByName(no_locks)
+    both = both.alias("l")
+    j = (both.join(c, F.col("l.relation") == F.col("c_oid"), "left")
          .join(n, F.col("relnamespace") == F.col("n_oid"), "left"))
-    return j.select("nspname", "relname", "l.locktype", "l.transactionid", "l.pid", "l.mppsessionid", "l.mode",
-                    "l.granted", "a.usename", "a.query_start", "a.backend_start", "a.client_addr",
-                    query_short(F.col("a.current_query")).alias("query_short"), "a.current_query") \
+    return j.select("nspname", "relname", "locktype", "transactionid", "pid", "mppsessionid", "mode",
+                    "granted", "usename", "query_start", "backend_start", "client_addr",
+                    query_short(F.col("current_query")).alias("query_short"), "current_query") \
         .orderBy("mppsessionid", "pid", "nspname", "relname")
 
 

@@ -45,8 +45,8 @@ def snapshot(tables: dict[str, DataFrame], keys: dict[str, list[str]] | None = N
         flag = 1 if name in check else 0
         cnt = df.agg(F.count(F.lit(1)).alias("rowcount"))
         if flag and keys.get(name):
-            ndv = key_ndv(df, keys[name])
-            row = cnt.crossJoin(ndv)  # two one-row aggregates
+            ndv = key_ndv(df, keys[name]).scalar()  # a scalar subquery next to the count
+            row = cnt.select("rowcount", ndv.alias("distkeycount"))
         else:
             row = cnt.withColumn("distkeycount", F.lit(None).cast("bigint"))
         parts.append(row.select(F.lit(name).alias("tablename"), F.lit(flag).cast("smallint").alias("ischeckdistkey"),

@@ -35,23 +35,23 @@ def test_tables(spark: SparkSession, n: int, partitions: int | None = None) -> t
 def multiply_rows(df: DataFrame, shift_from: DataFrame | None = None, a: str = "a", b: str = "b",
                   rebuild: dict | None = None) -> DataFrame:
     """D8. Append the rows shifted by the current maxima of a and b (of ``shift_from``, default ``df``).
-    The maxima are one-row aggregates, so the cross join is with a scalar row. ``rebuild`` maps
-    column name -> function(new_a) recomputing dependent columns of the appended copy."""
+    The maxima are scalar subqueries (one aggregate each, evaluated on the cluster), not a cross join.
+    ``rebuild`` maps column name -> function(new_a) recomputing dependent columns of the appended copy."""
     src = shift_from if shift_from is not None else df
-    mx = src.agg(F.max(a).alias("__ma"), F.max(b).alias("__mb"))
-    shifted = df.crossJoin(mx)
-    new_a = F.col(a) + F.col("__ma")
+    max_a = src.select(F.max(a)).scalar()
+    max_b = src.select(F.max(b)).scalar()
+    new_a = F.col(a) + max_a
     cols = []
     for c in df.columns:
         if c == a:
             cols.append(new_a.alias(a))
         elif c == b:
-            cols.append((F.col(b) + F.col("__mb")).alias(b))
+            cols.append((F.col(b) + max_b).alias(b))
         elif rebuild and c in rebuild:
             cols.append(rebuild[c](new_a).alias(c))
         else:
             cols.append(F.col(c))
-    return df.unionByName(shifted.select(*cols))
+    return df.unionByName(df.select(*cols))
 
 
 def _pair(t1: DataFrame, t2: DataFrame, cond) -> DataFrame:
