@@ -82,14 +82,20 @@ def node_paths(edges: DataFrame, max_levels: int = HIER_DEPTH_LIMIT, no_cycle: i
 
 def refresh_hierarchy(df: DataFrame, id_col: str, parent_col: str, no_cycle: int = 0,
                       hierarchy_number: int | None = None, max_levels: int = HIER_DEPTH_LIMIT,
-                      primary_key: list[str] | None = None) -> DataFrame:
+                      primary_key: list[str] | None = None, id_type: str | None = None,
+                      index_level: int | None = None) -> DataFrame:
     """H1 (H2 with ``max_levels``). Returns ``df`` with ``__hier`` (root-first path) and ``__hier_leaf``.
 
     Rules kept: parent 0 counts as NULL; the path starts at the id, or at the parent when the id
     is 0/NULL; a self-loop is a root; a dangling parent is the root of its chain; duplicate ids
     take the smallest parent; leaf = no child row, or a child row whose id is NULL.
     ``primary_key`` is accepted for API parity: rows are rebuilt, not updated, so it is not needed.
+    ``id_type`` (e.g. ``'bigint'``) casts id and parent, and so the path elements, to that type.
+    ``index_level`` was a physical hint (reorganise and index at that level); here every doubling
+    round is checkpointed instead, so it has no effect.
     """
+    if id_type:
+        df = df.withColumn(id_col, F.col(id_col).cast(id_type)).withColumn(parent_col, F.col(parent_col).cast(id_type))
     hier, leaf = _hier_names(hierarchy_number)
     rid, rpar = F.col(id_col), F.col(parent_col)
     parent = F.when(rpar != 0, rpar)
@@ -114,10 +120,11 @@ def refresh_hierarchy(df: DataFrame, id_col: str, parent_col: str, no_cycle: int
 
 
 def refresh_hierarchy_unsafe(df: DataFrame, id_col: str, parent_col: str, no_cycle: int, max_levels: int,
-                             hierarchy_number: int | None = None, primary_key: list[str] | None = None) -> DataFrame:
-    """H2: H1 with a caller-set depth limit."""
+                             hierarchy_number: int | None = None, primary_key: list[str] | None = None,
+                             id_type: str | None = None, index_level_period: int | None = None) -> DataFrame:
+    """H2: H1 with a caller-set depth limit (``index_level_period`` is a physical hint, see H1)."""
     return refresh_hierarchy(df, id_col, parent_col, no_cycle=no_cycle, hierarchy_number=hierarchy_number,
-                             max_levels=max_levels, primary_key=primary_key)
+                             max_levels=max_levels, primary_key=primary_key, id_type=id_type)
 
 
 def _union_all(dfs: list[DataFrame]) -> DataFrame:
@@ -150,14 +157,22 @@ def custom_hierarchy(df: DataFrame, primary_key: list[str], connect_by: str,
                      start_with: DataFrame | None = None, start_condition: str | None = None,
                      connect_by_root: list[str] | None = None,
                      connect_by_path: list[tuple[str, str]] | None = None,
-                     leaf: bool = True, max_levels: int = HIER_DEPTH_LIMIT) -> DataFrame:
+                     leaf: bool = True, max_levels: int = HIER_DEPTH_LIMIT,
+                     output_path: str | None = None, index_level: int | None = None) -> DataFrame:
     """H9 (``leaf=False`` gives H10). Level-by-level CONNECT BY with any parent/child predicate.
 
     ``connect_by`` uses ``<parent>`` and ``<child>`` as table names, e.g.
     ``"<parent>.id = <child>.parent_id and <child>.value like '%o%'"``.
     Rows already in the output before a step are excluded by primary key; a row reached twice in
     one step appears twice. Columns: source, ``__level``, ``__chier_leaf``, ``__cbp_*``, ``__cbr_*``.
+    With ``output_path`` the result replaces that table (the reference truncates its output table
+    first) and is read back from it. ``index_level`` is a physical hint without effect here.
     """
+    if output_path is not None:
+        res = custom_hierarchy(df, primary_key, connect_by, start_with, start_condition, connect_by_root,
+                               connect_by_path, leaf, max_levels)
+        res.write.mode("overwrite").parquet(output_path)
+        return df.sparkSession.read.parquet(output_path)
     if (start_with is None) == (start_condition is None):
         raise ValueError("You must fill exactly one of start_with or start_condition")
     roots = [_field_name(r) for r in (connect_by_root or [])]

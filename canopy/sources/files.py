@@ -147,6 +147,11 @@ def field_list(df: DataFrame) -> list[str]:
     return [quote_ident(c) for c in df.columns]
 
 
+def get_field_list(spark: SparkSession, table_name: str) -> list[str]:
+    """G1 by catalog name (lower-cased, as the reference looks it up)."""
+    return field_list(spark.table(table_name.lower()))
+
+
 def type_text(field: T.StructField) -> str:
     """L1 type text: lengths of character types and precision/scale of decimals kept."""
     return f"{quote_ident(field.name)} {field.dataType.simpleString()}"

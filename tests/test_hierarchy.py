@@ -158,3 +158,13 @@ def test_parent_values_and_subtree_scan(tree):
     assert pv[4] == ("two", "one") and pv[1] == (None, None)
     sc = {r["isn"]: r["rel_level"] for r in H.subtree_scan(h, "__hier", 2).collect()}
     assert sc == {2: 1, 4: 2, 5: 2}
+
+
+def test_api_parity_options(spark, tree, tmp_dir):
+    h = H.refresh_hierarchy(tree, "isn", "parentisn", id_type="int", index_level=3)
+    assert h.schema["__hier"].dataType.elementType.typeName() == "integer"
+    pred = "<parent>.isn = <child>.parentisn"
+    out = H.custom_hierarchy(tree, ["isn"], pred, start_condition="isn = 1", output_path=tmp_dir + "/ch")
+    assert out.count() == 6
+    again = H.custom_hierarchy(tree, ["isn"], pred, start_condition="isn = 3", output_path=tmp_dir + "/ch")
+    assert sorted(r["isn"] for r in again.collect()) == [3, 6]  # replaced, not appended
