@@ -18,6 +18,10 @@ def _catalog(relations: DataFrame, schemas: DataFrame) -> DataFrame:
     return relations.join(n, F.col("relnamespace") == F.col("__ns")).drop("__ns")
 
 
+# Byte counts are summed as bigint per row (ANSI mode raises on overflow, which needs over 9 EB in one
+# table) and become decimals only on the aggregated rows.
+
+
 def _file_node(listing: DataFrame) -> DataFrame:
     # data files of one table are <node>, <node>.1, <node>.2, ...
     return listing.withColumn("__node", F.split_part(F.col("relfilenode"), F.lit("."), F.lit(1)))
@@ -28,7 +32,7 @@ def table_sizes_mb(listing: DataFrame, relations: DataFrame, schemas: DataFrame)
     cat = _catalog(relations, schemas).withColumn("__rel", F.col("relfilenode").cast("string"))
     j = _file_node(listing).join(cat, F.col("__node") == F.col("__rel"))
     return (j.groupBy(F.col("nspname").alias("schemaname"), F.col("relname").alias("tablename"), "relstorage", "relkind")
-            .agg((F.sum(F.col("size").cast("decimal(38,0)")) / F.lit(MB_DECIMAL)).alias("size_mb"))
+            .agg((F.sum(F.col("size").cast("bigint")).cast("decimal(30,0)") / F.lit(MB_DECIMAL)).alias("size_mb"))
             .orderBy("schemaname", "tablename", "relstorage", "relkind"))
 
 
@@ -59,7 +63,7 @@ def get_skew(listing: DataFrame, relations: DataFrame, schemas: DataFrame,
            .withColumn("__rel", F.col("relfilenode").cast("string")))
     j = _file_node(listing).join(cat, F.col("__node") == F.col("__rel"))
     per_seg = j.groupBy(F.col("nspname").alias("schema_name"), F.col("relname").alias("table_name"), "segment_id") \
-        .agg(F.sum(F.col("size").cast("decimal(20,0)")).alias("size"))
+        .agg(F.sum(F.col("size").cast("bigint")).alias("size"))
     out = _skew_measures(per_seg, ["schema_name", "table_name"], "size", GB)
     if min_total_gb is not None:
         out = out.filter(F.col("total_size_gb") > min_total_gb)

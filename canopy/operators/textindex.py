@@ -64,10 +64,11 @@ def _publish(spark: SparkSession, built: str, target: str) -> None:
 
 
 def create_index(df: DataFrame | None, index_path: str, id_col: str, default_search_col: str,
-                 fields: list[str], types: list[str]) -> IndexResult:
+                 fields: list[str], types: list[str], history_path: str | None = None) -> IndexResult:
     """X1. Checks (each failure is a notice and ``ok=False``): the table exists, no index exists at
     ``index_path``, the id column is bigint, the default search column exists. Then postings are
-    written next to the target and renamed into place."""
+    written next to the target and renamed into place; with ``history_path`` an ``(action, created_at)``
+    row is appended there."""
     if df is None:
         return IndexResult(False, "table does not exist")
     spark = df.sparkSession
@@ -80,7 +81,11 @@ def create_index(df: DataFrame | None, index_path: str, id_col: str, default_sea
     building = f"{index_path.rstrip('/')}.building-{uuid.uuid4().hex[:8]}"
     postings(df, id_col, fields, types).write.mode("errorifexists").partitionBy("field").parquet(building)
     _publish(spark, building, index_path)
-    return IndexResult(True, f"Created index {index_path}", index_path)
+    notice = f"Created index {index_path}"
+    if history_path:
+        spark.range(1).select(F.lit(notice).alias("action"), F.current_timestamp().alias("created_at")) \
+            .write.mode("append").parquet(history_path)
+    return IndexResult(True, notice, index_path)
 
 
 def expunge(post: DataFrame, deleted_ids: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -321,7 +321,8 @@ def st2(spark, sf_dir):
     src = scratch_path(spark, "gc-in")
     gc_source_text(spark, sf_dir).repartition(4).write.text(src)
     out, ck = scratch_path(spark, "gc-out"), scratch_path(spark, "gc-ck")
-    q = ST.rolling_gc_counters(spark, src, out, ck, available_now=True)
+    q = ST.rolling_gc_counters(spark, src, out, ck, available_now=True,
+                               state_partitions=spark.sparkContext.defaultParallelism)
     q.awaitTermination()
     r = ST.latest_windows(spark, out)
     return r.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),

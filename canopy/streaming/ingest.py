@@ -58,14 +58,29 @@ def with_rules(counts: DataFrame) -> DataFrame:
         .withColumn("time_error", F.col("gc_seconds") > G.GC_TIME_SEC)
 
 
+def _start_with_partitions(spark: SparkSession, partitions: int | None, start):
+    """Start a stream with its own number of state partitions. The stream clones the session when it
+    starts, and the number is then fixed in its checkpoint; the caller's session is restored at once."""
+    if partitions is None:
+        return start()
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(partitions))
+    try:
+        return start()
+    finally:
+        spark.conf.set(key, old)
+
+
 def rolling_gc_counters(spark: SparkSession, source_dir: str, out_path: str, checkpoint: str,
                         available_now: bool = False, interval: str = "5 minutes",
-                        output_mode: str = "update") -> StreamingQuery:
+                        output_mode: str = "update", state_partitions: int | None = None) -> StreamingQuery:
     """ST2. ``readStream.text`` of ``line|segment`` -> GC1 -> windowed counts -> rules, per batch.
 
     Each micro-batch's updated windows are written under ``out_path/batch=<id>``; a reader takes the
     row with the highest batch id per (window, segment). The batch id makes a replayed batch
-    overwrite its own output, so the sink is idempotent."""
+    overwrite its own output, so the sink is idempotent. ``state_partitions`` sizes the state store
+    (fixed at the first start of a checkpoint); by default the session's shuffle partitions."""
     lines = spark.readStream.format("text").load(source_dir)
     gc = G.gc_table(split_gc_lines(lines, reject_limit=None))
     counts = gc_window_counts(gc)
@@ -75,7 +90,7 @@ def rolling_gc_counters(spark: SparkSession, source_dir: str, out_path: str, che
 
     w = counts.writeStream.outputMode(output_mode).foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
-    return w.start()
+    return _start_with_partitions(spark, state_partitions, w.start)
 
 
 def latest_windows(spark: SparkSession, out_path: str) -> DataFrame:

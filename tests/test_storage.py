@@ -54,8 +54,10 @@ def test_postings_and_checks(spark, tmp_dir):
                                                                            ["text_intl", "string"]).collect()}
     assert post[("text", "hello", 1)] == 2 and post[("text", "world", 1)] == 1 and post[("text", "_x", 1)] == 1
     assert post[("lang", "en", 1)] == 1 and post[("text", "a", 3)] == 2 and not any(k[2] == 2 for k in post)
-    res = X.create_index(docs, tmp_dir + "/idx", "doc_id", "text", ["text", "lang"], ["text_intl", "string"])
+    res = X.create_index(docs, tmp_dir + "/idx", "doc_id", "text", ["text", "lang"], ["text_intl", "string"],
+                         history_path=tmp_dir + "/history")
     assert res.ok and spark.read.parquet(tmp_dir + "/idx").count() == len(post)
+    assert spark.read.parquet(tmp_dir + "/history").first()["action"].startswith("Created index")
     assert not X.create_index(docs, tmp_dir + "/idx", "doc_id", "text", ["text"], ["text"]).ok
     assert not X.create_index(docs.withColumn("doc_id", F.col("doc_id").cast("int")), tmp_dir + "/i2", "doc_id",
                               "text", ["text"], ["text"]).ok
