@@ -95,14 +95,32 @@ def _micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+SEGMENT_BROADCAST_ROWS = 100_000  # per-segment rows up to this count are broadcast
+
+
 def full_gc_intervals(gc: DataFrame) -> DataFrame:
-    """GC3. Per segment: average full-GC interval and the interval before the latest full GC (seconds)."""
-    full = gc.filter(F.col("is_full") == 1).select("gp_segment", "gc_start")
-    w = Window.partitionBy("gp_segment").orderBy("gc_start")
-    fgc = full.withColumn("__iv", _micros(F.col("gc_start")) - _micros(F.lag("gc_start").over(w)))
-    last = F.max_by("__iv", "gc_start")
-    return fgc.groupBy("gp_segment").agg(
-        (F.avg("__iv") / 1e6).alias("avg_full_gc_interval"), (last / 1e6).alias("full_gc_interval"))
+    """GC3. Per segment: average full-GC interval and the interval before the latest full GC (seconds).
+
+    Same numbers as ``ts - lag(ts)`` over each segment's full GCs, without putting a segment into one
+    task: the intervals telescope, so their average is (last - first) / (n - 1); the last interval is
+    the latest start minus the latest earlier start (0 when the latest start occurs twice). Both are
+    grouped aggregates combined map-side; the second joins the per-segment row back, broadcast when the
+    counted number of segments is small."""
+    full = gc.filter(F.col("is_full") == 1).select("gp_segment", _micros(F.col("gc_start")).alias("__t"))
+    per = full.groupBy("gp_segment").agg(F.max("__t").alias("__mx"), F.min("__t").alias("__mn"),
+                                         F.count("__t").alias("__n"))
+    side = F.broadcast(per) if per.count() <= SEGMENT_BROADCAST_ROWS else per
+    second = (full.join(side, "gp_segment")
+              .groupBy("gp_segment")
+              .agg(F.max(F.when(F.col("__t") < F.col("__mx"), F.col("__t"))).alias("__prev"),
+                   F.count_if(F.col("__t") == F.col("__mx")).alias("__at_max"),
+                   F.first("__mx").alias("__mx"), F.first("__mn").alias("__mn"), F.first("__n").alias("__n")))
+    avg = F.when(F.col("__n") > 1, (F.col("__mx") - F.col("__mn")) / (F.col("__n") - 1) / 1e6)
+    last = (F.when(F.col("__n") < 2, F.lit(None))
+            .when(F.col("__at_max") > 1, F.lit(0.0))
+            .otherwise((F.col("__mx") - F.col("__prev")) / 1e6))
+    return second.select("gp_segment", avg.cast("double").alias("avg_full_gc_interval"),
+                         last.cast("double").alias("full_gc_interval"))
 
 
 def heap_after_full_gc(gc: DataFrame, pick: str = "last") -> DataFrame:

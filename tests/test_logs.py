@@ -124,3 +124,20 @@ def test_reports(spark):
     assert B.ungranted_locks(locks).count() == 3
     top = B.last_rows(locks, "transactionid", 2, ["pid"]).collect()
     assert [r["pid"] for r in top] == [103, 102]
+
+
+def test_gc_intervals_match_lag_window(spark):
+    import random
+    from pyspark.sql import Window
+    rnd = random.Random(5)
+    lines = [_full(rnd.randint(0, 3), f"2024-01-15T{rnd.randint(0, 11):02d}:{rnd.randint(0, 59):02d}:00.000")
+             for _ in range(300)] + [_full(9, "2024-01-15T10:00:00.000"), _full(9, "2024-01-15T10:00:00.000")]
+    gc = G.gc_table(spark.createDataFrame(lines, "gclogline string, gp_segment int"))
+    got = {r["gp_segment"]: (r["avg_full_gc_interval"], r["full_gc_interval"]) for r in G.full_gc_intervals(gc).collect()}
+    t = F.unix_micros(F.col("gc_start").cast("timestamp"))
+    w = Window.partitionBy("gp_segment").orderBy("gc_start")
+    iv = gc.select("gp_segment", "gc_start", ((t - F.lag(t).over(w)) / 1e6).alias("iv"))
+    want = {r["gp_segment"]: r["a"] for r in iv.groupBy("gp_segment").agg(F.avg("iv").alias("a")).collect()}
+    for seg, a in want.items():
+        assert abs(got[seg][0] - a) < 1e-6
+    assert got[9] == (0.0, 0.0)  # two full GCs at the same instant
