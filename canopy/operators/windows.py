@@ -22,14 +22,6 @@ def _cols(cs) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cs]
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    cond = None
-    for n in names:
-        c = left[n].eqNullSafe(right[n])
-        cond = c if cond is None else cond & c
-    return cond
-
-
 def largest_group(df: DataFrame, keys: list[str]) -> int:
     row = df.groupBy(*keys).count().agg(F.max("count").alias("m")).first()
     return int(row["m"] or 0)
