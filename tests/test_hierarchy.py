@@ -168,3 +168,12 @@ def test_api_parity_options(spark, tree, tmp_dir):
     assert out.count() == 6
     again = H.custom_hierarchy(tree, ["isn"], pred, start_condition="isn = 3", output_path=tmp_dir + "/ch")
     assert sorted(r["isn"] for r in again.collect()) == [3, 6]  # replaced, not appended
+
+
+def test_hot_parent_star(spark):
+    # a third of all nodes hang under one parent: the hot key of the joins
+    n = 3000
+    rows = [(i, 1 if i <= n // 3 else i // 2) for i in range(2, n + 1)] + [(1, 0)]
+    df = spark.createDataFrame(rows, "id long, parent long")
+    got = {r["id"]: r["__hier"] for r in H.refresh_hierarchy(df, "id", "parent").collect()}
+    assert got == dict(zip([i for i, _ in rows], _level_loop(rows, 0)))
