@@ -18,7 +18,7 @@ from canopy.session import cut_lineage
 
 HIER_DEPTH_LIMIT = 100        # levels of H1 / H9 (a path may hold limit + 1 elements)
 SUBTREE_ARRAY_LIMIT = 100000  # H11 array form
-FRONTIER_BROADCAST_ROWS = 1_000_000  # a counted frontier up to this size is broadcast to the base table
+FRONTIER_BROADCAST_ROWS = 1_000_000  # upper bound on rows of a broadcast frontier (bytes are checked too)
 
 
 class HierarchyError(RuntimeError):
@@ -139,10 +139,30 @@ def _fresh(df: DataFrame, name: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(c) for c in df.columns]).alias(name)
 
 
+def _row_bytes(df: DataFrame) -> int:
+    """A generous width estimate from the schema (strings and arrays counted at 64 bytes)."""
+    width = 16
+    for f in df.schema.fields:
+        name = f.dataType.typeName()
+        width += 64 if name in ("string", "binary", "array", "map", "struct", "variant") else 8
+    return width
+
+
+def _broadcast_bytes(spark) -> int:
+    text = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).strip().lower()
+    units = {"kb": 1 << 10, "mb": 1 << 20, "gb": 1 << 30, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "b": 1}
+    for u in ("kb", "mb", "gb", "k", "m", "g", "b"):
+        if text.endswith(u):
+            return int(float(text[:-len(u)]) * units[u])
+    return int(text)
+
+
 def _frontier_side(frontier: DataFrame, rows: int) -> DataFrame:
-    """Broadcast the frontier when its counted size is small, so the base table is only streamed;
-    otherwise leave the choice to the planner (shuffle join)."""
-    return F.broadcast(frontier) if rows <= FRONTIER_BROADCAST_ROWS else frontier
+    """Broadcast the frontier when its counted rows times an estimated row width fit the session's
+    broadcast threshold, so the base table is only streamed; otherwise the planner's shuffle join."""
+    limit = _broadcast_bytes(frontier.sparkSession)
+    small = limit > 0 and rows <= FRONTIER_BROADCAST_ROWS and rows * _row_bytes(frontier) <= limit
+    return F.broadcast(frontier) if small else frontier
 
 
 def _pred(connect_by: str) -> Column:
