@@ -30,3 +30,19 @@ def test_rolling_gc_counters(spark, tmp_dir):
     w = ST.latest_windows(spark, out)
     top = w.orderBy(F.desc("full_gc_events")).first()
     assert top["full_gc_events"] == 8 and top["events_error"] and top["time_error"]
+
+
+def test_rolling_gc_counters_drop_late_rows(spark, tmp_dir):
+    src, out, ck = tmp_dir + "/lin", tmp_dir + "/lout", tmp_dir + "/lck"
+
+    def line(hh, mm):
+        return (f"2024-01-15T{hh:02d}:{mm:02d}:00.000+0000: 1.5: [Full GC [PSYoungGen: 5K->0K(20K)] "
+                f"[PSOldGen: 60K->50K(70K)] 65K->50K(90K) [PSPermGen: 9K->9K(21K)], 1.0000 secs]|0")
+    spark.createDataFrame([(line(12, 0),), (line(12, 30),)], "value string").write.text(src + "/b1")
+    ST.rolling_gc_counters(spark, src + "/*", out, ck, available_now=True).awaitTermination()
+    # a second batch: one row far behind the watermark (late, dropped), one on time
+    spark.createDataFrame([(line(9, 0),), (line(12, 31),)], "value string").write.text(src + "/b2")
+    ST.rolling_gc_counters(spark, src + "/*", out, ck, available_now=True).awaitTermination()
+    w = ST.latest_windows(spark, out)
+    assert w.filter(F.hour("window_start") < 9).count() == 0 and w.filter(F.hour("window_end") <= 9).count() == 0
+    assert w.agg(F.max("full_gc_events")).first()[0] == 3
