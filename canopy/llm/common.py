@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 from urllib.parse import urlparse
 
 import numpy as np
@@ -23,6 +24,15 @@ from canopy.session import scratch_path
 SPACES = " \t\n\x0b\x0c\r"
 
 
+def send_code(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver did (on a cluster: from the same folder or
+    from the files given with ``--py-files``)."""
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for files that all executors read, below the session's checkpoint folder."""
     folder = scratch_path(spark, name)
@@ -76,6 +86,7 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable[[dict[str, pa.Array
             out = fn({c: batch.column(i) for i, c in enumerate(columns)})
             yield pa.record_batch([_column(out[f.name], f.type) for f in target], names=target.names)
 
+    send_code(df.sparkSession)
     return df.select(*columns).mapInArrow(run, schema)
 
 
