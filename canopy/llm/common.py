@@ -90,6 +90,30 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable[[dict[str, pa.Array
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def add_columns(df: DataFrame, columns: list[str], fn: Callable[[dict[str, pa.Array]], dict], new: str,
+                drop: list[str] | None = None) -> DataFrame:
+    """``df`` with the columns of the DDL ``new``, made by ``fn`` from Arrow batches of ``columns``.
+
+    Columns in ``drop`` go, and so do columns of ``df`` with the name of a new one.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    added = StructType.fromDDL(new)
+    gone = {*added.names, *(drop or [])}
+    kept = [(i, f) for i, f in enumerate(df.schema.fields) if f.name not in gone]
+    names, at = [f.name for _, f in kept] + added.names, {c: df.columns.index(c) for c in columns}
+    target = to_arrow_schema(added)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = fn({c: batch.column(i) for c, i in at.items()})
+            yield pa.record_batch([*(batch.column(i) for i, _ in kept), *(_column(out[f.name], f.type) for f in target)], names=names)
+
+    send_code(df.sparkSession)
+    return df.mapInArrow(run, StructType([f for _, f in kept] + added.fields))
+
+
 def _column(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, (pa.Array, pa.ChunkedArray)):
         return values if values.type == kind else values.cast(kind)
