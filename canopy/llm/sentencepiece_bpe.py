@@ -15,7 +15,6 @@ outside the vocabulary become byte tokens; other columns pass through, columns n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -30,7 +29,7 @@ SPACE = "▁"
 class Encoder:
     """Encodes and decodes with the merge type (BPE) of a SentencePiece model whose normaliser keeps the text as it is."""
 
-    def __init__(self, model_path: str, cached: int = 150_000):
+    def __init__(self, model_path: str, cached: int = 400_000):
         model = SentencePieceProcessor(model_file=model_path)
         if model.normalize("a  ﬁ\tb ") != f"{SPACE}a{SPACE}{SPACE}ﬁ\tb{SPACE}":
             raise ValueError("the model's normaliser changes texts; only identity with a space mark before the text is built")
@@ -41,21 +40,29 @@ class Encoder:
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 self.byte_ids[int(piece[3:5], 16)] = i
-                self.text_of[i] = bytes([int(piece[3:5], 16)])
+                byte = bytes([int(piece[3:5], 16)])
+                self.text_of[i] = byte.decode() if byte.isascii() else byte  # ASCII stands alone in any run of bytes
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.pieces[piece], self.scores[piece] = i, model.get_score(i)
                 self.text_of[i] = piece
+        self.text_of_written = {str(i): self.text_of.get(i, "") for i in range(model.get_piece_size())}
         self.alphabet = set("".join(self.pieces))
         # Entries of the table: the vocabulary, and characters that occur only inside longer entries.
         self.entries = [*self.pieces, *sorted(self.alphabet - set(self.pieces))]
         self.automaton = ahocorasick.Automaton()
         for number, piece in enumerate(self.entries):
-            self.automaton.add_word(piece, (number, len(piece)))
+            self.automaton.add_word(piece, number)
         self.automaton.make_automaton()
         self.cuts = not any(a != SPACE and b == SPACE for p in self.pieces for a, b in zip(p, p[1:], strict=False))
         self.number = {p: n for n, p in enumerate(self.entries)}
-        self.fits: dict[int, bool] = {}
-        self.limit, self.young, self.old = cached, {}, {}
+        self.sizes = [len(p) for p in self.entries]
+        #: Ids of an entry as text: its own, or those of its bytes.
+        self.written = [f" {self.pieces[p]}" if p in self.pieces else "".join(f" {self.byte_ids[b]}" for b in p.encode())
+                        for p in self.entries]
+        #: Known answers of the compatibility test by the token before; the last one is for no token before.
+        self.fits: list[dict[int, bool]] = [{} for _ in range(len(self.entries) + 1)]
+        #: Ids of what follows a space mark (by the text after it), in two halves of bounded size, and of other stretches.
+        self.limit, self.young, self.old, self.inner = cached, {}, {}, {}
 
     def merged(self, text: str) -> list[str]:
         """The merges themselves, best score first and leftmost first, for the short texts of compatibility tests."""
@@ -73,144 +80,144 @@ class Encoder:
 
     def _compatible(self, before: int, token: int) -> bool:
         """Whether ``token`` can follow ``before`` (-1: can start)."""
-        key = before << 32 | token if before >= 0 else -1 - token
-        known = self.fits.get(key)
-        if known is None:
-            pair = [self.entries[token]] if before < 0 else [self.entries[before], self.entries[token]]
-            if len(self.fits) > 1_000_000:
-                self.fits.clear()
-            known = self.fits[key] = self.merged("".join(pair)) == pair
+        pair = [self.entries[token]] if before < 0 else [self.entries[before], self.entries[token]]
+        known = self.fits[before][token] = self.merged("".join(pair)) == pair
         return known
 
     def _tokens(self, stretch: str) -> list[int]:
         """Entry numbers of a stretch within the alphabet, from its prefix table."""
         size = len(stretch)
-        last, start_of = [-1] * (size + 1), [0] * (size + 1)
-        fits, compatible = self.fits, self._compatible
-        for end, (token, length) in self.automaton.iter(stretch):
-            end += 1
-            if last[end] >= 0:
+        last = [-1] * (size + 1)
+        sizes, fits = self.sizes, self.fits
+        done = 0
+        for end, token in self.automaton.iter(stretch):
+            if end < done:
                 continue
-            start = end - length
-            if start == 0:
-                ok = compatible(-1, token)
-            else:
-                before = last[start]
-                if before < 0:
-                    continue
-                ok = fits.get(before << 32 | token)
-                if ok is None:
-                    ok = compatible(before, token)
+            start = end + 1 - sizes[token]
+            before = last[start]
+            if before < 0 and start:
+                continue
+            ok = fits[before].get(token)
+            if ok is None:
+                ok = self._compatible(before, token)
             if ok:
-                last[end], start_of[end] = token, start
+                done = end + 1
+                last[done] = token
         found, end = [], size
         while end:
-            found.append(last[end])
-            end = start_of[end]
+            token = last[end]
+            found.append(token)
+            end -= sizes[token]
         return found[::-1]
 
-    def _ids(self, stretch: str) -> Iterator[int]:
-        inside = ""
+    def _ids(self, stretch: str) -> str:
+        """Ids of a stretch as text; characters that no entry holds are bytes, and tokens end beside them."""
         if self.alphabet.issuperset(stretch):
-            inside, stretch = stretch, ""
+            return "".join([self.written[t] for t in self._tokens(stretch)])
+        found, inside = [], ""
         for c in stretch:
             if c in self.alphabet:
                 inside += c
-                continue
-            yield from self._ids_inside(inside)
-            inside = ""
-            yield from (self.byte_ids[b] for b in c.encode())
-        yield from self._ids_inside(inside)
-
-    def _ids_inside(self, stretch: str) -> Iterator[int]:
-        if stretch:
-            for token in self._tokens(stretch):
-                piece = self.entries[token]
-                if piece in self.pieces:
-                    yield self.pieces[piece]
-                else:
-                    yield from (self.byte_ids[b] for b in piece.encode())
-
-    def _looked_up(self, stretch: str) -> tuple[str, str, int]:
-        """Ids of a stretch as text (a space before each), what they decode to, and their number."""
-        value = self.old.get(stretch)
-        if value is None:
-            if "\n" in stretch[1:-1] and "\n" not in self.alphabet:
-                # Lines meet here: their ends are cached by themselves.
-                first, *rest = stretch.split("\n")
-                parts = [self._get(first)] if first else []
-                for line in rest:
-                    parts.append(self._get("\n"))
-                    if line:
-                        parts.append(self._get(line))
-                value = "".join(p[0] for p in parts), "".join(p[1] for p in parts), sum(p[2] for p in parts)
             else:
-                ids = list(self._ids(stretch))
-                value = "".join(f" {i}" for i in ids), self._text(ids), len(ids)
+                found += [self.written[t] for t in self._tokens(inside)] + [f" {self.byte_ids[b]}" for b in c.encode()]
+                inside = ""
+        return "".join(found + [self.written[t] for t in self._tokens(inside)])
+
+    def _word(self, word: str) -> str:
+        """Ids, as text, of a space mark with ``word`` after it, from the older half of the cache or made anew."""
+        ids = self.old.get(word)
+        if ids is None:
+            # Lines meet at line ends, which no entry holds: their parts are cached by themselves.
+            first, *lines = word.split("\n") if "\n" not in self.alphabet else [word]
+            ids = self._inner(SPACE + first) if lines else self._ids(SPACE + word)
+            ids += "".join(self._inner("\n") + (self._inner(line) if line else "") for line in lines)
         if len(self.young) >= self.limit:
             self.old, self.young = self.young, {}
-        self.young[stretch] = value
-        return value
-
-    def _get(self, stretch: str) -> tuple[str, str, int]:
-        return self.young.get(stretch) or self._looked_up(stretch)
-
-    def _stretches(self, text: str) -> list[str]:
-        marked = SPACE + text.replace(" ", SPACE)
+        self.young[word] = ids
+        return ids
+
+    def _inner(self, stretch: str) -> str:
+        ids = self.inner.get(stretch)
+        if ids is None:
+            if len(self.inner) >= self.limit:
+                self.inner.clear()
+            ids = self.inner[stretch] = self._ids(stretch)
+        return ids
+
+    def coded(self, text: str) -> tuple[str, int]:
+        """Ids of a text as decimal numbers joined by spaces, the end id included, and the number of ids."""
+        if not text:
+            return str(self.end_id), 1
+        text = text.replace(SPACE, " ")
         if not self.cuts:
-            return [marked]
-        words = marked[1:].split(SPACE)
+            ids = self._ids(SPACE + text.replace(" ", SPACE))
+            return f"{ids[1:]} {self.end_id}", ids.count(" ") + 1
+        parts, young, run = [], self.young, 0
+        words = text.split(" ")
         if "" not in words:
-            return [SPACE + w for w in words]
-        found, run = [], SPACE
-        for w in words:
-            if w:
-                found.append(run + w)
-                run = SPACE
-            else:
-                run += SPACE
-        return found if len(run) == 1 else [*found, run[1:]]
-
-    def coded(self, text: str) -> tuple[str, str, int]:
-        """Ids of a text as decimal numbers joined by spaces, the end id included; the decoded text; the number of ids."""
-        if not text:
-            return str(self.end_id), "", 1
-        get, slow = self.young.get, self._looked_up
-        parts = []
-        for s in self._stretches(text):
-            value = get(s)
-            if value is None:
-                value = slow(s)
-                get = self.young.get
-            parts.append(value)
-        ids, texts, sizes = zip(*parts, strict=True)
-        return "".join(ids)[1:] + f" {self.end_id}", "".join(texts)[1:], sum(sizes) + 1
+            for word in words:
+                ids = young.get(word)
+                if ids is None:
+                    ids = self._word(word)
+                    young = self.young
+                parts.append(ids)
+        else:
+            for word in words:
+                if not word:
+                    run += 1
+                else:
+                    parts.append(self._inner(SPACE * (run + 1) + word) if run else self.young.get(word) or self._word(word))
+                    run = 0
+            if run:
+                parts.append(self._inner(SPACE * run))
+        ids = "".join(parts)
+        return f"{ids[1:]} {self.end_id}", ids.count(" ") + 1
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for i in self.coded(text or "")[0].split(" ")]
 
-    def _text(self, ids: list[int]) -> str:
-        """Entries with space marks as spaces; runs of byte tokens as UTF-8, each wrong byte as U+FFFD."""
+    def decode(self, ids: list[int]) -> str:
+        """Entries with space marks as spaces, without the mark before the text; runs of byte tokens as UTF-8, each
+        wrong byte as U+FFFD; ids without a text (the end id) give none."""
+        return self._joined([self.text_of.get(i, "") for i in ids])
+
+    def decode_written(self, ids: str) -> str:
+        """``decode`` of ids written as decimal numbers with one space between."""
+        return self._joined([self.text_of_written[i] for i in ids.split(" ")])
+
+    def _joined(self, pieces: list[str | bytes]) -> str:
+        try:
+            text = "".join(pieces)
+        except TypeError:
+            text = self._decode_bytes(pieces)
+        first = next(filter(None, pieces), "")
+        text = text.replace(SPACE, " ")
+        return text[1:] if isinstance(first, str) and first.startswith(SPACE) else text
+
+    def _decode_bytes(self, pieces: list[str | bytes]) -> str:
         found, run = [], b""
-        for i in [*ids, -1]:
-            piece = self.text_of.get(i, "")
+        for piece in [*pieces, ""]:
             if isinstance(piece, bytes):
                 run += piece
                 continue
-            while run:
-                try:
-                    found.append(run.decode())
-                    run = b""
-                except UnicodeDecodeError as e:
-                    found.append(run[:e.start].decode() + "�")
-                    run = run[e.start + 1:]
-            found.append(piece.replace(SPACE, " "))
+            if run:
+                found.append(_utf8(run))
+                run = b""
+            found.append(piece)
         return "".join(found)
 
-    def decode(self, ids: list[int]) -> str:
-        text = self._text(ids)
-        first = next((self.text_of[i] for i in ids if i in self.text_of), "")
-        return text[1:] if isinstance(first, str) and first.startswith(SPACE) else text
+
+def _utf8(run: bytes) -> str:
+    """UTF-8 with U+FFFD for each wrong byte."""
+    found = []
+    while run:
+        try:
+            found.append(run.decode())
+            break
+        except UnicodeDecodeError as e:
+            found.append(run[:e.start].decode() + "\ufffd")
+            run = run[e.start + 1:]
+    return "".join(found)
 
 
 @lru_cache(maxsize=2)
@@ -236,11 +243,17 @@ def decode(encoded: DataFrame, model_path: str, text: str = "text") -> DataFrame
 
 
 def coded_texts(docs: DataFrame, model_path: str, fn, new: str, text: str = "text") -> DataFrame:
-    """``docs`` with columns ``new`` made by ``fn(ids as text, decoded text, number of ids)`` in place of the text."""
+    """``docs`` with columns ``new`` made by ``fn(ids as text, decoded text, number of ids)`` in place of the text.
+
+    The ids are read back from their text and decoded.
+    """
     names = [part.split()[0] for part in new.split(",")]
 
     def run(c):
-        rows = [fn(*encoder(model_path).coded(t or "")) for t in c[text].to_pylist()]
+        own, rows = encoder(model_path), []
+        for t in c[text].to_pylist():
+            ids, n = own.coded(t or "")
+            rows.append(fn(ids, own.decode_written(ids), n))
         return {n: [r[k] for r in rows] for k, n in enumerate(names)}
 
     return add_columns(docs, [text], run, new, drop=[text])
