@@ -1,7 +1,7 @@
 """Importing this module registers the subpackage's queries."""
 
 from canopy.llm.registry import ORACLE, QUERIES  # noqa: F401
-from canopy.llm import line_dedup_query, simhash_query  # noqa: F401
+from canopy.llm import decontaminate_query, line_dedup_query, sentencepiece_query, simhash_query  # noqa: F401
 
 
 def llm_queries():
