@@ -104,17 +104,16 @@ def write_blocks(benchmark: DataFrame, window: int) -> list[str]:
     n = 1 + size // BLOCK_BYTES
     files = executor_files(shared_folder(spark, "benchmark"), n)
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        at = TaskContext.get().partitionId()
-        write_arrays(files[at], _pack(batches, window))
-        yield pa.record_batch([pa.array([at], pa.int32())], names=["block"])
+    def write(key: tuple, items: pa.Table) -> pa.Table:
+        block = key[0].as_py()
+        write_arrays(files[block], _pack(items.select(["item_id", "text"]).to_batches(), window))
+        return pa.table({"block": pa.array([block], pa.int32())})
 
     send_code(spark)
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    items.repartition(n, "item_id", "text").mapInArrow(write, "block int").collect()
-    return files
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int"))
+    written = dealt.groupBy("block").applyInArrow(write, "block int").collect()
+    return [files[r["block"]] for r in sorted(written)]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
