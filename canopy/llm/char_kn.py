@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from canopy.llm.common import as_bytes, map_rows, read_arrays, send_code, shared_folder, write_arrays
 
 START, END = "\x02", "\x03"
+#: Distinct words that are cut into n-grams at a time.
+PART = 100_000
 #: Entries of an array file.
 SHARD = 4_000_000
 
@@ -81,8 +83,8 @@ def ngram_counts(docs: DataFrame, order: int) -> DataFrame:
         out = {"lang": [], "gram": [], "n": []}
         for lang, words in words_by_language(c["lang"].to_pylist(), as_bytes(c["text"])).items():
             own = list(words)
-            for i in range(0, len(own), 500_000):
-                part = own[i:i + 500_000]
+            for i in range(0, len(own), PART):
+                part = own[i:i + PART]
                 windows, sizes = _windows(part, order)
                 weights = np.repeat(np.fromiter((words[w] for w in part), np.int64, len(part)), sizes)
                 _, first, which = np.unique(hashes(np.zeros(len(windows), np.uint64), windows), return_index=True, return_inverse=True)
@@ -92,7 +94,7 @@ def ngram_counts(docs: DataFrame, order: int) -> DataFrame:
                 out["n"] += np.bincount(which, weights).astype(np.int64).tolist()
         return out
 
-    rows = map_rows(docs, ["lang", "text"], count, "lang string, gram string, n bigint")
+    rows = map_rows(docs, ["lang", "text"], count, "lang string, gram string, n bigint", rows=4000)
     return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -193,8 +195,10 @@ class Model:
 
     def words(self, lang: str, words: list[bytes]) -> np.ndarray:
         """Log10 probability of each word, its end included."""
-        if not words:
-            return np.empty(0)
+        parts = [self._part(lang, words[i:i + PART]) for i in range(0, len(words), PART)]
+        return np.concatenate([np.empty(0), *parts])
+
+    def _part(self, lang: str, words: list[bytes]) -> np.ndarray:
         windows, sizes = _windows(words, self.order)
         _, first, which = np.unique(hashes(np.zeros(len(windows), np.uint64), windows), return_index=True, return_inverse=True)
         own = windows[first]

@@ -74,15 +74,16 @@ def read_arrays(uri: str) -> dict[str, np.ndarray]:
     return {n: batch.column(n).values.to_numpy(zero_copy_only=True) for n in batch.schema.names}
 
 
-def map_rows(df: DataFrame, columns: list[str], fn: Callable[[dict[str, pa.Array]], dict], schema: str) -> DataFrame:
-    """``fn`` over Arrow batches of ``columns``; it returns the output columns of a batch as lists or arrays."""
+def map_rows(df: DataFrame, columns: list[str], fn: Callable[[dict[str, pa.Array]], dict], schema: str,
+             rows: int = 1 << 30) -> DataFrame:
+    """``fn`` over Arrow batches of ``columns``, at most ``rows`` at a time; it returns the output columns as lists or arrays."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches, rows):
             out = fn({c: batch.column(i) for i, c in enumerate(columns)})
             yield pa.record_batch([_column(out[f.name], f.type) for f in target], names=target.names)
 
@@ -91,8 +92,8 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable[[dict[str, pa.Array
 
 
 def add_columns(df: DataFrame, columns: list[str], fn: Callable[[dict[str, pa.Array]], dict], new: str,
-                drop: list[str] | None = None) -> DataFrame:
-    """``df`` with the columns of the DDL ``new``, made by ``fn`` from Arrow batches of ``columns``.
+                drop: list[str] | None = None, rows: int = 1 << 30) -> DataFrame:
+    """``df`` with the columns of the DDL ``new``, made by ``fn`` from Arrow batches of ``columns``, at most ``rows`` at a time.
 
     Columns in ``drop`` go, and so do columns of ``df`` with the name of a new one.
     """
@@ -106,7 +107,7 @@ def add_columns(df: DataFrame, columns: list[str], fn: Callable[[dict[str, pa.Ar
     target = to_arrow_schema(added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches, rows):
             out = fn({c: batch.column(i) for c, i in at.items()})
             yield pa.record_batch([*(batch.column(i) for i, _ in kept), *(_column(out[f.name], f.type) for f in target)], names=names)
 
@@ -114,6 +115,12 @@ def add_columns(df: DataFrame, columns: list[str], fn: Callable[[dict[str, pa.Ar
     return df.mapInArrow(run, StructType([f for _, f in kept] + added.fields))
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def _column(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, (pa.Array, pa.ChunkedArray)):
         return values if values.type == kind else values.cast(kind)

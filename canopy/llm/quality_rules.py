@@ -23,6 +23,8 @@ from canopy.llm.common import SPACES, add_columns, as_bytes, map_rows, shared_fo
 
 SYMBOLS = "#*$%&|<>"
 ORDER = 4
+#: Texts that a worker scores at a time, each distinct word once.
+ROWS = 2000
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 #: Quartile distances that a band reaches beyond the quartiles.
@@ -49,20 +51,23 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), word_chars, sum(map(text.count, SYMBOLS)), repeated_lines, repeated
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with the base counts, ``base_failed`` and ``mean_log10`` (of a word's probability)."""
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+SCORES = ", ".join(f"{n} bigint" for n in BASE) + ", base_failed boolean, mean_log10 double"
+VERDICT = "perplexity double, kept boolean"
 
+
+def score(docs: DataFrame, model: Model, limits: SortedArrays | None = None) -> DataFrame:
+    """``docs`` with the base counts, ``base_failed`` and ``mean_log10`` (of a word's probability); with the bands given,
+    also with the columns of ``judge``."""
     def run(c):
-        texts = as_bytes(c["text"])
+        texts, langs = as_bytes(c["text"]), c["lang"].to_pylist()
         counts = [base_counts(t.decode()) for t in texts]
-        out = {n: [r[k] for r in counts] for k, n in enumerate(names)}
+        out = {n: [r[k] for r in counts] for k, n in enumerate(BASE)}
         out["base_failed"] = [r[0] < MIN_WORDS or 100 * r[4] > MAX_REPEATED_PERCENT * r[0] for r in counts]
-        out["mean_log10"] = mean_log10(model, c["lang"].to_pylist(), texts)
-        return out
+        out["mean_log10"] = mean_log10(model, langs, texts)
+        return out if limits is None else out | _verdicts(langs, out["mean_log10"], out["base_failed"], limits)
 
-    return add_columns(docs, ["lang", "text"], run,
-                       ", ".join(f"{n} bigint" for n in names) + ", base_failed boolean, mean_log10 double")
+    return add_columns(docs, ["lang", "text"], run, SCORES if limits is None else f"{SCORES}, {VERDICT}", rows=ROWS)
 
 
 def bands(scored: DataFrame, folder: str, width: float = WIDTH) -> SortedArrays:
@@ -81,17 +86,21 @@ def bands(scored: DataFrame, folder: str, width: float = WIDTH) -> SortedArrays:
     return SortedArrays(write_sorted(rows, folder, "bands", ["low", "high"]))
 
 
+def _verdicts(langs: list[str | None], means: list[float | None], failed: list[bool], limits: SortedArrays) -> dict:
+    seeds = {lang: language_seed(lang or "") for lang in set(langs)}
+    wanted = np.array([seeds[lang] for lang in langs], np.uint64)
+    mean = np.array([np.nan if m is None else m for m in means], np.float64)
+    inside = (mean >= limits.find(wanted, "low")) & (mean <= limits.find(wanted, "high"))
+    return {"perplexity": [None if np.isnan(m) else 10.0 ** -m for m in mean.tolist()],
+            "kept": (inside & ~np.array(failed, bool)).tolist()}
+
+
 def judge(scored: DataFrame, limits: SortedArrays) -> DataFrame:
     """``scored`` with ``perplexity`` and ``kept``: base rules passed, and the perplexity within the language's band."""
     def run(c):
-        seeds = {lang: language_seed(lang or "") for lang in set(c["lang"].to_pylist())}
-        wanted = np.array([seeds[lang] for lang in c["lang"].to_pylist()], np.uint64)
-        mean = np.array([np.nan if m is None else m for m in c["mean_log10"].to_pylist()], np.float64)
-        inside = (mean >= limits.find(wanted, "low")) & (mean <= limits.find(wanted, "high"))
-        failed = np.array(c["base_failed"].to_pylist(), bool)
-        return {"perplexity": [None if np.isnan(m) else 10.0 ** -m for m in mean.tolist()], "kept": (inside & ~failed).tolist()}
+        return _verdicts(*(c[k].to_pylist() for k in ("lang", "mean_log10", "base_failed")), limits)
 
-    return add_columns(scored, ["lang", "mean_log10", "base_failed"], run, "perplexity double, kept boolean")
+    return add_columns(scored, ["lang", "mean_log10", "base_failed"], run, VERDICT)
 
 
 def _fitted(docs: DataFrame) -> tuple[Model, DataFrame, SortedArrays]:
@@ -112,7 +121,7 @@ def quality(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents of ``docs`` that pass; the texts are scored again where they lie instead of joined to a verdict."""
     model, _, limits = _fitted(docs.select("lang", "text"))
-    new = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "mean_log10", "perplexity", "kept"}
+    new = {*BASE, "base_failed", "mean_log10", "perplexity", "kept"}
     aside = {c: f"__own_{c}" for c in docs.columns if c in new}
-    judged = judge(score(docs.withColumnsRenamed(aside), model), limits).where("kept")
+    judged = score(docs.withColumnsRenamed(aside), model, limits).where("kept")
     return judged.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])

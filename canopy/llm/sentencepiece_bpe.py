@@ -18,18 +18,22 @@ from __future__ import annotations
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from sentencepiece import SentencePieceProcessor
 
 from canopy.llm.common import add_columns
 
 SPACE = "▁"
+#: Texts that a worker holds ids of at a time.
+ROWS = 1000
 
 
 class Encoder:
     """Encodes and decodes with the merge type (BPE) of a SentencePiece model whose normaliser keeps the text as it is."""
 
-    def __init__(self, model_path: str, cached: int = 400_000):
+    def __init__(self, model_path: str, cached: int = 250_000):
         model = SentencePieceProcessor(model_file=model_path)
         if model.normalize("a  ﬁ\tb ") != f"{SPACE}a{SPACE}{SPACE}ﬁ\tb{SPACE}":
             raise ValueError("the model's normaliser changes texts; only identity with a space mark before the text is built")
@@ -229,9 +233,12 @@ def encoder(model_path: str) -> Encoder:
 def encode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     """``docs`` with ``ids`` (array of int, end id included) in place of the text column."""
     def run(c):
-        return {"ids": [encoder(model_path).encode(t) for t in c[text].to_pylist()]}
+        own = encoder(model_path)
+        ids = [np.fromstring(own.coded(t or "")[0], np.int32, sep=" ") for t in c[text].to_pylist()]
+        ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+        return {"ids": pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids)))}
 
-    return add_columns(docs, [text], run, "ids array<int>", drop=[text])
+    return add_columns(docs, [text], run, "ids array<int>", drop=[text], rows=ROWS)
 
 
 def decode(encoded: DataFrame, model_path: str, text: str = "text") -> DataFrame:
@@ -239,7 +246,7 @@ def decode(encoded: DataFrame, model_path: str, text: str = "text") -> DataFrame
     def run(c):
         return {text: [encoder(model_path).decode(i or []) for i in c["ids"].to_pylist()]}
 
-    return add_columns(encoded, ["ids"], run, f"`{text}` string", drop=["ids"])
+    return add_columns(encoded, ["ids"], run, f"`{text}` string", drop=["ids"], rows=ROWS)
 
 
 def coded_texts(docs: DataFrame, model_path: str, fn, new: str, text: str = "text") -> DataFrame:
@@ -256,4 +263,4 @@ def coded_texts(docs: DataFrame, model_path: str, fn, new: str, text: str = "tex
             rows.append(fn(ids, own.decode_written(ids), n))
         return {n: [r[k] for r in rows] for k, n in enumerate(names)}
 
-    return add_columns(docs, [text], run, new, drop=[text])
+    return add_columns(docs, [text], run, new, drop=[text], rows=ROWS)
