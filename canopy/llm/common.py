@@ -48,8 +48,8 @@ def _place(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def write_arrays(uri: str, arrays: dict[str, np.ndarray]) -> None:
-    """One file with the given one-dimensional arrays, complete or absent."""
+def write_arrays(uri: str, arrays: dict[str, np.ndarray], compressed: bool = False) -> None:
+    """One file with the given one-dimensional arrays, complete or absent (``compressed``: smaller, but not mapped)."""
     fs, path = _place(uri)
     columns = {}
     for name, values in arrays.items():
@@ -57,7 +57,8 @@ def write_arrays(uri: str, arrays: dict[str, np.ndarray]) -> None:
         columns[name] = pa.LargeListArray.from_arrays(ends, pa.array(values))
     batch = pa.record_batch(columns)
     part = f"{path}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(part) as out, pa.ipc.new_file(out, batch.schema) as writer:
+    options = pa.ipc.IpcWriteOptions(compression="zstd" if compressed else None)
+    with fs.open_output_stream(part) as out, pa.ipc.new_file(out, batch.schema, options=options) as writer:
         writer.write_batch(batch)
     fs.move(part, path)
 

@@ -211,26 +211,23 @@ def _ids(texts: pa.Array, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _contexts(ids: np.ndarray, first: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """The contexts of each token: the id before it, and a hash of the two ids before it (``start`` before a text)."""
+    """The contexts of each token: the id before it, and the two ids before it (``start`` before a text) as one number,
+    which is exact while the square of the vocabulary is below 2**63 and wraps there."""
     one = np.concatenate([[start], ids[:-1]])
     one[first] = start
     two = np.concatenate([[start], one[:-1]])
     two[first] = start
-    return one, pair_hash(two, one)
+    pair = (two.astype(U64) * U64(start + 1) + one.astype(U64)) & U64((1 << 63) - 1)
+    return one, pair.astype(np.int64)
 
 
-def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A 63-bit hash of two ids."""
-    h = a.astype(U64) * U64(0x9E3779B97F4A7C15) + b.astype(U64)
-    h = (h ^ (h >> U64(32))) * U64(0xD6E8FEB86659FD93)
+def spread(contexts: np.ndarray) -> np.ndarray:
+    """A hash that deals contexts to shards."""
+    h = contexts.astype(U64) * U64(0x9E3779B97F4A7C15)
     h = (h ^ (h >> U64(32))) * U64(0xD6E8FEB86659FD93)
     return ((h ^ (h >> U64(32))) >> U64(1)).astype(np.int64)
 
 
-def spread(ids: np.ndarray) -> np.ndarray:
-    return pair_hash(ids, np.zeros_like(ids))
-
-
 # Counting and levels --------------------------------------------------------------------------------------------------
 
 def _combined(context: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -247,16 +244,26 @@ def _block(context: np.ndarray, word: np.ndarray, n: np.ndarray) -> bytes:
     runs = np.diff(np.append(new, len(context)))
     columns = [np.diff(context[new], prepend=0), runs.astype(np.int32), word.astype(np.int64 if word.max(initial=0) >> 31 else np.int32),
                n.astype(np.int32 if n.max(initial=0) < 1 << 31 else np.int64)]
-    batch = pa.record_batch([pa.LargeListArray.from_arrays(pa.array([0, len(c)], pa.int64()), pa.array(c)) for c in columns], names=list("crwn"))
+    batch = pa.record_batch([pa.array([len(new), len(context)]), *(pa.array([_planes(c), c.dtype.str.encode()]) for c in columns)], names=list("scrwn"))
     out = io.BytesIO()
     with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
         writer.write_batch(batch)
     return out.getvalue()
 
 
+def _planes(column: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones, and so on: the high ones compress to nothing."""
+    return np.ascontiguousarray(column).view(np.uint8).reshape(len(column), -1).T.tobytes()
+
+
 def _unblock(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     batch = pa.ipc.open_stream(block).read_next_batch()
-    c, r, w, n = (batch.column(k).values.to_numpy() for k in range(4))
+    sizes = batch.column(0).to_pylist()
+    columns = []
+    for k, size in zip(range(1, 5), (sizes[0], sizes[0], sizes[1], sizes[1]), strict=True):
+        planes, kind = batch.column(k).to_pylist()
+        columns.append(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(-1, size).T).view(kind.decode()).ravel())
+    c, r, w, n = columns
     return np.repeat(np.cumsum(c), r), w.astype(np.int64), n.astype(np.int64)
 
 
@@ -269,7 +276,7 @@ def count_levels(docs: DataFrame, vocab: Vocabulary, shards: int) -> DataFrame:
             word = np.concatenate([h[0] for h in held])
             for level in (2, 3):
                 context = np.concatenate([h[level - 1] for h in held])
-                shard = (spread(context) if level == 2 else context) % shards
+                shard = spread(context) % shards
                 order = np.argsort(shard, kind="stable")
                 ends = np.cumsum(np.bincount(shard, minlength=shards))
                 rows = []
@@ -308,11 +315,11 @@ def _write_level(folder: str, vocab: Vocabulary):
         context, word, n = _combined(*map(np.concatenate, zip(*waiting, strict=True)))
         start = np.flatnonzero(np.concatenate([[True], np.diff(context) != 0]))
         rank = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(context))))
-        arrays = ef_write("contexts", context[start], (vocab.words + 2) if level == 2 else 1 << 63)
+        arrays = ef_write("contexts", context[start], min((vocab.words + 2) ** (level - 1), 1 << 63))
         arrays |= ef_write("pointers", np.append(start, len(context)), len(context) + 1)
         arrays |= ef_write("successors", rank * (vocab.words + 1) + word, len(start) * (vocab.words + 1))
         write_arrays(f"{folder}/trie-{level}-{shard:06d}.arrow", arrays)
-        write_arrays(f"{folder}/counts-{level}-{shard:06d}.arrow", {"n": n.astype(np.int32 if n.max(initial=0) < 1 << 31 else np.int64)})
+        write_arrays(f"{folder}/counts-{level}-{shard:06d}.arrow", {"n": n}, compressed=True)
         seen = [int((n == k).sum()) for k in range(1, 5)]
         return pa.table({"level": pa.array([level], pa.int32()), "shard": pa.array([shard], pa.int32()), "n": pa.array([seen], pa.list_(pa.int64()))})
 
@@ -369,7 +376,7 @@ class Trie:
         which[order] = np.cumsum(new) - 1
         p, w = np.zeros(len(asked)), np.ones(len(asked))
         c, v = context[asked], word[asked]
-        shard = (spread(c) if level == 2 else c) % self.shards
+        shard = spread(c) % self.shards
         by_shard = np.argsort(shard, kind="stable")
         for group in np.split(by_shard, np.flatnonzero(np.diff(shard[by_shard])) + 1) if len(by_shard) else []:
             s = int(shard[group[0]])
