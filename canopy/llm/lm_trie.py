@@ -113,8 +113,14 @@ class EliasFano:
         """For each value the rank of the first entry not below it, and whether that entry is equal."""
         x = x.astype(U64)
         part, low = (x >> U64(self.bits)).astype(np.int64), x & U64((1 << self.bits) - 1)
-        start = np.where(part > 0, self._zero(np.maximum(part - 1, 0)) - (part - 1), 0)
-        end = self._zero(part) - part
+        before = np.where(part > 0, self._zero(np.maximum(part - 1, 0)), -1)
+        start = before - (part - 1)
+        # The next zero is mostly in the same word of the high bits.
+        place = before + 1
+        rest = ~self.high[place >> 6] >> (place & 63).astype(U64)
+        end = start + np.bitwise_count((rest & (~rest + U64(1))) - U64(1)).astype(np.int64)
+        further = np.flatnonzero(rest == 0)
+        end[further] = self._zero(part[further]) - part[further]
         stop = end.copy()
         # The entries with these high bits lie between; the low bits among them are found by halving.
         while True:
@@ -135,12 +141,15 @@ class EliasFano:
 
 def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of lower-cased (A-Z) texts, ends included: distinct hashes, the number of the hash of each token, and the tokens of each text."""
-    words = [t.lower().split() for t in ((b or b"") for b in texts.cast(pa.binary()).to_pylist())]
-    sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-    flat = pa.array([w for own in words for w in (*own, b"\n")], pa.binary())
-    coded = pc.dictionary_encode(flat)
-    distinct = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), U64, len(coded.dictionary))
-    return distinct, coded.indices.to_numpy().astype(np.int64), sizes
+    texts = texts.take(pa.array(np.arange(len(texts))))  # a copy that is no slice of another array
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    flat, ends = words.flatten(), words.offsets.to_numpy() - words.offsets[0].as_py()
+    full = pc.not_equal(pc.binary_length(flat), 0)  # texts that begin or end with a space have empty parts
+    sizes = np.add.reduceat(np.append(full.to_numpy(zero_copy_only=False), False).astype(np.int64), ends[:-1]) * (np.diff(ends) > 0)
+    coded = pc.dictionary_encode(flat.filter(full))
+    distinct = [xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()]
+    which = np.insert(coded.indices.to_numpy().astype(np.int64), np.cumsum(sizes), len(distinct))
+    return np.array([*distinct, END], U64), which, sizes + 1
 
 
 @dataclass(frozen=True)
@@ -276,13 +285,8 @@ def count_levels(docs: DataFrame, vocab: Vocabulary, shards: int) -> DataFrame:
             word = np.concatenate([h[0] for h in held])
             for level in (2, 3):
                 context = np.concatenate([h[level - 1] for h in held])
-                shard = spread(context) % shards
-                order = np.argsort(shard, kind="stable")
-                ends = np.cumsum(np.bincount(shard, minlength=shards))
-                rows = []
-                for s, own in enumerate(np.split(order, ends[:-1])):
-                    if len(own):
-                        rows.append((s, _block(*_combined(context[own], word[own], np.ones(len(own), np.int64)))))
+                rows = [(s, _block(*_combined(context[own], word[own], np.ones(len(own), np.int64))))
+                        for s, own in _by_shard(context, shards)]
                 yield pa.record_batch([pa.array([level] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()),
                                        pa.array([r[1] for r in rows], pa.binary())], names=["level", "shard", "block"])
 
@@ -369,38 +373,41 @@ class Trie:
 
     def _level(self, level: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Discounted probability of each n-gram (0 if unseen) and the weight of the lower order (1 if the context is)."""
-        own, weight = np.zeros(len(word)), np.ones(len(word))
-        order = np.lexsort((word, context))
-        new = np.concatenate([[True], (np.diff(context[order]) != 0) | (np.diff(word[order]) != 0)]) if len(word) else np.empty(0, bool)
-        asked, which = order[new], np.empty(len(word), np.int64)
-        which[order] = np.cumsum(new) - 1
-        p, w = np.zeros(len(asked)), np.ones(len(asked))
-        c, v = context[asked], word[asked]
-        shard = spread(c) % self.shards
-        by_shard = np.argsort(shard, kind="stable")
-        for group in np.split(by_shard, np.flatnonzero(np.diff(shard[by_shard])) + 1) if len(by_shard) else []:
-            s = int(shard[group[0]])
-            if (level, s) not in self.present:
-                continue
-            sequences, weights = _shard(self.folder, level, s)
-            rank, known = sequences["contexts"].successor(c[group])
-            hit = group[known]
-            rank = rank[known]
-            w[hit] = 10.0 ** (weights["w"][rank] * STEP + LOW)
-            place, found = sequences["successors"].successor(rank * (self.vocab.words + 1) + v[hit])
-            p[hit[found]] = 10.0 ** (weights["p"][place[found]] * STEP + LOW)
-        own[:], weight[:] = p[which], w[which]
-        return own, weight
+        p, w = np.zeros(len(word)), np.ones(len(word))
+        for s, own in _by_shard(context, self.shards):
+            if (level, s) in self.present:
+                sequences, weights = _shard(self.folder, level, s)
+                rank, known = sequences["contexts"].successor(context[own])
+                hit, rank = own[known], rank[known]
+                w[hit] = _VALUES[weights["w"][rank]]
+                place, found = sequences["successors"].successor(rank * (self.vocab.words + 1) + word[hit])
+                p[hit[found]] = _VALUES[weights["p"][place[found]]]
+        return p, w
 
     def probabilities(self, ids: np.ndarray, counts: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Interpolated probability of each token after the two before it."""
         words, tokens = self.vocab.words, self.vocab.tokens
         one, two = _contexts(ids, first, words + 1)
         p = (counts + words / (words + 1)) / (tokens + words) if tokens else np.ones(len(ids))
-        for level, context in ((2, one), (3, two)):
-            own, weight = self._level(level, context, ids)
-            p = own + weight * p
-        return p
+        # Bigrams repeat within a batch: each distinct one is looked up once.
+        _, some, which = np.unique(one * (words + 2) + ids, return_index=True, return_inverse=True)
+        own, weight = self._level(2, one[some], ids[some])
+        p = own[which] + weight[which] * p
+        own, weight = self._level(3, two, ids)
+        return own + weight * p
+
+
+#: What the quantised values stand for.
+_VALUES = 10.0 ** (np.arange(256) * STEP + LOW)
+
+
+def _by_shard(context: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard with the places of its contexts, in order."""
+    shard = (spread(context) % shards).astype(np.uint16 if shards < 65_536 else np.int64)
+    order = np.argsort(shard, kind="stable")
+    starts = np.flatnonzero(np.diff(shard[order], prepend=shard[order[:1]] + 1)) if len(order) else order
+    for own in np.split(order, starts[1:]) if len(order) else []:
+        yield int(shard[own[0]]), own
 
 
 @lru_cache(maxsize=512)
