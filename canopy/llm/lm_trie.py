@@ -99,14 +99,15 @@ class EliasFano:
     def _zero(self, k: np.ndarray) -> np.ndarray:
         """Place of the k-th zero (from 0) of the high bits."""
         word = np.searchsorted(self.zeros, k, side="right") - 1
-        left = k - self.zeros[word]
-        bits, place = ~self.high[word], np.zeros(len(k), np.int64)
+        left = (k - self.zeros[word]).astype(np.uint8)
+        bits, place = ~self.high[word], np.zeros(len(k), np.uint8)
         for width in (32, 16, 8, 4, 2, 1):
-            half = (bits >> place.astype(U64)) & U64((1 << width) - 1)
-            ones = np.bitwise_count(half).astype(np.int64)
+            ones = np.bitwise_count(bits & U64((1 << width) - 1))
             later = left >= ones
-            left = np.where(later, left - ones, left)
-            place = np.where(later, place + width, place)
+            left -= ones * later
+            step = later * np.uint8(width)
+            place += step
+            bits >>= step.astype(U64)
         return word * 64 + place
 
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -372,13 +373,19 @@ class Trie:
     present: frozenset[tuple[int, int]]
 
     def _level(self, level: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Discounted probability of each n-gram (0 if unseen) and the weight of the lower order (1 if the context is)."""
+        """Discounted probability of each n-gram (0 if unseen) and the weight of the lower order (1 if the context is),
+        for sorted contexts."""
         p, w = np.zeros(len(word)), np.ones(len(word))
         for s, own in _by_shard(context, self.shards):
             if (level, s) in self.present:
                 sequences, weights = _shard(self.folder, level, s)
-                rank, known = sequences["contexts"].successor(context[own])
-                hit, rank = own[known], rank[known]
+                # Contexts come sorted: each distinct one is looked up once.
+                asked = context[own]
+                new = np.concatenate([[True], asked[1:] != asked[:-1]])
+                rank, known = sequences["contexts"].successor(asked[new])
+                which = np.cumsum(new) - 1
+                hit = own[known[which]]
+                rank = rank[which[known[which]]]
                 w[hit] = _VALUES[weights["w"][rank]]
                 place, found = sequences["successors"].successor(rank * (self.vocab.words + 1) + word[hit])
                 p[hit[found]] = _VALUES[weights["p"][place[found]]]
@@ -393,8 +400,11 @@ class Trie:
         _, some, which = np.unique(one * (words + 2) + ids, return_index=True, return_inverse=True)
         own, weight = self._level(2, one[some], ids[some])
         p = own[which] + weight[which] * p
-        own, weight = self._level(3, two, ids)
-        return own + weight * p
+        order = np.argsort(two)
+        own, weight = self._level(3, two[order], ids[order])
+        found = np.empty(len(ids))
+        found[order] = own + weight * p[order]
+        return found
 
 
 #: What the quantised values stand for.
