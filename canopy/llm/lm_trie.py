@@ -292,8 +292,8 @@ def count_levels(docs: DataFrame, vocab: Vocabulary, shards: int) -> DataFrame:
                                        pa.array([r[1] for r in rows], pa.binary())], names=["level", "shard", "block"])
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                ids, _, first, _ = _ids(batch.column(0).slice(i, 1000), vocab)
+            for i in range(0, batch.num_rows, 2000):
+                ids, _, first, _ = _ids(batch.column(0).slice(i, 2000), vocab)
                 held.append((ids, *_contexts(ids, first, vocab.words + 1)))
                 size += len(ids)
                 if size >= PORTION:
@@ -315,7 +315,7 @@ def _write_level(folder: str, vocab: Vocabulary):
         for block in rows["block"].to_pylist():
             waiting.append(_unblock(block))
             size += len(waiting[-1][0])
-            if size > PORTION:
+            if size > 2 * PORTION:
                 waiting, size = [_combined(*map(np.concatenate, zip(*waiting, strict=True)))], 0
         context, word, n = _combined(*map(np.concatenate, zip(*waiting, strict=True)))
         start = np.flatnonzero(np.concatenate([[True], np.diff(context) != 0]))
