@@ -81,9 +81,8 @@ def parse_gc_line(line) -> Column:
 def gc_table(lines: DataFrame, line_col: str = "gclogline", segment_col: str = "gp_segment") -> DataFrame:
     """GC2. ``(gp_segment, gclogline, <15 fields>)``; unmatched lines are kept with NULL fields.
     The pattern test and the group extraction are separate projections, so each runs once per line."""
-    from canopy.session import spread
     src = lines.select(segment_col, line_col)
-    k = (src if src.isStreaming else spread(src)).select(
+    k = src.select(
         F.col(segment_col).alias("gp_segment"), F.col(line_col).alias("gclogline"),
                      gc_kind(F.col(line_col)).alias("__kind"))
     s = k.select("gp_segment", "gclogline", "__kind", gc_slots(F.col("gclogline"), F.col("__kind")).alias("__slots"))

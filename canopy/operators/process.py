@@ -37,9 +37,6 @@ def mem_watcher_view(snapshots: DataFrame, read_time, segment_col: str = "segmen
     """M2. Typed rows with the read time; unparsed lines dropped (group 9, the segment, is unused)."""
     ts = F.lit(read_time).cast("timestamp_ntz") if isinstance(read_time, str) else read_time
     ps = parse_ps_line(command_col)
-    if not snapshots.isStreaming:
-        from canopy.session import spread
-        snapshots = spread(snapshots)
     q = snapshots.select(F.col(segment_col).alias("segment_id"), ps.alias("ps")).filter(F.col("ps").isNotNull())
     g = lambda i: F.get(F.col("ps"), i - 1)
     return q.select(ts.alias("ts"), F.col("segment_id").cast("int").alias("segment_id"),

@@ -119,9 +119,8 @@ def column_stats(df: DataFrame, columns: list[str] | None = None, mcv: int = 10,
     map-side, so each task ships one row per distinct (column, value) it saw, and the per-column
     figures are sums over those counts (the NDV is therefore exact). Histogram bounds come from one
     ``percentile_approx`` pass over the typed numeric columns."""
-    from canopy.session import spread
     cols = columns or df.columns
-    df = spread(df.select(*[F.col(f"`{c}`") for c in cols]))
+    df = df.select(*[F.col(f"`{c}`") for c in cols])
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in cols]))
         .alias("kv")).select("kv.*")

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SESSION_COL = "__session_id"
 
@@ -31,7 +32,12 @@ class SessionTable:
         return self._current
 
     def base(self) -> DataFrame:
-        return self.spark.read.parquet(self._current)
+        return self.spark.read.schema(self._schema()).parquet(self._current)
+
+    def _schema(self) -> T.StructType:
+        """The stored columns with the session id as text: guessing the type of a folder name makes '1' of '01'."""
+        found = self.spark.read.parquet(self._current).schema
+        return T.StructType([T.StructField(f.name, T.StringType()) if f.name == SESSION_COL else f for f in found])
 
     def read(self, session_id: str) -> DataFrame:
         """The view: own rows only, without the session column."""

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TOKEN_SPLIT = "[^a-z0-9_]+"  # ASCII word characters after lower-casing
+TOKEN_SPLIT = r"[^\p{L}\p{M}\p{N}_]+"  # letters, marks and digits of any script
 
 
 @dataclass
@@ -37,8 +37,7 @@ def postings(df: DataFrame, id_col: str, fields: list[str], types: list[str]) ->
     """``(field, term, doc_id, tf)`` for every (field, term, document)."""
     if len(fields) != len(types):
         raise ValueError("fields and types differ in length")
-    from canopy.session import spread
-    df = spread(df.select(id_col, *fields))
+    df = df.select(id_col, *fields)
     per_field = F.array(*[F.struct(F.lit(f).alias("field"), terms(F.col(f), t).alias("terms"))
                           for f, t in zip(fields, types)])
     exploded = (df.select(F.col(id_col).alias("doc_id"), F.explode(per_field).alias("ft"))

@@ -32,6 +32,16 @@ def test_tables(spark: SparkSession, n: int, partitions: int | None = None) -> t
     return t1, t2
 
 
+def tables_from(orders: DataFrame, lineitem: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two benchmark tables made of table rows: test1 of each order (key, twice the key, key as text), test2 of each
+    line (twice and three times its number, its price, its number as text); a line's number is 8 * order key + line."""
+    o, i = F.col("o_orderkey").cast("bigint"), F.col("l_orderkey").cast("bigint") * 8 + F.col("l_linenumber")
+    t1 = orders.select(o.alias("a"), (o * 2).alias("b"), F.concat(F.lit("text"), o.cast("string")).alias("c"))
+    t2 = lineitem.select((i * 2).alias("a"), (i * 3).alias("b"), F.col("l_extendedprice").cast("decimal(20,3)").alias("c"),
+                         F.concat(F.lit("text"), i.cast("string")).alias("d"))
+    return t1, t2
+
+
 def multiply_rows(df: DataFrame, shift_from: DataFrame | None = None, a: str = "a", b: str = "b",
                   rebuild: dict | None = None) -> DataFrame:
     """D8. Append the rows shifted by the current maxima of a and b (of ``shift_from``, default ``df``).
@@ -137,9 +147,9 @@ def _join_columns(t1: DataFrame, t2: DataFrame, lk: str, rk: str) -> DataFrame:
 
 
 def search_pattern(p: str) -> str:
-    """For a search (find) a leading or trailing unescaped ``.*`` changes nothing; dropping it keeps
-    the result and spares the regex engine a backtracking scan per start position."""
-    if p.startswith(".*"):
+    """For a search a greedy ``.*`` at an end of the pattern changes nothing; without it the engine is spared a
+    backtracking scan from each position. A lazy, possessive or escaped one stays as it is."""
+    if p.startswith(".*") and p[2:3] not in ("?", "+"):
         p = p[2:]
     if p.endswith(".*") and not p.endswith("\\.*"):
         p = p[:-2]
@@ -156,9 +166,7 @@ def regex_any(text: Column, patterns: list[str] = REGEX_PATTERNS) -> Column:
 
 def w11_regex_count(df: DataFrame, text_col: str, patterns: list[str] = REGEX_PATTERNS) -> DataFrame:
     """W11. ``count(*)`` of rows matching any of four regexes."""
-    from canopy.session import spread
-    df = spread(df.select(text_col))
-    return df.agg(F.count_if(regex_any(F.col(text_col), patterns)).alias("matches"))
+    return df.select(text_col).agg(F.count_if(regex_any(F.col(text_col), patterns)).alias("matches"))
 
 
 def column_ndv(df: DataFrame, exact: bool = False, rsd: float = 0.01) -> list[tuple[str, int]]:
@@ -194,41 +202,3 @@ def w15_memory(df: DataFrame, ranked: list[str]) -> DataFrame:
     for k, c in enumerate(ranked[1:MAX_WINDOWS + 1], start=1):
         out = out.withColumn(f"rn{k}", F.row_number().over(Window.partitionBy(key).orderBy(c)))
     return out
-
-
-def load_queries(table_name: str, ranked: list[str]) -> list[tuple[str, str]]:
-    """W16 SQL text for one table: (type, query) for disk, cpu, network, memory."""
-    key = ranked[0]
-    md5 = " || ".join(f"CAST({c} AS STRING)" for c in ranked)
-    windows = ", ".join(f"row_number() OVER (PARTITION BY {key} ORDER BY {c}) AS rn{k}"
-                        for k, c in enumerate(ranked[1:MAX_WINDOWS + 1], start=1))
-    return [
-        ("disk", f"SELECT max({key}) FROM {table_name}"),
-        ("cpu", f"SELECT count(DISTINCT md5({md5})) FROM {table_name}"),
-        ("network", f"SELECT count(*) FROM {table_name} t LEFT JOIN (SELECT {key} AS k, count(DISTINCT {ranked[1]}) AS cd "
-                    f"FROM {table_name} GROUP BY {key}) d ON t.{key} <=> d.k"),
-        ("memory", f"SELECT count(*) FROM (SELECT {key}{', ' + windows if windows else ''} FROM {table_name}) q"),
-    ]
-
-
-def w16_generate(spark: SparkSession, tables: dict[str, DataFrame], exact: bool = False) -> DataFrame:
-    """W16. Workload list ``(type, id, query)``: NDV per column (descending); tables with fewer than
-    two columns are refused."""
-    rows = []
-    per_type: dict[str, int] = {}
-    for name, df in tables.items():
-        ranked = [c for c, _ in column_ndv(df, exact=exact)]
-        if len(ranked) < 2:
-            continue
-        for kind, sql in load_queries(name, ranked):
-            rows.append((kind, per_type.get(kind, 0), sql))
-            per_type[kind] = per_type.get(kind, 0) + 1
-    return spark.createDataFrame(rows, "type string, id int, query string")
-
-
-def w17_mixed(work: DataFrame) -> DataFrame:
-    """W17. The read set with a ``mixed`` group holding every query of the other groups."""
-    mixed = work.select(F.lit("mixed").alias("type"), F.col("id"), F.col("query"))
-    # the work list is a handful of rows per table: one ordered window is fine here
-    numbered = mixed.withColumn("id", F.row_number().over(Window.orderBy("query")) - 1)
-    return work.unionByName(numbered)

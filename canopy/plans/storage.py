@@ -130,9 +130,9 @@ def sk4(spark, sf_dir):
 
 
 X_FIELDS, X_TYPES = ["text", "lang"], ["text_intl", "string"]
-X_SQL = """
+X_SQL = r"""
 WITH t AS (
-  SELECT 'text' AS field, tok AS term, doc_id FROM documents, unnest(regexp_split_to_array(lower(text), '[^a-z0-9_]+')) u(tok)
+  SELECT 'text' AS field, tok AS term, doc_id FROM documents, unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{M}}\p{{N}}_]+')) u(tok)
   WHERE tok <> ''
   UNION ALL
   SELECT 'lang', lang, doc_id FROM documents WHERE lang IS NOT NULL)

@@ -61,15 +61,12 @@ def split_gc_lines(lines: DataFrame, reject_limit: int | None = 1_000_000) -> Da
     """S2 parsing half: ``value = '<line>|<segment>'`` -> (gclogline, gp_segment), split at the last '|'.
     Rows without a numeric segment are rejected; more than ``reject_limit`` rejects is an error
     (checked by one count over the split rows, as the external table's reject limit)."""
-    if not lines.isStreaming:
-        from canopy.session import spread
-        lines = spread(lines)
     seg = F.substring_index("value", "|", -1)
-    ok = (F.instr("value", "|") > 0) & seg.rlike("^-?[0-9]{1,9}$")
+    ok = (F.instr("value", "|") > 0) & seg.rlike("^-?[0-9]+$") & seg.try_cast("int").isNotNull()
     parsed = lines.select(
         F.when(ok, F.expr("substring(value, 1, length(value) - length(substring_index(value, '|', -1)) - 1)"))
         .alias("gclogline"),
-        F.when(ok, seg.cast("int")).alias("gp_segment"))
+        F.when(ok, seg.try_cast("int")).alias("gp_segment"))
     if reject_limit is not None:
         bad = parsed.filter(F.col("gp_segment").isNull()).count()
         if bad > reject_limit:
@@ -84,9 +81,6 @@ def read_gc_log(spark: SparkSession, path: str, reject_limit: int = 1_000_000) -
 
 def split_process_lines(lines: DataFrame) -> DataFrame:
     """S3 parsing half: ``value = '<segment>|<ps line>'`` -> (segment_id, command), split at the first '|'."""
-    if not lines.isStreaming:
-        from canopy.session import spread
-        lines = spread(lines)
     cut = F.instr("value", "|")
     return lines.select(F.when(cut > 0, F.expr("substring(value, 1, instr(value, '|') - 1)"))
                         .otherwise(F.col("value")).alias("segment_id"),

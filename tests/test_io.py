@@ -142,3 +142,17 @@ def test_scoped_table(spark, tmp_dir):
     assert t.read("me").count() == 0 and t.base().count() == 4
     t.full_cleanup(spark.createDataFrame([("other",)], "sess_id string"), reorganize=True)
     assert [r["foo"] for r in t.base().collect()] == [7]
+
+
+def test_sessions_with_ids_that_look_alike(spark, tmp_dir):
+    from canopy.operators.scoped import SessionTable
+    t = SessionTable.create(spark, f"{tmp_dir}/alike", ["x int"])
+    for session in ("1", "01", "text"):
+        t.insert(spark.createDataFrame([(len(session),)], "x int"), session)
+    assert [[r.x for r in t.read(s).collect()] for s in ("1", "01", "text")] == [[1], [2], [4]]
+
+
+def test_gc_segments_over_nine_digits(spark):
+    from canopy.sources.files import split_gc_lines
+    lines = spark.createDataFrame([("x|2000000000",), ("y|99999999999",), ("z",)], "value string")
+    assert [(r.gclogline, r.gp_segment) for r in split_gc_lines(lines).collect()] == [("x", 2000000000)]

@@ -25,9 +25,11 @@ def test_entry_smoke(spark):
 
 def test_every_query_registered_with_an_id():
     assert len(QUERIES) >= 100 and set(ORACLE) <= set(QUERIES)
+    # Without an oracle are only text operators, whose own tests hold them against brute force.
+    assert all(n == "pipeline" or n.startswith("op") for n in set(QUERIES) - set(ORACLE))
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, con, name):
     r = compare(spark, con, name, QUERIES[name], ORACLE.get(name), SF)
-    assert r["status"] in ("match", "rows-only"), r
+    assert r["status"] == "match", r

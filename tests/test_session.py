@@ -1,6 +1,6 @@
-"""Session helpers: shared checkpoint folder, scratch paths, spread."""
+"""Session helpers: shared checkpoint folder, scratch paths."""
 
-from canopy.session import checkpoint_dir, cut_lineage, scratch_path, spread
+from canopy.session import checkpoint_dir, cut_lineage, scratch_path
 
 
 def test_scratch_paths_live_in_the_checkpoint_folder(spark):
@@ -15,11 +15,3 @@ def test_cut_lineage_is_a_reliable_checkpoint(spark):
     df = cut_lineage(spark.range(10).selectExpr("id * 2 AS v"))
     assert sorted(r["v"] for r in df.collect()) == list(range(0, 20, 2))
     assert set(os.listdir(checkpoint_dir(spark).replace("file:", ""))) - before  # written to the shared folder
-
-
-def test_spread_only_when_fewer_splits_than_cores(spark):
-    cores = spark.sparkContext.defaultParallelism
-    one = spark.range(100).coalesce(1)
-    assert spread(one).rdd.getNumPartitions() == cores
-    many = spark.range(100).repartition(cores * 2)
-    assert spread(many) is many

@@ -52,7 +52,7 @@ def test_postings_and_checks(spark, tmp_dir):
                                  "doc_id long, text string, lang string")
     post = {(r["field"], r["term"], r["doc_id"]): r["tf"] for r in X.postings(docs, "doc_id", ["text", "lang"],
                                                                            ["text_intl", "string"]).collect()}
-    assert post[("text", "hello", 1)] == 2 and post[("text", "world", 1)] == 1 and post[("text", "_x", 1)] == 1
+    assert post[("text", "hello", 1)] == 2 and post[("text", "world", 1)] == 1 and post[("text", "é_x", 1)] == 1
     assert post[("lang", "en", 1)] == 1 and post[("text", "a", 3)] == 2 and not any(k[2] == 2 for k in post)
     res = X.create_index(docs, tmp_dir + "/idx", "doc_id", "text", ["text", "lang"], ["text_intl", "string"],
                          history_path=tmp_dir + "/history")
@@ -70,3 +70,9 @@ def test_postings_and_checks(spark, tmp_dir):
     assert spark.read.parquet(out).count() == left.count()
     with pytest.raises(ValueError):
         X.postings(docs, "doc_id", ["text"], [])
+
+
+def test_terms_of_other_languages(spark):
+    from canopy.operators.textindex import terms
+    df = spark.createDataFrame([("Größe éà, über_2 日本!",)], "v string")
+    assert df.select(terms(df["v"], "text_intl").alias("t")).first()["t"] == ["größe", "éà", "über_2", "日本"]

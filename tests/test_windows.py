@@ -53,21 +53,16 @@ def test_multiply_rows(spark):
     assert len(out) == 20 and max(r["a"] for r in out) == 20 and max(r["b"] for r in out) == 40
 
 
-def test_search_pattern_rewrite_keeps_results(spark):
-    texts = ["xxaaaxx", "abcab", "01234", "xyzxyzxyzx", "nothing", "a\nbbb", "c.c"]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    for p in W.REGEX_PATTERNS:
-        a = [r[0] for r in df.select(F.col("t").rlike(p)).collect()]
-        b = [r[0] for r in df.select(F.col("t").rlike(W.search_pattern(p))).collect()]
-        assert a == b
-
-
-def test_ndv_ranking_and_generation(spark):
-    df = spark.createDataFrame([(i, i % 10, i % 3) for i in range(300)], "a int, b int, c int")
-    assert [c for c, _ in W.column_ndv(df, exact=True)] == ["a", "b", "c"]
-    work = W.w16_generate(spark, {"t": df, "one_col": df.select("a")}).collect()
-    assert {r["type"] for r in work} == {"disk", "cpu", "network", "memory"} and len(work) == 4
-    mixed = W.w17_mixed(W.w16_generate(spark, {"t": df}))
-    assert mixed.filter(F.col("type") == "mixed").count() == 4
-    w15 = W.w15_memory(df, ["a", "b", "c"])
-    assert w15.columns[-2:] == ["rn1", "rn2"]
+def test_search_pattern_keeps_lazy_and_escaped_ends(spark):
+    df = spark.createDataFrame([("zzabc",), ("ab",), (None,)], "t string")
+    for p in [".*?abc", ".*abc.*", "abc.*?", "x|.*abc", ".*+abc", "c\\.*"]:
+        own = [r[0] for r in df.select(W.regex_any(F.col("t"), [p])).collect()]
+        assert own == [r[0] for r in df.select(F.col("t").rlike(p)).collect()], p
+
+
+def test_tables_from_rows(spark):
+    o = spark.createDataFrame([(7,)], "o_orderkey bigint")
+    li = spark.createDataFrame([(7, 2, 10.5)], "l_orderkey bigint, l_linenumber int, l_extendedprice double")
+    t1, t2 = W.tables_from(o, li)
+    assert [tuple(r) for r in t1.collect()] == [(7, 14, "text7")]
+    assert [(r.a, r.b, float(r.c), r.d) for r in t2.collect()] == [(116, 174, 10.5, "text58")]
