@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from canopy.session import written
+
 # Fixed values (must equal the reference): the three line patterns, anchored at line start, and
 # the alert thresholds.
-_HEAD = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})T([0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]+)[\+\-][0-9]+\:\s+[0-9]+\.[0-9]+:\s+"
-_SIZES = r"([0-9]+)K->([0-9]+)K\(([0-9]+)K\)"
-YOUNG_PARALLEL = _HEAD + r"\[GC \[PSYoungGen: " + _SIZES + r"\]\s+" + _SIZES + r",\s+([0-9]+\.[0-9]+)\s+secs\]"
-YOUNG_DEFNEW = (_HEAD + r"\[GC\s+[0-9]+\.[0-9]+:\s+\[DefNew: " + _SIZES + r"\,\s+[0-9]+\.[0-9]+\s+secs\]\s+"
-                + _SIZES + r",\s+([0-9]+\.[0-9]+)\s+secs\]")
-FULL = (_HEAD + r"\[Full GC\s+\[PSYoungGen: " + _SIZES + r"\]\s+\[PSOldGen: " + _SIZES + r"\]\s+" + _SIZES
-        + r"\s+\[PSPermGen: " + _SIZES + r"\],\s([0-9]+\.[0-9]+)\s+secs\]")
+YOUNG_PARALLEL = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})T([0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]+)[\+\-][0-9]+\:\s+[0-9]+\.[0-9]+:\s+\[GC \[PSYoungGen: ([0-9]+)K->([0-9]+)K\(([0-9]+)K\)\]\s+([0-9]+)K->([0-9]+)K\(([0-9]+)K\),\s+([0-9]+\.[0-9]+)\s+secs\]"  # noqa: E501
+YOUNG_DEFNEW = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})T([0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]+)[\+\-][0-9]+\:\s+[0-9]+\.[0-9]+:\s+\[GC\s+[0-9]+\.[0-9]+:\s+\[DefNew: ([0-9]+)K->([0-9]+)K\(([0-9]+)K\)\,\s+[0-9]+\.[0-9]+\s+secs\]\s+([0-9]+)K->([0-9]+)K\(([0-9]+)K\),\s+([0-9]+\.[0-9]+)\s+secs\]"  # noqa: E501
+FULL = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})T([0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]+)[\+\-][0-9]+\:\s+[0-9]+\.[0-9]+:\s+\[Full GC\s+\[PSYoungGen: ([0-9]+)K->([0-9]+)K\(([0-9]+)K\)\]\s+\[PSOldGen: ([0-9]+)K->([0-9]+)K\(([0-9]+)K\)\]\s+([0-9]+)K->([0-9]+)K\(([0-9]+)K\)\s+\[PSPermGen: ([0-9]+)K->([0-9]+)K\(([0-9]+)K\)\],\s([0-9]+\.[0-9]+)\s+secs\]"  # noqa: E501
 
 FULLGC_INTERVAL = 2.0    # last interval * this < average interval
 FULLGC_HEAP_PERC = 80.0  # heap after full GC above this % of max
@@ -94,22 +92,19 @@ def _micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-SEGMENT_BROADCAST_ROWS = 100_000  # per-segment rows up to this count are broadcast
-
-
 def full_gc_intervals(gc: DataFrame) -> DataFrame:
     """GC3. Per segment: average full-GC interval and the interval before the latest full GC (seconds).
 
     Same numbers as ``ts - lag(ts)`` over each segment's full GCs, without putting a segment into one
     task: the intervals telescope, so their average is (last - first) / (n - 1); the last interval is
     the latest start minus the latest earlier start (0 when the latest start occurs twice). Both are
-    grouped aggregates combined map-side; the second joins the per-segment row back, broadcast when the
-    counted number of segments is small."""
-    full = gc.filter(F.col("is_full") == 1).select("gp_segment", _micros(F.col("gc_start")).alias("__t"))
+    grouped aggregates combined map-side. The full GCs are parsed once and written (segment and start only); the
+    aggregates read that table."""
+    full = written(gc.filter(F.col("is_full") == 1).select("gp_segment", _micros(F.col("gc_start")).alias("__t")),
+                   "full-gc")
     per = full.groupBy("gp_segment").agg(F.max("__t").alias("__mx"), F.min("__t").alias("__mn"),
                                          F.count("__t").alias("__n"))
-    side = F.broadcast(per) if per.count() <= SEGMENT_BROADCAST_ROWS else per
-    second = (full.join(side, "gp_segment")
+    second = (full.join(per, "gp_segment")
               .groupBy("gp_segment")
               .agg(F.max(F.when(F.col("__t") < F.col("__mx"), F.col("__t"))).alias("__prev"),
                    F.count_if(F.col("__t") == F.col("__mx")).alias("__at_max"),
@@ -152,10 +147,12 @@ def gc_seconds_last_hour(gc: DataFrame, as_of: str) -> DataFrame:
 def gc_alerts(gc: DataFrame, as_of: str, pick: str = "last") -> DataFrame:
     """GC7. The four rules as rows ``(gp_segment, rule, value, threshold, is_error)``.
 
-    Two passes over the parsed log: the interval rule needs the ordered full GCs (a window); the heap,
-    event and time rules come from one grouped aggregate whose row is unfolded into rule rows. A rule
-    row exists only where the reference query returns a row for that segment."""
+    The log is read and parsed once: the six columns that the rules need are written, and both passes read that
+    table, one for the interval rule, one grouped aggregate for the heap, event and time rules whose row is unfolded
+    into rule rows. A rule row exists only where the reference query returns a row for that segment."""
     dec = "decimal(20,3)"
+    gc = written(gc.select("gp_segment", "is_full", "gc_start", "full_heap_max_size_kb", "full_heap_new_size_kb",
+                           "gc_runtime_sec"), "gc-rules")
     iv = full_gc_intervals(gc).select(
         "gp_segment", F.lit("fullgc_interval").alias("rule"), F.col("full_gc_interval").cast(dec).alias("value"),
         (F.col("avg_full_gc_interval") / FULLGC_INTERVAL).cast(dec).alias("threshold"),

@@ -14,11 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopy.session import cut_lineage
+from canopy.session import cut_lineage, written
 
 HIER_DEPTH_LIMIT = 100        # levels of H1 / H9 (a path may hold limit + 1 elements)
 SUBTREE_ARRAY_LIMIT = 100000  # H11 array form
-FRONTIER_BROADCAST_ROWS = 1_000_000  # upper bound on rows of a broadcast frontier (bytes are checked too)
 
 
 class HierarchyError(RuntimeError):
@@ -139,30 +138,12 @@ def _fresh(df: DataFrame, name: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(c) for c in df.columns]).alias(name)
 
 
-def _row_bytes(df: DataFrame) -> int:
-    """A generous width estimate from the schema (strings and arrays counted at 64 bytes)."""
-    width = 16
-    for f in df.schema.fields:
-        name = f.dataType.typeName()
-        width += 64 if name in ("string", "binary", "array", "map", "struct", "variant") else 8
-    return width
-
-
-def _broadcast_bytes(spark) -> int:
-    text = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).strip().lower()
-    units = {"kb": 1 << 10, "mb": 1 << 20, "gb": 1 << 30, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "b": 1}
-    for u in ("kb", "mb", "gb", "k", "m", "g", "b"):
-        if text.endswith(u):
-            return int(float(text[:-len(u)]) * units[u])
-    return int(text)
-
-
-def _frontier_side(frontier: DataFrame, rows: int) -> DataFrame:
-    """Broadcast the frontier when its counted rows times an estimated row width fit the session's
-    broadcast threshold, so the base table is only streamed; otherwise the planner's shuffle join."""
-    limit = _broadcast_bytes(frontier.sparkSession)
-    small = limit > 0 and rows <= FRONTIER_BROADCAST_ROWS and rows * _row_bytes(frontier) <= limit
-    return F.broadcast(frontier) if small else frontier
+def _check_equi(joined: DataFrame, connect_by: str) -> None:
+    """Raises for a predicate without an equality between parent and child: its join tests every pair."""
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
+        raise HierarchyError(f"no equality between <parent> and <child> in {connect_by!r}: every pair of rows would be "
+                             "compared; pass allow_pairs=True if the tables are small")
 
 
 def _pred(connect_by: str) -> Column:
@@ -178,7 +159,8 @@ def custom_hierarchy(df: DataFrame, primary_key: list[str], connect_by: str,
                      connect_by_root: list[str] | None = None,
                      connect_by_path: list[tuple[str, str]] | None = None,
                      leaf: bool = True, max_levels: int = HIER_DEPTH_LIMIT,
-                     output_path: str | None = None, index_level: int | None = None) -> DataFrame:
+                     output_path: str | None = None, index_level: int | None = None,
+                     allow_pairs: bool = False) -> DataFrame:
     """H9 (``leaf=False`` gives H10). Level-by-level CONNECT BY with any parent/child predicate.
 
     ``connect_by`` uses ``<parent>`` and ``<child>`` as table names, e.g.
@@ -187,10 +169,11 @@ def custom_hierarchy(df: DataFrame, primary_key: list[str], connect_by: str,
     one step appears twice. Columns: source, ``__level``, ``__chier_leaf``, ``__cbp_*``, ``__cbr_*``.
     With ``output_path`` the result replaces that table (the reference truncates its output table
     first) and is read back from it. ``index_level`` is a physical hint without effect here.
+    A predicate without an equality between parent and child raises unless ``allow_pairs``.
     """
     if output_path is not None:
         res = custom_hierarchy(df, primary_key, connect_by, start_with, start_condition, connect_by_root,
-                               connect_by_path, leaf, max_levels)
+                               connect_by_path, leaf, max_levels, allow_pairs=allow_pairs)
         res.write.mode("overwrite").parquet(output_path)
         return df.sparkSession.read.parquet(output_path)
     if (start_with is None) == (start_condition is None):
@@ -218,32 +201,31 @@ def custom_hierarchy(df: DataFrame, primary_key: list[str], connect_by: str,
         *[F.col(f"t.{r}").alias(f"__cbr_{r}") for r in roots])
     extra = ["__level"] + [f"__cbp_{f}" for f, _ in paths] + [f"__cbr_{r}" for r in roots]
 
-    # each level is written once; the visited keys are the union of the written levels, so no level
-    # is rewritten and lineage stays one union of checkpointed scans
-    levels = [cut_lineage(level1)]
-    frontier, frontier_rows = levels[0], levels[0].count()
+    # each level is written once as Parquet: the anti join reads only the keys, the planner knows the size of the
+    # frontier and broadcasts a small one, so that the base is streamed and not shuffled
+    levels = [written(level1, "level")]
     level = 2
     while True:
         # left_anti needs no distinct on the visited keys
         visited = _union_all([lv.select(*primary_key) for lv in levels])
-        step = _frontier_side(_fresh(frontier, "h"), frontier_rows).join(_fresh(df, "t"), _pred(connect_by), "inner").select(
+        step = _fresh(levels[-1], "h").join(_fresh(df, "t"), _pred(connect_by), "inner").select(
             "t.*", F.lit(level).alias("__level"),
             *[F.concat(F.col(f"h.__cbp_{f}"), F.lit(d), as_text(f)).alias(f"__cbp_{f}") for f, d in paths],
             *[F.col(f"h.__cbr_{r}").alias(f"__cbr_{r}") for r in roots])
-        fresh = cut_lineage(step.join(visited, primary_key, "left_anti").select(*src_cols, *extra))
-        fresh_rows = fresh.count()  # cheap: reads the checkpoint
-        if fresh_rows == 0:
+        if level == 2 and not allow_pairs:
+            _check_equi(step, connect_by)
+        fresh = written(step.join(visited, primary_key, "left_anti").select(*src_cols, *extra), "level")
+        if fresh.isEmpty():
             break
         if level > max_levels:
             raise HierarchyError(f"hierarchy depth increased {max_levels} levels. Check it manually")
         levels.append(fresh)
-        frontier, frontier_rows = fresh, fresh_rows
         level += 1
     out = _union_all(levels)
 
     if not leaf:
         return out.select(*src_cols, *extra)
-    parents = (_fresh(out, "h").join(_fresh(out, "t"), _pred(connect_by), "inner")
+    parents = (_fresh(out, "h").join(_fresh(out, "t"), _pred(connect_by), "left_semi")
                .select(*[F.col(f"h.{k}").alias(k) for k in primary_key]).distinct()
                .withColumn("__nonleaf", F.lit(True)))
     res = out.join(parents, primary_key, "left").withColumn("__chier_leaf", F.col("__nonleaf").isNull())
@@ -256,19 +238,16 @@ def subtree_nodes(df: DataFrame, id_col: str, parent_col: str, value) -> DataFra
     spark = df.sparkSession
     edges = df.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent")) \
         .filter(F.col("id").isNotNull() & F.col("parent").isNotNull())
-    start = cut_lineage(spark.range(1).select(F.lit(value).cast(df.schema[id_col].dataType).alias("id")))
-    levels, frontier, frontier_rows = [start], start, 1
+    levels = [written(spark.range(1).select(F.lit(value).cast(df.schema[id_col].dataType).alias("id")), "level")]
     while True:
         seen = _union_all(levels)
-        nxt = (edges.join(_frontier_side(frontier.withColumnRenamed("id", "parent"), frontier_rows), "parent", "left_semi")
+        nxt = (edges.join(levels[-1].withColumnRenamed("id", "parent"), "parent", "left_semi")
                .select("id").distinct()
                .join(seen, "id", "left_anti"))
-        nxt = cut_lineage(nxt)
-        nxt_rows = nxt.count()
-        if nxt_rows == 0:
+        nxt = written(nxt, "level")
+        if nxt.isEmpty():
             return seen
         levels.append(nxt)
-        frontier, frontier_rows = nxt, nxt_rows
 
 
 def subtree(df: DataFrame, id_col: str, parent_col: str, value, limit: int = SUBTREE_ARRAY_LIMIT) -> DataFrame:

@@ -1,7 +1,8 @@
-"""Dictionary lookup (K1-K3): a keyed dictionary replicated to every executor by a broadcast join.
+"""Dictionary lookup (K1-K3): a left join with a keyed dictionary.
 
-The dictionary is broadcast only when its row count was checked against ``max_rows``; above it the
-lookup is an ordinary shuffle join (AQE may still pick a broadcast at run time from real sizes).
+The planner replicates the dictionary to every executor when its size in bytes lies below
+``spark.sql.autoBroadcastJoinThreshold`` (by statistics, or by the sizes that AQE sees at run time); above it the
+lookup is a shuffle join.
 """
 
 from __future__ import annotations
@@ -11,8 +12,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ADVISED_MAX_ROWS = 100_000  # size advice of the reference dictionary
-
 
 class LookupError_(KeyError):
     pass
@@ -23,16 +22,13 @@ class Lookup:
     table: DataFrame      # keys + fields, all fields as text
     keys: list[str]
     fields: list[str]
-    rows: int
-    broadcast: bool
 
 
-def memlookup_load(dictionary: DataFrame, keys: list[str], fields: list[str], max_rows: int = ADVISED_MAX_ROWS,
+def memlookup_load(dictionary: DataFrame, keys: list[str], fields: list[str],
                    dedupe: str | None = None) -> Lookup:
     """K1. Load a dictionary keyed by ``keys`` with text ``fields``.
 
-    Keys must be unique: duplicates raise, unless ``dedupe='max'`` keeps the greatest value per field.
-    The row count is checked (one small aggregate) to decide whether the table may be broadcast."""
+    Keys must be unique: duplicates raise, unless ``dedupe='max'`` keeps the greatest value per field."""
     d = dictionary.select(*keys, *[F.col(f).cast("string").alias(f) for f in fields])
     if dedupe == "max":
         d = d.groupBy(*keys).agg(*[F.max(f).alias(f) for f in fields])
@@ -40,8 +36,7 @@ def memlookup_load(dictionary: DataFrame, keys: list[str], fields: list[str], ma
         dup = d.groupBy(*keys).count().filter(F.col("count") > 1).limit(1).count()
         if dup:
             raise LookupError_(f"duplicate keys in dictionary on {keys}")
-    rows = d.count()
-    return Lookup(d, list(keys), list(fields), rows, rows <= max_rows)
+    return Lookup(d, list(keys), list(fields))
 
 
 def memlookup_find(df: DataFrame, lookup: Lookup, key_cols: list[str], field: str, out: str | None = None) -> DataFrame:
@@ -52,8 +47,6 @@ def memlookup_find(df: DataFrame, lookup: Lookup, key_cols: list[str], field: st
         raise LookupError_("key arity differs from the dictionary")
     right = lookup.table.select(*[F.col(k).alias(f"__lk{i}") for i, k in enumerate(lookup.keys)],
                                 F.col(field).alias(out or field))
-    if lookup.broadcast:
-        right = F.broadcast(right)
     cond = None
     for i, k in enumerate(key_cols):
         c = F.col(k) == F.col(f"__lk{i}")

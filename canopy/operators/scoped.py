@@ -1,5 +1,6 @@
 """Session-scoped rows (T1-T4): one base table partitioned by ``__session_id``; a session reads and
-writes only its own partition (partition pruning), cleanups rewrite into a new folder."""
+writes only its own partition (partition pruning). T3 removes the session's partition folder; T4 rewrites into a new
+folder, and the name of the folder in force is committed next to the data, so every process reads the same rows."""
 
 from __future__ import annotations
 
@@ -16,27 +17,43 @@ class SessionTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
-        self._current = self.path
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, columns: list[str], distribution: list[str] | None = None):
         """T1. Base table from ``'name type'`` column items plus ``__session_id``."""
         ddl = ", ".join(columns) + f", {SESSION_COL} string"
-        spark.createDataFrame([], ddl).write.mode("overwrite").partitionBy(SESSION_COL).parquet(path)
         t = cls(spark, path)
+        fs, log = t._fs(t._log)
+        if fs.exists(log):
+            raise ValueError(f"{path} has been reorganised before; create the table at a fresh path")
+        spark.createDataFrame([], ddl).write.mode("overwrite").partitionBy(SESSION_COL).parquet(path)
         t.distribution = distribution
         return t
 
+    @property
+    def _log(self) -> str:
+        return f"{self.path}.locations"
+
+    def _fs(self, path: str):
+        jvm = self.spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), at
+
     @property
     def location(self) -> str:
-        return self._current
+        """The folder in force: the last one committed by T4, else the path itself."""
+        fs, at = self._fs(self._log)
+        if not fs.exists(at):
+            return self.path
+        return (self.spark.read.schema("version bigint, location string").json(self._log)
+                .agg(F.max_by("location", "version")).first()[0])
 
     def base(self) -> DataFrame:
-        return self.spark.read.schema(self._schema()).parquet(self._current)
+        return self.spark.read.schema(self._schema()).parquet(self.location)
 
     def _schema(self) -> T.StructType:
         """The stored columns with the session id as text: guessing the type of a folder name makes '1' of '01'."""
-        found = self.spark.read.parquet(self._current).schema
+        found = self.spark.read.parquet(self.location).schema
         return T.StructType([T.StructField(f.name, T.StringType()) if f.name == SESSION_COL else f for f in found])
 
     def read(self, session_id: str) -> DataFrame:
@@ -49,18 +66,31 @@ class SessionTable:
         dist = getattr(self, "distribution", None)
         if dist:
             tagged = tagged.repartition(*dist)
-        tagged.write.mode("append").partitionBy(SESSION_COL).parquet(self._current)
+        tagged.write.mode("append").partitionBy(SESSION_COL).parquet(self.location)
 
     def _rewrite(self, keep: DataFrame, coalesce_to: int | None = None) -> None:
         new = f"{self.path}.v{uuid.uuid4().hex[:8]}"
         if coalesce_to:
             keep = keep.coalesce(coalesce_to)
         keep.write.mode("errorifexists").partitionBy(SESSION_COL).parquet(new)
-        self._current = new  # readers switch to the new folder; the old one is left for running readers
+        version = 0
+        fs, at = self._fs(self._log)
+        if fs.exists(at):
+            version = self.spark.read.schema("version bigint, location string").json(self._log).agg(
+                F.max("version")).first()[0] + 1
+        # one appended file; the folders of earlier versions are left for running readers
+        (self.spark.createDataFrame([(version, new)], "version bigint, location string").coalesce(1)
+         .write.mode("append").json(self._log))
 
     def cleanup(self, session_id: str) -> None:
-        """T3. Delete own rows."""
-        self._rewrite(self.base().filter(~F.col(SESSION_COL).eqNullSafe(F.lit(session_id))))
+        """T3. Delete own rows: the session's partition folder goes, no other session's rows are touched."""
+        own = (self.base().filter(F.col(SESSION_COL) == session_id)
+               .select(F.regexp_replace("_metadata.file_path", "/[^/]+$", "").alias("folder")).distinct())
+        for row in own.collect():  # the folder of one partition
+            uri = self.spark._jvm.java.net.URI(row["folder"])
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(uri)
+            at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        self.spark.catalog.refreshByPath(self.location)
 
     def full_cleanup(self, active_sessions: DataFrame, session_col: str = "sess_id", reorganize: bool = False) -> None:
         """T4. Keep only rows of active sessions (NULL or inactive ids go); ``reorganize`` compacts files."""

@@ -1,10 +1,8 @@
 """Window operators that survive hot partition keys.
 
-* ``row_number_split``: ``row_number() over (partition by keys order by ...)``. When one key holds
-  more rows than ``max_group_rows`` the plain window would put that whole group into one task; the
-  split path range-partitions on (keys, order) instead, numbers rows inside each range partition and
-  adds, per partition, the count of the same key in earlier partitions (a table of at most
-  2 x partitions rows, so it is broadcast with a proven bound).
+* ``row_number_split``: ``row_number() over (partition by keys order by ...)``. Rows are range-partitioned on
+  (keys, order), so a hot key is spread over as many ranges as its size needs; rows are numbered inside each (key,
+  range) and the counts of the same key in earlier ranges are added.
 * ``max_over``: ``max(v) over (partition by k)`` as a grouped aggregate (map-side combined) joined back.
 * ``count_distinct_over``: ``count(distinct x) over (partition by y)``, which Spark refuses as a window.
 """
@@ -13,79 +11,37 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-DEFAULT_MAX_GROUP_ROWS = 5_000_000
+from canopy.session import written
 
 
 def _cols(cs) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cs]
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    row = df.groupBy(*keys).count().agg(F.max("count").alias("m")).first()
-    return int(row["m"] or 0)
-
-
 def row_number_split(df: DataFrame, keys: list[str], order: list, out: str = "rn",
-                     max_group_rows: int | None = DEFAULT_MAX_GROUP_ROWS, partitions: int | None = None) -> DataFrame:
+                     partitions: int | None = None) -> DataFrame:
     """``row_number()`` per ``keys`` ordered by ``order`` (Columns or names; ascending unless a Column says
-    otherwise). Give a total order (a unique last key) for a deterministic numbering."""
-    if max_group_rows is not None and largest_group(df, keys) <= max_group_rows:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*_cols(order))))
-    return _row_number_ranges(df, keys, order, out, partitions)
-
+    otherwise). Give a total order (a unique last key) for a deterministic numbering.
 
-def _row_number_ranges(df: DataFrame, keys: list[str], order: list, out: str, partitions: int | None) -> DataFrame:
-    from canopy.session import cut_lineage
-    spark = df.sparkSession
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    The ranges are written once, so that a range keeps its number. A (key, range) group is never larger than a
+    range. Only a key that crosses the border of a range needs an offset: at most two rows a range, broadcast."""
+    n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sort_cols = [F.col(k) for k in keys] + _cols(order)
-    ranged = df.repartitionByRange(n_parts, *sort_cols).sortWithinPartitions(*sort_cols)
-    schema = T.StructType(df.schema.fields + [T.StructField("__pid", T.IntegerType(), False),
-                                              T.StructField("__lrn", T.LongType(), False)])
-    key_names = list(keys)
-
-    def number(batches):
-        import pandas as pd
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        carry_key, carry_n = None, 0
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            k = pdf[key_names]
-            prev = k.shift(1)
-            same = ((k == prev) | (k.isna() & prev.isna())).all(axis=1)
-            if carry_key is not None:
-                first = k.iloc[0]
-                same.iloc[0] = all((a == b) or (pd.isna(a) and pd.isna(b)) for a, b in zip(first, carry_key))
-            else:
-                same.iloc[0] = False
-            run = (~same).cumsum()
-            lrn = pdf.groupby(run.values).cumcount().astype("int64") + 1
-            if same.iloc[0]:
-                lrn = lrn + (run == run.iloc[0]).astype("int64") * carry_n
-            carry_key, carry_n = tuple(k.iloc[-1]), int(lrn.iloc[-1])
-            yield pdf.assign(__pid=pid, __lrn=lrn.values)
-
-    local = cut_lineage(ranged.mapInPandas(number, schema))
-    key_struct = F.struct(*[F.col(k) for k in keys])
-    edges = local.groupBy("__pid").agg(F.min(key_struct).alias("__first"), F.max(key_struct).alias("__last"))
-    # at most 2 rows per partition: the first and the last key of each range partition
-    counts = (local.join(F.broadcast(edges), "__pid")
-              .filter(key_struct.eqNullSafe(F.col("__first")) | key_struct.eqNullSafe(F.col("__last")))
-              .groupBy("__pid", *keys).agg(F.max("__lrn").alias("__len")))
-    w = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        F.col("__pid").alias("__opid"), *[F.col(k).alias(f"__ok{i}") for i, k in enumerate(key_names)],
-        F.coalesce(F.sum("__len").over(w), F.lit(0)).alias("__off"))
+    ranged = written(df.repartitionByRange(n_parts, *sort_cols).withColumn("__pid", F.spark_partition_id()), "ranges")
+    local = ranged.withColumn("__lrn", F.row_number().over(Window.partitionBy(*keys, "__pid").orderBy(*_cols(order))))
+    names = [f"__ok{i}" for i in range(len(keys))]
+    counts = ranged.groupBy("__pid", *keys).agg(F.count(F.lit(1)).alias("__len"))
+    # null keys are keys too: the join below is null-safe
+    counts = counts.select(F.col("__pid").alias("__opid"), *[F.col(k).alias(n) for k, n in zip(keys, names)], "__len")
+    earlier = Window.partitionBy(*names).orderBy("__opid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (counts.withColumn("__off", F.sum("__len").over(earlier)).filter(F.col("__off").isNotNull())
+               .drop("__len"))
     cond = F.col("__pid") == F.col("__opid")
-    for i, k in enumerate(key_names):
-        cond = cond & F.col(k).eqNullSafe(F.col(f"__ok{i}"))
+    for k, n in zip(keys, names):
+        cond = cond & F.col(k).eqNullSafe(F.col(n))
     joined = local.join(F.broadcast(offsets), cond, "left")
-    rn = (F.col("__lrn") + F.coalesce(F.col("__off"), F.lit(0))).alias(out)
-    return joined.select(*df.columns, rn)
+    return joined.select(*df.columns, (F.col("__lrn") + F.coalesce("__off", F.lit(0))).alias(out))
 
 
 def max_over(df: DataFrame, value: str, key: Column | str, out: str) -> DataFrame:

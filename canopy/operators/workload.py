@@ -111,12 +111,11 @@ def w6_md5(t2: DataFrame) -> DataFrame:
     return t2.select(md5_of(["a", "b", "c", "d"]).alias("md5"))
 
 
-def w7_skewed_row_number(t2: DataFrame, max_group_rows: int | None = None) -> DataFrame:
+def w7_skewed_row_number(t2: DataFrame) -> DataFrame:
     """W7. ``row_number() over (partition by substr(d,1,5) order by c)`` (tie broken by a).
     Only nine keys exist; hot keys are split over range partitions (see ``row_number_split``)."""
     keyed = t2.withColumn("__p", F.substring("d", 1, 5))
-    kw = {} if max_group_rows is None else {"max_group_rows": max_group_rows}
-    return row_number_split(keyed, ["__p"], [F.col("c"), F.col("a")], "rn", **kw).drop("__p")
+    return row_number_split(keyed, ["__p"], [F.col("c"), F.col("a")], "rn").drop("__p")
 
 
 def w8_window_max(t2: DataFrame) -> DataFrame:

@@ -67,6 +67,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/canopy-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet into the shared folder and read back: later steps read only the columns they
+    use, and the planner knows the size. A lost executor costs no recomputation."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (never a local checkpoint)."""
     checkpoint_dir(df.sparkSession)

@@ -129,7 +129,9 @@ def test_custom_hierarchy_reached_twice_in_one_step(spark):
     # node 3 has two parents in the frontier of the same step: it appears twice
     df = spark.createDataFrame([(1, None), (2, None), (3, 1)], "id long, p long")
     pred = "<child>.id = 3 and <parent>.id <> 3"
-    out = H.custom_hierarchy(df, ["id"], pred, start_condition="id in (1, 2)")
+    with pytest.raises(H.HierarchyError, match="no equality"):
+        H.custom_hierarchy(df, ["id"], pred, start_condition="id in (1, 2)")
+    out = H.custom_hierarchy(df, ["id"], pred, start_condition="id in (1, 2)", allow_pairs=True)
     assert sorted(r["id"] for r in out.collect()) == [1, 2, 3, 3]
 
 

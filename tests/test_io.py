@@ -87,7 +87,7 @@ def test_csv_export_and_table_writes(spark, tmp_dir):
 def test_lookup(spark):
     d = spark.range(1, 10001).select(F.col("id").alias("a"), (F.col("id") * 2).alias("b"), (F.col("id") * 3).alias("c"))
     lk = K.memlookup_load(d, ["a"], ["b", "c"])
-    assert lk.broadcast and lk.rows == 10000
+    assert lk.table.count() == 10000
     probe = spark.range(1, 10002).select(F.col("id").alias("a"))
     assert K.lookup_aggregate(probe, lk, ["a"], "c").first()[0] == 30000
     found = K.memlookup_find(probe, lk, ["a"], "b").filter(F.col("a") == 10001).first()
@@ -97,8 +97,7 @@ def test_lookup(spark):
     dup = d.unionByName(d.limit(1))
     with pytest.raises(K.LookupError_):
         K.memlookup_load(dup, ["a"], ["b"])
-    assert K.memlookup_load(dup, ["a"], ["b"], dedupe="max").rows == 10000
-    assert not K.memlookup_load(d, ["a"], ["b"], max_rows=10).broadcast
+    assert K.memlookup_load(dup, ["a"], ["b"], dedupe="max").table.count() == 10000
 
 
 def test_params(spark, tmp_dir):
@@ -152,6 +151,21 @@ def test_sessions_with_ids_that_look_alike(spark, tmp_dir):
     assert [[r.x for r in t.read(s).collect()] for s in ("1", "01", "text")] == [[1], [2], [4]]
 
 
+def test_cleanups_hold_for_other_processes(spark, tmp_dir):
+    t = SessionTable.create(spark, f"{tmp_dir}/durable", ["x int"])
+    for k, session in enumerate(["a b/ü%", "ab", "gone", None]):
+        t.insert(spark.createDataFrame([(k,)], "x int"), session)
+    t.cleanup("a b/ü%")
+    again = SessionTable(spark, f"{tmp_dir}/durable")  # knows the path only
+    assert sorted(r.x for r in again.base().collect()) == [1, 2, 3]
+    t.cleanup("never seen")
+    again.full_cleanup(spark.createDataFrame([("ab",)], "sess_id string"))
+    assert [r.x for r in SessionTable(spark, f"{tmp_dir}/durable").base().collect()] == [1]
+    t.insert(spark.createDataFrame([(9,)], "x int"), "ab")
+    t.full_cleanup(spark.createDataFrame([("ab",)], "sess_id string"), reorganize=True)
+    assert sorted(r.x for r in again.read("ab").collect()) == [1, 9]
+
+
 def test_gc_segments_over_nine_digits(spark):
     from canopy.sources.files import split_gc_lines
     lines = spark.createDataFrame([("x|2000000000",), ("y|99999999999",), ("z",)], "value string")

@@ -15,7 +15,7 @@ def test_parameter_filter_is_pushed_and_columns_pruned(spark):
     assert "ReadSchema: struct<l_extendedprice:double,l_returnflag:string>" in plan
 
 
-def test_lookup_broadcasts_counted_dictionary_and_prunes_probe(spark):
+def test_lookup_broadcasts_small_dictionary_and_prunes_probe(spark):
     plan = _plan(E.queries()["K2"](spark, SF))
     assert "BroadcastHashJoin" in plan
     assert "ReadSchema: struct<l_orderkey:bigint,l_suppkey:bigint,l_linenumber:int>" in plan

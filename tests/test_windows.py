@@ -11,7 +11,7 @@ from canopy.operators import workload as W
 
 def test_row_number_split_matches_plain(spark):
     _, t2 = W.test_tables(spark, 3000)
-    split = W.w7_skewed_row_number(t2, max_group_rows=0).select("a", "rn").collect()
+    split = W.w7_skewed_row_number(t2).select("a", "rn").collect()
     plain = t2.withColumn("rn", F.row_number().over(Window.partitionBy(F.substring("d", 1, 5)).orderBy("c", "a"))) \
         .select("a", "rn").collect()
     assert sorted(split) == sorted(plain)
@@ -22,11 +22,19 @@ def test_row_number_split_hot_key_many_partitions(spark):
     rows = [("hot" if rnd.random() < 0.6 else f"k{rnd.randint(0, 20)}", rnd.randint(0, 50), i) for i in range(4000)]
     rows += [(None, 1, 10_000 + i) for i in range(30)]
     df = spark.createDataFrame(rows, "k string, o int, u int")
-    a = Wn.row_number_split(df, ["k"], ["o", "u"], "rn", max_group_rows=0, partitions=13).collect()
+    a = Wn.row_number_split(df, ["k"], ["o", "u"], "rn", partitions=13).collect()
     b = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("o", "u"))).collect()
     assert sorted(a, key=str) == sorted(b, key=str)
 
 
+def test_row_number_split_of_old_and_late_timestamps(spark):
+    df = spark.sql("select * from values (1, timestamp_ntz'0001-01-01 00:00:00'), (1, timestamp_ntz'9999-12-31 00:00:00') "
+                   "as t(k, ts)")
+    got = Wn.row_number_split(df, ["k"], ["ts"], "rn", partitions=3).select("rn", F.year("ts")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1), (2, 9999)]
+    assert Wn.row_number_split(df.limit(0), ["k"], ["ts"], "rn").collect() == []
+
+
 def test_max_over_and_count_distinct_over(spark):
     rows = [(k % 5 if k % 7 else None, k % 3 if k % 4 else None, k) for k in range(200)]
     df = spark.createDataFrame(rows, "y int, x int, v int")
