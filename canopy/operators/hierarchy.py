@@ -11,10 +11,10 @@ predicate can be any join condition; the visited set is an anti join against the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from canopy.session import cut_lineage, written
+from canopy.session import cut_lineage, scratch_path
 
 HIER_DEPTH_LIMIT = 100        # levels of H1 / H9 (a path may hold limit + 1 elements)
 SUBTREE_ARRAY_LIMIT = 100000  # H11 array form
@@ -126,11 +126,32 @@ def refresh_hierarchy_unsafe(df: DataFrame, id_col: str, parent_col: str, no_cyc
                              max_levels=max_levels, primary_key=primary_key, id_type=id_type)
 
 
-def _union_all(dfs: list[DataFrame]) -> DataFrame:
-    out = dfs[0]
-    for d in dfs[1:]:
-        out = out.unionByName(d)
-    return out
+class _Levels:
+    """The levels of an expansion, each written once as Parquet into the shared folder. All of them are one scan that
+    reads only the columns in use, and the planner knows the size of the last: it broadcasts a small frontier, so that
+    the base is streamed and not shuffled."""
+
+    def __init__(self, df: DataFrame):
+        self.spark, self.schema = df.sparkSession, df.schema
+        self.folder = scratch_path(self.spark, "levels")
+        self.paths: list[str] = []
+        self.add(df)
+
+    def add(self, df: DataFrame) -> bool:
+        """Writes a level; False if it holds no row. The rows are counted while they are written."""
+        seen = Observation()
+        path = f"{self.folder}/{len(self.paths) + 1}"
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        if self.paths and not seen.get["n"]:
+            return False
+        self.paths.append(path)
+        return True
+
+    def last(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.paths[-1])
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.paths)
 
 
 def _fresh(df: DataFrame, name: str) -> DataFrame:
@@ -201,27 +222,23 @@ def custom_hierarchy(df: DataFrame, primary_key: list[str], connect_by: str,
         *[F.col(f"t.{r}").alias(f"__cbr_{r}") for r in roots])
     extra = ["__level"] + [f"__cbp_{f}" for f, _ in paths] + [f"__cbr_{r}" for r in roots]
 
-    # each level is written once as Parquet: the anti join reads only the keys, the planner knows the size of the
-    # frontier and broadcasts a small one, so that the base is streamed and not shuffled
-    levels = [written(level1, "level")]
+    levels = _Levels(level1)
     level = 2
     while True:
-        # left_anti needs no distinct on the visited keys
-        visited = _union_all([lv.select(*primary_key) for lv in levels])
-        step = _fresh(levels[-1], "h").join(_fresh(df, "t"), _pred(connect_by), "inner").select(
+        step = _fresh(levels.last(), "h").join(_fresh(df, "t"), _pred(connect_by), "inner").select(
             "t.*", F.lit(level).alias("__level"),
             *[F.concat(F.col(f"h.__cbp_{f}"), F.lit(d), as_text(f)).alias(f"__cbp_{f}") for f, d in paths],
             *[F.col(f"h.__cbr_{r}").alias(f"__cbr_{r}") for r in roots])
         if level == 2 and not allow_pairs:
             _check_equi(step, connect_by)
-        fresh = written(step.join(visited, primary_key, "left_anti").select(*src_cols, *extra), "level")
-        if fresh.isEmpty():
+        # left_anti needs no distinct on the visited keys
+        visited = levels.all().select(*primary_key)
+        if not levels.add(step.join(visited, primary_key, "left_anti").select(*src_cols, *extra)):
             break
         if level > max_levels:
             raise HierarchyError(f"hierarchy depth increased {max_levels} levels. Check it manually")
-        levels.append(fresh)
         level += 1
-    out = _union_all(levels)
+    out = levels.all()
 
     if not leaf:
         return out.select(*src_cols, *extra)
@@ -238,16 +255,13 @@ def subtree_nodes(df: DataFrame, id_col: str, parent_col: str, value) -> DataFra
     spark = df.sparkSession
     edges = df.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent")) \
         .filter(F.col("id").isNotNull() & F.col("parent").isNotNull())
-    levels = [written(spark.range(1).select(F.lit(value).cast(df.schema[id_col].dataType).alias("id")), "level")]
+    levels = _Levels(spark.range(1).select(F.lit(value).cast(df.schema[id_col].dataType).alias("id")))
     while True:
-        seen = _union_all(levels)
-        nxt = (edges.join(levels[-1].withColumnRenamed("id", "parent"), "parent", "left_semi")
+        nxt = (edges.join(levels.last().withColumnRenamed("id", "parent"), "parent", "left_semi")
                .select("id").distinct()
-               .join(seen, "id", "left_anti"))
-        nxt = written(nxt, "level")
-        if nxt.isEmpty():
-            return seen
-        levels.append(nxt)
+               .join(levels.all(), "id", "left_anti"))
+        if not levels.add(nxt):
+            return levels.all()
 
 
 def subtree(df: DataFrame, id_col: str, parent_col: str, value, limit: int = SUBTREE_ARRAY_LIMIT) -> DataFrame:

@@ -110,16 +110,53 @@ def snapshot_diff(first: DataFrame, second: DataFrame) -> DataFrame:
         F.col("m1.distkeycount").alias("dist_keys_before"), F.col("m2.distkeycount").alias("dist_keys_after"))
 
 
-def column_stats(df: DataFrame, columns: list[str] | None = None, mcv: int = 10, buckets: int = 10) -> DataFrame:
+NUMERIC = ("integer", "long", "short", "byte", "double", "float", "decimal")
+
+
+def column_stats(df: DataFrame, columns: list[str] | None = None, mcv: int = 10, buckets: int = 10,
+                 exact: bool = False) -> DataFrame:
     """C6. Per column: null fraction, average width (bytes of the text form of non-NULL values), number
     of distinct values, the ``mcv`` most common values with their frequencies, and histogram bounds of
     numeric columns.
 
-    One grouped count over the (column, value) long form gives all but the histograms: it is combined
+    As planner statistics are estimates, the default takes one aggregate over one scan: sketches of a fixed size per
+    column and task (distinct values, common values, percentiles) are all that is shuffled. ``exact=True`` counts
+    every (column, value) instead (``column_stats_exact``). A column without a value has NULL common values and, as an
+    empty table has, NULL fractions."""
+    cols = columns or df.columns
+    if exact:
+        return column_stats_exact(df, cols, mcv, buckets)
+    percs = [k / buckets for k in range(buckets + 1)]
+    rows = F.count(F.lit(1))
+
+    def stats(c: str) -> Column:
+        col = F.col(f"`{c}`")
+        text = col.cast("string")
+        hist = (F.percentile_approx(col.cast("double"), percs, 10000)
+                if df.schema[c].dataType.typeName() in NUMERIC else F.lit(None).cast("array<double>"))
+        # more candidates than asked for, so that ties are cut in the order of the values
+        found = F.expr(f"approx_top_k(CAST(`{c}` AS STRING), {10 * mcv}, {max(100 * mcv, 1000)})")
+        top = F.array_sort(F.transform(F.filter(found, lambda t: t["item"].isNotNull()),
+                                       lambda t: F.struct((-t["count"]).alias("less"), t["item"].alias("item"))))
+        return F.struct(
+            F.lit(c).alias("column_name"), F.try_divide(F.count_if(col.isNull()), rows).alias("null_frac"),
+            F.avg(F.octet_length(text)).alias("avg_width"), F.approx_count_distinct(text, 0.02).alias("n_distinct"),
+            F.slice(top, 1, mcv).alias("top"), rows.alias("n"), hist.alias("histogram_bounds"))
+
+    one = df.agg(F.array(*[stats(c) for c in cols]).alias("s")).select(F.explode("s").alias("s")).select("s.*")
+    some = F.size("top") > 0
+    return one.select(
+        "column_name", "null_frac", "avg_width", "n_distinct",
+        F.when(some, F.transform("top", lambda t: t["item"])).alias("most_common_vals"),
+        F.when(some, F.transform("top", lambda t: -t["less"] / F.col("n"))).alias("most_common_freqs"),
+        "histogram_bounds")
+
+
+def column_stats_exact(df: DataFrame, cols: list[str], mcv: int, buckets: int) -> DataFrame:
+    """C6 with exact counts. One grouped count over the (column, value) long form gives all but the histograms: it is combined
     map-side, so each task ships one row per distinct (column, value) it saw, and the per-column
     figures are sums over those counts (the NDV is therefore exact). Histogram bounds come from one
     ``percentile_approx`` pass over the typed numeric columns."""
-    cols = columns or df.columns
     df = df.select(*[F.col(f"`{c}`") for c in cols])
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in cols]))
@@ -150,8 +187,7 @@ def column_stats(df: DataFrame, columns: list[str] | None = None, mcv: int = 10,
         "column_name", "null_frac", "avg_width", "n_distinct",
         F.transform("__top", lambda t: t["value"]).alias("most_common_vals"),
         F.transform("__top", lambda t: t["n"] / F.col("__rows")).alias("most_common_freqs"))
-    numeric = [c for c in cols if df.schema[c].dataType.typeName() in
-               ("integer", "long", "short", "byte", "double", "float", "decimal")]
+    numeric = [c for c in cols if df.schema[c].dataType.typeName() in NUMERIC]
     percs = [k / buckets for k in range(buckets + 1)]
     if numeric:
         hist = df.agg(F.array(*[F.struct(F.lit(c).alias("column_name"),
@@ -185,11 +221,12 @@ def profile_tables(spark: SparkSession, tables: dict[str, DataFrame], keys: dict
                    progress_path: str, batch: int = 10) -> DataFrame:
     """E2 as one job list: snapshot rows appended per batch of ``batch`` tables to ``progress_path``;
     tables already there are skipped (resume after a failure)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(progress_path)
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     done: set[str] = set()
-    try:
-        done = {r[0] for r in spark.read.parquet(progress_path).select("tablename").distinct().collect()}
-    except Exception:  # first run: nothing written yet
-        done = set()
+    if fs.exists(at):  # any other failure to read is raised: going on would write rows twice
+        done = {r[0] for r in spark.read.schema(SNAPSHOT_SCHEMA).parquet(progress_path)
+                .select("tablename").distinct().collect()}
     todo = [t for t in tables if t not in done]
     for k in range(0, len(todo), batch):
         names = todo[k:k + batch]

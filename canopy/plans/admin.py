@@ -144,8 +144,9 @@ def c5(spark, sf_dir):
     return C.snapshot_diff(first, second)
 
 
-C6_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount",
-           "l_returnflag", "l_linestatus", "l_shipdate"]
+C6_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+           "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+C6_NUMERIC = C6_COLS[:8]
 
 
 @query("C6", " UNION ALL ".join(f"""
@@ -155,14 +156,22 @@ SELECT '{c}' AS column_name,
        count(DISTINCT {c}) AS n_distinct,
        (SELECT string_agg(v, ',' ORDER BY n DESC, v) FROM (
            SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM lineitem WHERE {c} IS NOT NULL
-           GROUP BY 1 ORDER BY n DESC, v LIMIT 3)) AS top3
+           GROUP BY 1 ORDER BY n DESC, v LIMIT 3)) AS top3,
+       round((SELECT sum(n) FROM (
+           SELECT count(*) AS n, CAST({c} AS VARCHAR) AS v FROM lineitem WHERE {c} IS NOT NULL
+           GROUP BY v ORDER BY n DESC, v LIMIT 3)) / CAST(count(*) AS DOUBLE), 9) AS top3_freq,
+       {f"CAST(min({c}) AS DOUBLE)" if c in C6_NUMERIC else "CAST(NULL AS DOUBLE)"} AS hist_low,
+       {f"CAST(max({c}) AS DOUBLE)" if c in C6_NUMERIC else "CAST(NULL AS DOUBLE)"} AS hist_high
 FROM lineitem""" for c in C6_COLS))
 def c6(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    st = C.column_stats(li, C6_COLS, mcv=3)
+    st = C.column_stats(li, C6_COLS, mcv=3, exact=True)
+    freq = F.aggregate("most_common_freqs", F.lit(0.0), lambda a, b: a + b)
     return st.select("column_name", F.col("null_frac").cast("double").alias("null_frac"),
                      F.col("avg_width").cast("decimal(12,4)").alias("avg_width"), "n_distinct",
-                     F.array_join("most_common_vals", ",").alias("top3"))
+                     F.array_join("most_common_vals", ",").alias("top3"), F.round(freq, 9).alias("top3_freq"),
+                     F.get("histogram_bounds", F.lit(0)).alias("hist_low"),
+                     F.element_at("histogram_bounds", -1).alias("hist_high"))
 
 
 @query("C7", """

@@ -68,7 +68,7 @@ def p1(spark, sf_dir):
 @query("P3", """
 SELECT 'last_order -> ' || CAST(max(o_orderdate) AS VARCHAR) AS entry FROM orders
 UNION ALL
-SELECT 'max_price -> ' || CAST(CAST(max(l_extendedprice) AS DECIMAL(38, 10)) AS VARCHAR) FROM lineitem""")
+SELECT 'max_price -> ' || CAST(max(l_extendedprice) AS VARCHAR) FROM lineitem""")
 def p3(spark, sf_dir):
     p = Params(spark)
     table(spark, sf_dir, "lineitem").createOrReplaceTempView("canopy_p3_lineitem")

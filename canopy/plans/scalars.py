@@ -93,18 +93,25 @@ def j2(spark, sf_dir):
 
 
 @query("J3", """
-SELECT event_id,
-       CASE WHEN json_type(props->'k') = 'VARCHAR' THEN props->>'k' = CAST(props->>'k' AS VARCHAR) ELSE false END AS k_is_text,
-       event_type = 'click' AS src_is_click,
-       true AS zz_is_null
-FROM events""")
+WITH j AS (
+  SELECT event_id, event_type, user_id, CAST('{"s":"' || event_type || '"' || CASE event_id % 4
+           WHEN 0 THEN ',"k":"' || user_id || '"}' WHEN 1 THEN ',"k":' || user_id || '}'
+           WHEN 2 THEN ',"k":null}' ELSE '}' END AS JSON) AS js FROM events)
+SELECT event_id, (js->>'s') = 'click' AS s_is_click,
+       coalesce(json_type(js->'k') = 'VARCHAR' AND (js->>'k') = CAST(user_id AS VARCHAR), false) AS k_is_user,
+       coalesce(json_type(js->'k'), 'NULL') = 'NULL' AS k_is_null
+FROM j""")
 def j3(spark, sf_dir):
+    """``k`` is the user as text, the user as a number, null or missing."""
     ev = table(spark, sf_dir, "events")
-    with_src = J.json_set("props", "src", F.col("event_type"))
-    return ev.select("event_id",
-                     J.json_check("props", "k", J.json_get("props", "k")).alias("k_is_text"),
-                     J.json_check(with_src, "src", "click").alias("src_is_click"),
-                     J.json_check("props", "zz", F.lit(None)).alias("zz_is_null"))
+    user, kind = F.col("user_id").cast("string"), F.col("event_id") % 4
+    tail = (F.when(kind == 0, F.concat(F.lit(',"k":"'), user, F.lit('"}')))
+            .when(kind == 1, F.concat(F.lit(',"k":'), user, F.lit("}")))
+            .when(kind == 2, F.lit(',"k":null}')).otherwise(F.lit("}")))
+    j = ev.select("event_id", user.alias("user"), F.concat(F.lit('{"s":"'), "event_type", F.lit('"'), tail).alias("js"))
+    return j.select("event_id", J.json_check("js", "s", "click").alias("s_is_click"),
+                    J.json_check("js", "k", F.col("user")).alias("k_is_user"),
+                    J.json_check("js", "k", F.lit(None)).alias("k_is_null"))
 
 
 @query("G1", """

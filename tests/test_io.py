@@ -109,7 +109,13 @@ def test_params(spark, tmp_dir):
     p.setparamt("stamp", "2024-03-01 10:00:00")
     assert p.get("test2") == "bbb" and float(p.get("num", "n")) == 12.5 and str(p.get("day", "d")) == "2024-03-01"
     p.setparamn("test3", 7)            # one name space: another type replaces
-    assert p.get("test3") == "7.0000000000"
+    assert p.get("test3") == "7"
+    p.setparamn("fine", "1.123456789012345")
+    assert p.get("fine") == "1.123456789012345" and str(p.get("fine", "n")) == "1.123456789012345"
+    p.setparamv("as_text", "0.25")
+    assert str(p.get("as_text", "n")) == "0.25"
+    p.set_from_query("computed", "SELECT CAST(2.50 AS DECIMAL(10,3))", "n")
+    assert p.get("computed") == "2.500" and p.get("missing", "n") is None
     rows = spark.createDataFrame([(1, "test1"), (2, "test2"), (3, "test3"), (4, "test4")], "k int, name string")
     got = {r["k"]: r["v"] for r in p.lookup(rows, "name", "v").collect()}
     assert got[1] == "aaa" and got[4] is None

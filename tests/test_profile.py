@@ -1,5 +1,6 @@
 """Consistency snapshots, work lists, statistics and orphan detection (FIXTURES.md section 6)."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from canopy.operators import profile as C
@@ -62,6 +63,23 @@ def test_column_stats(spark):
     assert st["n"]["histogram_bounds"][0] == 1.0 and st["s"]["histogram_bounds"] is None
 
 
+def test_column_stats_exact_and_estimated_agree_on_few_values(spark):
+    df = spark.range(3000).select((F.col("id") % 7).alias("n"), F.when(F.col("id") % 3 > 0, F.lit("é")).alias("s"),
+                                  F.lit(None).cast("int").alias("nothing"))
+    cols = ["column_name", "null_frac", "avg_width", "n_distinct", "most_common_vals", "most_common_freqs"]
+    both = [sorted(map(tuple, C.column_stats(df, mcv=3, exact=e).select(cols).collect())) for e in (True, False)]
+    assert both[0] == both[1]
+    empty = {r["column_name"]: r for r in C.column_stats(df.limit(0)).collect()}
+    assert empty["n"]["null_frac"] is None and empty["n"]["n_distinct"] == 0
+    assert empty["n"]["most_common_vals"] is None and len(empty) == 3
+
+
+def test_profile_resume_raises_on_an_unreadable_listing(spark, tmp_dir):
+    spark.createDataFrame([("x",)], "value string").write.text(tmp_dir + "/notparquet")
+    with pytest.raises(Exception):
+        C.profile_tables(spark, {"t": spark.range(1)}, {}, tmp_dir + "/notparquet")
+
+
 def test_orphan_schemas(spark):
     schemas = spark.createDataFrame([("pg_temp_1",), ("pg_temp_2",), ("pg_temp_2",), ("public",), ("pgXtemp_9",)],
                                     "nspname string")
