@@ -22,17 +22,19 @@ def _catalog(relations: DataFrame, schemas: DataFrame) -> DataFrame:
 # table) and become decimals only on the aggregated rows.
 
 
-def _file_node(listing: DataFrame) -> DataFrame:
-    # data files of one table are <node>, <node>.1, <node>.2, ...
-    return listing.withColumn("__node", F.split_part(F.col("relfilenode"), F.lit("."), F.lit(1)))
+def _node_sizes(listing: DataFrame, *keys: str) -> DataFrame:
+    """Bytes per data-file node (and segment). The files of one table are <node>, <node>.1, <node>.2, ...: they are
+    summed before the catalog is joined, so a table of many files is one row a segment in the join."""
+    node = F.split_part(F.col("relfilenode"), F.lit("."), F.lit(1)).alias("__node")
+    return listing.groupBy(node, *keys).agg(F.sum(F.col("size").cast("bigint")).alias("size"))
 
 
 def table_sizes_mb(listing: DataFrame, relations: DataFrame, schemas: DataFrame) -> DataFrame:
     """SK1. Size per (schema, table, storage, kind) in decimal MB."""
     cat = _catalog(relations, schemas).withColumn("__rel", F.col("relfilenode").cast("string"))
-    j = _file_node(listing).join(cat, F.col("__node") == F.col("__rel"))
+    j = _node_sizes(listing).join(cat, F.col("__node") == F.col("__rel"))
     return (j.groupBy(F.col("nspname").alias("schemaname"), F.col("relname").alias("tablename"), "relstorage", "relkind")
-            .agg((F.sum(F.col("size").cast("bigint")).cast("decimal(30,0)") / F.lit(MB_DECIMAL)).alias("size_mb"))
+            .agg((F.sum("size").cast("decimal(30,0)") / F.lit(MB_DECIMAL)).alias("size_mb"))
             .orderBy("schemaname", "tablename", "relstorage", "relkind"))
 
 
@@ -61,9 +63,9 @@ def get_skew(listing: DataFrame, relations: DataFrame, schemas: DataFrame,
            .filter((F.col("relkind") == "r") & ~F.col("nspname").isin(SKEW_EXCLUDED)
                    & ~F.col("nspname").like("pg_temp%"))
            .withColumn("__rel", F.col("relfilenode").cast("string")))
-    j = _file_node(listing).join(cat, F.col("__node") == F.col("__rel"))
+    j = _node_sizes(listing, "segment_id").join(cat, F.col("__node") == F.col("__rel"))
     per_seg = j.groupBy(F.col("nspname").alias("schema_name"), F.col("relname").alias("table_name"), "segment_id") \
-        .agg(F.sum(F.col("size").cast("bigint")).alias("size"))
+        .agg(F.sum("size").alias("size"))
     out = _skew_measures(per_seg, ["schema_name", "table_name"], "size", GB)
     if min_total_gb is not None:
         out = out.filter(F.col("total_size_gb") > min_total_gb)

@@ -195,9 +195,10 @@ def w14_network(df: DataFrame, ranked: list[str]) -> DataFrame:
 
 def w15_memory(df: DataFrame, ranked: list[str]) -> DataFrame:
     """W15. Up to six ``row_number()`` windows partitioned by the first column, each ordered by
-    one of the next columns (rn1 .. rn6)."""
-    key = ranked[0]
+    one of the next columns (rn1 .. rn6) and, among equals, by the rest in their rank."""
+    key, rest = ranked[0], ranked[1:]
     out = df
-    for k, c in enumerate(ranked[1:MAX_WINDOWS + 1], start=1):
-        out = out.withColumn(f"rn{k}", F.row_number().over(Window.partitionBy(key).orderBy(c)))
+    for k, c in enumerate(rest[:MAX_WINDOWS], start=1):
+        order = [c] + [other for other in rest if other != c]
+        out = out.withColumn(f"rn{k}", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
     return out

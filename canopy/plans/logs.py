@@ -300,33 +300,36 @@ def q1(spark, sf_dir):
     return Q.locks_all(*lock_inputs(spark, sf_dir))
 
 
-@query("Q2", LOCK_CTE + f"""
-SELECT min(n.nspname) AS table_schema, min(c.relname) AS table_name, min(l.mode) AS lock_type_blocker,
-       min(rb.mode) AS lock_type_waiting, min(a.query_start) AS lock_start_dttm,
-       CAST(epoch(TIMESTAMP '{LOCK_AS_OF}' - min(a2.query_start)) AS BIGINT) AS lock_duration_sec,
-       min({SHORT.format(q='a.current_query')}) AS blocker_query_short,
-       min({SHORT.format(q='a2.current_query')}) AS waiting_query_short,
-       min(a.current_query) AS blocker_query, min(a2.current_query) AS waiting_query,
-       l.relation, l.mppsessionid AS session_id_blocker, rb.mppsessionid AS session_id_waiting
-FROM l
-JOIN (SELECT relation, mppsessionid, max(mode) AS mode FROM l WHERE NOT granted GROUP BY relation, mppsessionid) rb
-  ON l.relation = rb.relation
-JOIN a ON a.sess_id = l.mppsessionid JOIN a a2 ON a2.sess_id = rb.mppsessionid
-JOIN c ON l.relation = c.oid JOIN n ON c.relnamespace = n.oid
-WHERE l.mppsessionid <> rb.mppsessionid AND l.granted
-GROUP BY l.relation, l.mppsessionid, rb.mppsessionid""")
+LOCK_PARTS = LOCK_CTE + f""",
+held AS (SELECT relation, mppsessionid AS session, min(mode) AS lowest FROM l WHERE granted GROUP BY ALL),
+waiting AS (SELECT relation, mppsessionid AS session, min(mode) AS lowest, max(mode) AS highest, count(*) AS locks
+            FROM l WHERE NOT granted GROUP BY ALL),
+work AS (SELECT sess_id AS session, min(query_start) AS started, min({SHORT.format(q='current_query')}) AS short,
+                min(current_query) AS query, count(*) AS entries FROM a GROUP BY ALL),
+named AS (SELECT c.oid AS relation, min(relname) AS tab, min(nspname) AS sch, count(*) AS entries
+          FROM c JOIN n ON n.oid = relnamespace GROUP BY ALL)"""
+
+
+@query("Q2", LOCK_PARTS + f"""
+SELECT sch AS table_schema, tab AS table_name, held.lowest AS lock_type_blocker, waiting.highest AS lock_type_waiting,
+       first.started AS lock_start_dttm,
+       CAST(epoch(TIMESTAMP '{LOCK_AS_OF}' - second.started) AS BIGINT) AS lock_duration_sec,
+       first.short AS blocker_query_short, second.short AS waiting_query_short,
+       first.query AS blocker_query, second.query AS waiting_query,
+       relation, held.session AS session_id_blocker, waiting.session AS session_id_waiting
+FROM waiting JOIN held USING (relation) JOIN named USING (relation)
+JOIN work AS first ON first.session = held.session JOIN work AS second ON second.session = waiting.session
+WHERE held.session <> waiting.session""")
 def q2(spark, sf_dir):
     return Q.locks_blockers(*lock_inputs(spark, sf_dir), as_of=LOCK_AS_OF)
 
 
-@query("Q3", LOCK_CTE + f"""
-SELECT min(n.nspname) AS table_schema, min(c.relname) AS table_name, min(l.mode) AS blocked_lock_type,
-       count(*) AS segments_blocked,
-       CAST(epoch(TIMESTAMP '{LOCK_AS_OF}' - min(a.query_start)) AS BIGINT) AS lock_waiting_time_sec,
-       min({SHORT.format(q='a.current_query')}) AS waiting_query_short, min(a.current_query) AS waiting_query,
-       l.relation, l.mppsessionid
-FROM l JOIN a ON a.sess_id = l.mppsessionid JOIN c ON l.relation = c.oid JOIN n ON c.relnamespace = n.oid
-WHERE NOT l.granted GROUP BY l.relation, l.mppsessionid""")
+@query("Q3", LOCK_PARTS + f"""
+SELECT sch AS table_schema, tab AS table_name, lowest AS blocked_lock_type,
+       locks * work.entries * named.entries AS segments_blocked,
+       CAST(epoch(TIMESTAMP '{LOCK_AS_OF}' - started) AS BIGINT) AS lock_waiting_time_sec,
+       short AS waiting_query_short, query AS waiting_query, relation, session AS mppsessionid
+FROM waiting JOIN named USING (relation) JOIN work USING (session)""")
 def q3(spark, sf_dir):
     return Q.locks_blocked(*lock_inputs(spark, sf_dir), as_of=LOCK_AS_OF)
 

@@ -235,6 +235,15 @@ def f_scalars(spark, sf_dir):
         F.struct(F.col("s_nationkey").alias("k")).k.alias("f26_struct_field"))
 
 
+@query("F14", "SELECT CAST(i AS BIGINT) AS tenth, true AS even FROM range(10) r(i)")
+def f14(spark, sf_dir):
+    """A random number for each line: every tenth of [0, 1) holds between 8 and 12 percent of them."""
+    li = table(spark, sf_dir, "lineitem").select(D.uniform(14, F.xxhash64("l_orderkey", "l_linenumber", "l_partkey")).alias("u"))
+    n = li.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return (li.groupBy(F.floor(F.col("u") * 10).cast("bigint").alias("tenth")).agg(F.count(F.lit(1)).alias("c"))
+            .select("tenth", (F.col("c") / n).between(0.08, 0.12).alias("even")))
+
+
 @query("F_time", """
 SELECT event_id,
        CAST(epoch(TIMESTAMP '2024-01-15 12:00:00' - ts) * 1000000 AS BIGINT) AS f15_epoch_micros,

@@ -111,6 +111,13 @@ def _part_ranked(spark, sf_dir):
     return part, [c for c, _ in W.column_ndv(part)]
 
 
+def _lines_ranked(spark, sf_dir, columns):
+    """Columns of lineitem far apart in their distinct values, so that their ranks are the same at every scale; the
+    first is no key of the rows."""
+    lines = table(spark, sf_dir, "lineitem").select(*columns)
+    return lines, [c for c, _ in W.column_ndv(lines)]
+
+
 # part columns by NDV at every scale: p_partkey, p_retailprice, p_name, p_size, p_brand, p_type
 @query("W12", "SELECT CAST(max(p_partkey) AS VARCHAR) AS max_value FROM part")
 def w12(spark, sf_dir):
@@ -118,23 +125,27 @@ def w12(spark, sf_dir):
 
 
 @query("W13", """
-SELECT count(DISTINCT md5(CAST(p_partkey AS VARCHAR) || CAST(p_retailprice AS VARCHAR) || p_name ||
-                          CAST(p_size AS VARCHAR) || p_brand || p_type)) AS distinct_md5 FROM part""")
+SELECT count(DISTINCT md5(CAST(l_partkey AS VARCHAR) || CAST(l_quantity AS VARCHAR) || CAST(l_linenumber AS VARCHAR)))
+         AS distinct_md5 FROM lineitem""")
 def w13(spark, sf_dir):
-    return W.w13_cpu(*_part_ranked(spark, sf_dir))
+    return W.w13_cpu(*_lines_ranked(spark, sf_dir, ["l_linenumber", "l_quantity", "l_partkey"]))
+
+
+LINE_COLS = ["l_linenumber", "l_quantity", "l_partkey", "l_orderkey"]
 
 
-@query("W14", "SELECT *, count(DISTINCT p_retailprice) OVER (PARTITION BY p_partkey) AS cd FROM part")
+@query("W14", f"""
+WITH per AS (SELECT l_orderkey, count(DISTINCT l_partkey) AS cd FROM lineitem GROUP BY 1)
+SELECT {", ".join(LINE_COLS)}, cd FROM lineitem JOIN per USING (l_orderkey)""")
 def w14(spark, sf_dir):
-    return W.w14_network(*_part_ranked(spark, sf_dir))
+    return W.w14_network(*_lines_ranked(spark, sf_dir, LINE_COLS))
 
 
-@query("W15", """
-SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY p_retailprice) AS rn1,
-          row_number() OVER (PARTITION BY p_partkey ORDER BY p_name) AS rn2,
-          row_number() OVER (PARTITION BY p_partkey ORDER BY p_size) AS rn3,
-          row_number() OVER (PARTITION BY p_partkey ORDER BY p_brand) AS rn4,
-          row_number() OVER (PARTITION BY p_partkey ORDER BY p_type) AS rn5
-FROM part""")
+@query("W15", f"""
+SELECT {", ".join(LINE_COLS)},
+       row_number() OVER (o ORDER BY l_partkey, l_quantity, l_linenumber) AS rn1,
+       row_number() OVER (o ORDER BY l_quantity, l_partkey, l_linenumber) AS rn2,
+       row_number() OVER (o ORDER BY l_linenumber, l_partkey, l_quantity) AS rn3
+FROM lineitem WINDOW o AS (PARTITION BY l_orderkey)""")
 def w15(spark, sf_dir):
-    return W.w15_memory(*_part_ranked(spark, sf_dir))
+    return W.w15_memory(*_lines_ranked(spark, sf_dir, LINE_COLS))

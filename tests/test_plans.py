@@ -24,3 +24,31 @@ def test_lookup_broadcasts_small_dictionary_and_prunes_probe(spark):
 def test_top_k_report_is_take_ordered(spark):
     plan = _plan(E.queries()["B5"](spark, SF))
     assert "TakeOrderedAndProject(limit=10" in plan and "EqualTo(event_type,error)" in plan
+
+
+def test_timed_workload_plans_hold_their_work(spark):
+    q = E.queries()
+    assert "md5(" in _plan(q["W6"](spark, SF))
+    w7 = _plan(q["W7"](spark, SF))
+    assert "row_number()" in w7 and "Python" not in w7 and "Pandas" not in w7
+    assert "max(" in _plan(q["W8"](spark, SF))
+
+
+def test_gc_alerts_read_the_written_rule_columns_only(spark):
+    plan = _plan(E.queries()["GC7"](spark, SF))
+    assert "FileScan text" not in plan and "gclogline" not in plan and "FileScan parquet" in plan
+
+
+def test_estimated_column_stats_take_one_scan(spark):
+    from canopy.operators.profile import column_stats
+    plan = _plan(column_stats(spark.read.parquet(f"{SF}/lineitem.parquet")))
+    assert plan.count("FileScan parquet") == 1
+
+
+def test_hierarchy_anti_join_reads_the_written_keys_only(spark, tmp_dir):
+    from canopy.operators.hierarchy import _Levels
+    levels = _Levels(spark.range(3).selectExpr("id", "cast(id as string) as path"))
+    assert not levels.add(spark.range(0).selectExpr("id", "cast(id as string) as path"))
+    assert levels.add(spark.range(3, 5).selectExpr("id", "cast(id as string) as path"))
+    assert levels.all().count() == 5 and levels.last().count() == 2
+    assert "ReadSchema: struct<id:bigint>" in _plan(levels.all().select("id"))
