@@ -135,12 +135,14 @@ class _Levels:
         self.spark, self.schema = df.sparkSession, df.schema
         self.folder = scratch_path(self.spark, "levels")
         self.paths: list[str] = []
+        self.written = 0
         self.add(df)
 
     def add(self, df: DataFrame) -> bool:
         """Writes a level; False if it holds no row. The rows are counted while they are written."""
         seen = Observation()
-        path = f"{self.folder}/{len(self.paths) + 1}"
+        self.written += 1
+        path = f"{self.folder}/{self.written}"
         df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
         if self.paths and not seen.get["n"]:
             return False
