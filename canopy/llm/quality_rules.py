@@ -1,9 +1,9 @@
 """Quality rules: counting rules on words, symbols and repetition, and language-specific perplexity bands.
 
 The perplexity of a text is that of its words under the character model of its language (``char_kn``), which counts every
-document. A language's band is the quartiles of the mean log10 word probability over its documents of at least
-``min_words`` words, widened by ``width`` times their distance; a text below is unlike the language, one above repeats
-the commonest words. Nothing but the bands and the model's files is shared between documents, so texts are not shuffled.
+document. A language's band is the quartiles of the mean log10 word probability over its distinct texts of at least
+``min_words`` words, widened by ``width`` times their distance, ``MIN_REACH`` at least; a text below is unlike the language,
+one above repeats the commonest words. Copies of a text count once, so many of them do not narrow the band around it. Nothing but the bands and the model's files is shared between documents, so texts are not shuffled.
 
 Defined cases: null and empty texts have no words, all counts 0, no perplexity, and fail the base rules; a null
 language is a language of its own; repeated rows are judged alike; one document of a language makes a band that holds
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from canopy.llm.char_kn import Model, SortedArrays, language_seed, mean_log10, train, write_sorted
 from canopy.llm.common import SPACES, add_columns, as_bytes, map_rows, shared_folder
+from canopy.llm.line_dedup import row_id
 
 SYMBOLS = "#*$%&|<>"
 ORDER = 4
@@ -29,6 +30,11 @@ MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 #: Quartile distances that a band reaches beyond the quartiles.
 WIDTH = 6.0
+#: Least reach of a band beyond the quartiles, in log10 of a word's probability: ordinary prose has quartiles some 0.12 to
+#: 0.18 apart, so it binds only where near copies of one text make up most of a language.
+MIN_REACH = 0.75
+#: Column with the hash of the text, which tells copies from other texts.
+TEXT_ID = "__text_id"
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -73,9 +79,10 @@ def score(docs: DataFrame, model: Model, limits: SortedArrays | None = None) ->
 def bands(scored: DataFrame, folder: str, width: float = WIDTH) -> SortedArrays:
     """Lower and upper mean log10 probability of each language, as a sorted array by the language's hash."""
     quartiles = F.percentile_approx("mean_log10", [0.25, 0.75], 10_000)
-    by_lang = (scored.where(F.col("n_words") >= MIN_WORDS).groupBy(F.coalesce("lang", F.lit("")).alias("lang"))
-               .agg(quartiles.alias("q")).select("lang", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3")))
-    reach = width * (F.col("q3") - F.col("q1")) + 1e-4  # the stored limits are of single precision
+    texts = (scored.where(F.col("n_words") >= MIN_WORDS).groupBy(F.coalesce("lang", F.lit("")).alias("lang"), TEXT_ID)
+             .agg(F.min("mean_log10").alias("mean_log10")))
+    by_lang = (texts.groupBy("lang").agg(quartiles.alias("q")).select("lang", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3")))
+    reach = F.greatest(width * (F.col("q3") - F.col("q1")), F.lit(MIN_REACH)) + 1e-4  # the stored limits are of single precision
 
     def hashed(c):
         seeds = np.array([language_seed(lang) for lang in c["lang"].to_pylist()], np.uint64)
@@ -107,7 +114,7 @@ def _fitted(docs: DataFrame) -> tuple[Model, DataFrame, SortedArrays]:
     spark = docs.sparkSession
     folder = shared_folder(spark, "quality")
     model = train(docs.select("lang", "text"), ORDER)
-    score(docs, model).drop("text").write.parquet(f"{folder}/scored")
+    score(docs.withColumn(TEXT_ID, row_id(F.col("text"))), model).drop("text").write.parquet(f"{folder}/scored")
     scored = spark.read.parquet(f"{folder}/scored")
     return model, scored, bands(scored, folder)
 
@@ -115,7 +122,7 @@ def _fitted(docs: DataFrame) -> tuple[Model, DataFrame, SortedArrays]:
 def quality(docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` but the text, with all counts, the perplexity and the verdict."""
     _, scored, limits = _fitted(docs)
-    return judge(scored, limits).drop("mean_log10")
+    return judge(scored, limits).drop("mean_log10", TEXT_ID)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

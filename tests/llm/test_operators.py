@@ -162,6 +162,17 @@ def test_kneser_ney_sums_to_one_and_odd_tables(spark, odd):
     assert keep_good(odd).columns == odd.columns and quality(odd.limit(0)).count() == 0
 
 
+def test_quality_band_is_not_that_of_a_copied_text(spark):
+    from canopy.llm.quality_rules import keep_good, quality
+
+    docs = table(spark, SF, "documents").where("lang = 'en'").select("doc_id", "text", "lang")
+    good = quality(docs).where("kept").select("doc_id").join(docs, "doc_id").dropDuplicates(["text"]).orderBy("doc_id").collect()
+    copies = [(10_000 + i, good[0]["text"], "en") for i in range(4 * len(good))]
+    table_ = spark.createDataFrame([tuple(r) for r in good] + copies, "doc_id bigint, text string, lang string")
+    kept = {r["doc_id"] for r in keep_good(table_).collect()}
+    assert len(good) > 20 and {r["doc_id"] for r in good} <= kept and len(kept) == 5 * len(good)
+
+
 def test_classifier_held_out_accuracy_and_odd(spark, odd):
     from canopy.llm.compress_classifier import Classifier, classify, fit
 
