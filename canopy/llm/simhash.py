@@ -175,7 +175,8 @@ def links(prints: DataFrame, max_bits: int = 4, leaf: int = LEAF) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """``doc_id, row_id, fp, component_id`` for each row; ``component_id`` is the smallest id that links lead to."""
+    """``doc_id, row_id, fp, root, component_id`` for each row; ``component_id`` is the smallest id that links lead to, and
+    ``root`` the component itself (its smallest fingerprint), as components may share an id or have none."""
     spark = docs.sparkSession
     folder = scratch_path(spark, "simhash")
     fingerprints(docs, shingle).write.parquet(folder)
@@ -187,15 +188,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Dat
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows.join(rooted.join(smallest, "root").select("fp", "component_id"), "fp")
+    return rows.join(rooted.join(smallest, "root").select("fp", "root", "component_id"), "fp").select(
+        "doc_id", "row_id", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """``docs`` with the document of the smallest id of each group (of equal ids, the row with the smallest text hash)."""
-    groups = near_duplicates(docs, shingle, max_bits)
-    chosen = (groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-              .groupBy("component_id").agg(F.min(F.struct("fp", "row_id")).alias("row"))
-              .select(F.col("component_id").alias("__id"), F.col("row.row_id").alias("__row")))
+    """``docs`` with one row of each component: the smallest id (null last), of equal ids the smallest fingerprint, then text hash."""
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "row_id"))
+    chosen = (near_duplicates(docs, shingle, max_bits).groupBy("root").agg(first.alias("row"))
+              .select(F.col("row.doc_id").alias("__id"), F.col("row.row_id").alias("__row")))
     rows = docs.withColumn("__row_id", row_id(F.col("text")))
     on = rows["doc_id"].eqNullSafe(chosen["__id"]) & (rows["__row_id"] == chosen["__row"])
-    return rows.join(chosen, on, "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return rows.join(chosen, on, "left_semi").dropDuplicates(["doc_id", "__row_id"]).select(*docs.columns)

@@ -117,6 +117,15 @@ def test_simhash_odd(odd):
     assert near_duplicates(odd.limit(0)).count() == 0 and keep_one(odd).columns == odd.columns
 
 
+def test_keep_one_by_component_not_by_id(spark):
+    from canopy.llm.simhash import keep_one
+
+    texts = [" ".join(random.Random(k).choices("one two three four five six seven eight nine ten".split(), k=80)) for k in range(6)]
+    data = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (None, texts[4]), (8, texts[4]), (9, texts[5]), (9, texts[5])]
+    found = keep_one(spark.createDataFrame(data, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"] or 0, texts.index(r["text"])) for r in found) == [(0, 0), (0, 1), (7, 2), (7, 3), (8, 4), (9, 5)]
+
+
 def test_quality_counts_are_brute_force(spark, docs):
     for r in rows(spark, "op4_quality_rules"):
         text = docs[r["doc_id"]]
