@@ -4,9 +4,10 @@ A turn is ``<|im_start|>role``, a line end, the text, ``<|im_end|>`` and a line
 backslash after its ``<`` (one more if it has some), so no text can open or close a turn, and reading takes the
 backslash away again.
 
-A conversation's turns have prefix sums of their tokens. A window is the leading system turn, then up to ``history``
-tokens of turns that were in the window before, then as many new turns as the rest of the budget holds (one at least,
-so a turn longer than the budget has a window of its own). Loss is on the texts of new assistant turns only; repeated
+Turns are counted in tokens of a SentencePiece model (op8's encoder). A window is the leading system turn, then up to
+``history`` tokens of turns that were in the window before, then as many new turns as the rest of the budget holds. The
+oldest history goes where the first new turn would not fit, so only a turn that is over the budget with the system turn
+alone makes a longer window, without history. Loss is on the texts of new assistant turns only; repeated
 turns are masked, so that each assistant text counts once.
 
 Rows are dealt by conversation and sorted by turn, and each task reads its rows as a stream: it holds the system turn,
@@ -24,13 +25,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from hashlib import sha256
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from canopy.llm.common import send_code
+from canopy.llm.sentencepiece_bpe import encoder
 
+TOKENIZER = "piece_bpe_32k.model"
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 WINDOWS = ("conv_id bigint, window int, first_turn bigint, n_history int, n_new int, n_tokens bigint, text string, "
            "loss array<struct<start:int,length:int>>")
@@ -57,9 +61,9 @@ def formatted(role: str, text: str) -> str:
     return f"{OPEN}{escape_role(role)}\n{escape(text)}{CLOSE}\n"
 
 
-def tokens(text: str) -> int:
-    """Length of a formatted turn in tokens: words and the marks between them, as the budget counts them."""
-    return len(re.findall(r"\w+|[^\w\s]", text))
+def tokens(text: str, tokenizer: str) -> int:
+    """Length of a formatted turn in tokens of the model file ``tokenizer``, without the end id."""
+    return encoder(tokenizer).coded(text)[0].count(" ")
 
 
 @dataclass
@@ -69,6 +73,7 @@ class Windows:
     conv_id: int | None
     budget: int
     history: int
+    tokenizer: str
     n: int = 0
     seen: int = 0
     system: tuple[str, int] | None = None
@@ -80,13 +85,15 @@ class Windows:
     def add(self, role: str, text: str) -> dict | None:
         """Takes a turn; returns the window that it closes, if any."""
         turn = formatted(role, text)
-        size = tokens(turn)
+        size = tokens(turn, self.tokenizer)
         self.seen += 1
         if self.seen == 1 and role == "system":
             self.system = turn, size
             return None
-        fixed = self.past_tokens + (self.system[1] if self.system else 0)
-        closed = self.close() if self.new and fixed + self.new_tokens + size > self.budget else None
+        fixed = self.system[1] if self.system else 0
+        closed = self.close() if self.new and fixed + self.past_tokens + self.new_tokens + size > self.budget else None
+        while self.past and not self.new and fixed + self.past_tokens + size > self.budget:
+            self.past_tokens -= self.past.pop(0)[1]
         head = len(OPEN) + len(escape_role(role)) + 1
         mask = (head, len(turn) - head - len(CLOSE) - 1) if role == "assistant" else (0, -1)
         self.new.append((turn, size, *mask))
@@ -116,12 +123,13 @@ class Windows:
         return row
 
 
-def format_windows(conversations: DataFrame, budget: int = 2048, history: int = 256) -> DataFrame:
+def format_windows(conversations: DataFrame, budget: int = 2048, history: int = 256, tokenizer: str | None = None) -> DataFrame:
     """Windows ``conv_id, window, first_turn, n_history, n_new, n_tokens, text, loss`` of ``conversations(conv_id, turn,
-    role, text)``; ``loss`` has the runs of code points of ``text`` that count. A task's windows come in order."""
+    role, text)``; ``loss`` has the runs of code points of ``text`` that count. ``tokenizer`` is the
+    path of the model that the budget is counted with. A task's windows come in order."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = to_arrow_schema(StructType.fromDDL(WINDOWS))
+    schema, model = to_arrow_schema(StructType.fromDDL(WINDOWS)), tokenizer or public_tokenizers.path(TOKENIZER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_one: Windows | None = None
@@ -132,7 +140,7 @@ def format_windows(conversations: DataFrame, budget: int = 2048, history: int =
                 if open_one is None or open_one.conv_id != conv:
                     if open_one:
                         done.append(open_one.close())
-                    open_one = Windows(conv, budget, history)
+                    open_one = Windows(conv, budget, history, model)
                 done.append(open_one.add(role, text))
                 for row in filter(None, done):
                     rows.append(row)

@@ -255,6 +255,22 @@ def test_chat_query_and_windows(spark):
     assert other == {None: [("", "")], 2: [("system", "")], 3: [("user", "long " * 500)], 4: [("a", "y"), ("a", "y"), ("b", "x")]}
 
 
+def test_chat_windows_keep_the_budget(spark):
+    from canopy.llm.chat_format import format_windows
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    long, solid, blob = "word " * 1900, "漢字" * 900, sha256(b"x").hexdigest() * 20
+    turns = [(1, 0, "system", "be kind")] + [(1, i, "user", "w " * 60) for i in range(1, 5)] + [
+        (1, 5, "assistant", long), (1, 6, "user", "w " * 60), (2, 0, "user", solid), (2, 1, "assistant", solid), (3, 0, "user", blob), (3, 1, "user", blob), (3, 2, "user", blob)]
+    windows = format_windows(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string"), budget=2048, history=256).collect()
+    assert sum(w["n_new"] for w in windows) == len(turns) - 1
+    for w in windows:
+        n = len(library.encode(w["text"]))
+        assert n <= w["n_tokens"] and (n <= 2048 or (w["n_new"], w["n_history"]) == (1, 0))
+    assert any(long in w["text"] and w["n_tokens"] <= 2048 for w in windows) and sum(w["conv_id"] == 2 for w in windows) == 2
+
+
 def test_elias_fano_and_scores(spark, docs, odd):
     from canopy.llm.lm_trie import EliasFano, ef_write, score, train
 
