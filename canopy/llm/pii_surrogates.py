@@ -7,7 +7,8 @@
    digits, octets for octets, a valid check digit where the card has one, a name with the ending of the title's gender in
    the script of the name.
 3. Collision checks: a candidate that another entity holds, or that is itself an entity of the corpus, is drawn again, and
-   so on until none collides. Different entities keep different surrogates, one entity has one everywhere.
+   so on until none collides. After a few draws a surrogate gets one more place a draw, so a space that the corpus fills
+   does not end the search. Different entities keep different surrogates, one entity has one everywhere.
 4. Mentions meet their surrogates by a join (a very frequent entity is a splittable skewed key), take on the mention's
    own punctuation and case, and are put between the parts of the text that the pattern left.
 
@@ -43,6 +44,11 @@ KEY = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])"
 NAME = (r"(?<!\p{L})(?:" + "|".join(FEMALE + MALE + NEUTRAL) + r")\.? \p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?")
 PATTERN = "|".join([EMAIL, KEY, IP, PHONE, CARD, NAME])
 TITLE = r"^(?:" + "|".join(FEMALE + MALE + NEUTRAL) + r")\.? "
+#: Draws in the space of the entity's own format; each later one has one more letter, digit or syllable.
+FREE_DRAWS = 3
+#: Letters of a local part that is drawn where an address has nothing else to draw.
+LOCAL_PART = 8
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 TYPES = ["email", "key", "ip", "phone", "card", "name"]
 
 
@@ -81,10 +87,18 @@ def _check_sum(digits: Column) -> Column:
     return F.pmod(F.aggregate(F.transform(places, worth), F.lit(0), lambda a, b: a + b), F.lit(10))
 
 
-def candidate(secret: str, kind: Column, norm: Column, attempt: Column) -> Column:
-    """The surrogate's normal form that an entity draws at an attempt."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(norm) / 32).cast("int")), lambda b: F.sha2(
-        F.concat_ws("\u0001", F.lit(secret), kind, norm, attempt.cast("string"), b.cast("string")), 256))
+def with_candidates(entities: DataFrame, secret: str, attempt: int) -> DataFrame:
+    """``entities`` with ``surrogate``, the surrogate's normal form that each draws at an attempt."""
+    # Digests are columns of their own, so that each is made once a row.
+    seed = [F.lit(secret), F.col("kind"), F.col("norm"), F.lit(str(attempt))]
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length("norm") / 32).cast("int")), lambda b: F.sha2(
+        F.concat_ws("\u0001", *seed, b.cast("string")), 256))
+    drawn = entities.withColumns({"__blocks": blocks, "__more": F.sha2(F.concat_ws("\u0001", *seed, F.lit("more")), 256)})
+    return drawn.withColumn("surrogate", _candidate(max(0, attempt - FREE_DRAWS + 1))).drop("__blocks", "__more")
+
+
+def _candidate(extra: int) -> Column:
+    kind, norm, blocks, further = map(F.col, ("kind", "norm", "__blocks", "__more"))
     digest = F.element_at(blocks, 1)
 
     def shaped(text: Column, letters: str) -> Column:
@@ -96,24 +110,37 @@ def candidate(secret: str, kind: Column, norm: Column, attempt: Column) -> Colum
 
         return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), drawn), "")
 
+    def more(n: int, values: str) -> Column:
+        """``n`` further characters."""
+        return F.translate(F.substring(further, 1, n), "0123456789abcdef", values)
+
+    digits = more(extra, "0123456789012345")
     octets = F.concat_ws(".", *[(F.lit(1) + F.pmod(_number(digest, 2 * k) * 256 + _number(digest, 2 * k + 1), F.lit(254))).cast("string") for k in range(4)])
-    body = F.expr("left(norm, length(norm) - 1)")
-    drawn_body = shaped(body, "a")
+    ip = F.concat(octets, F.lit(":"), digits) if extra else octets  # a port, as an address has no fifth octet
+    drawn_body = F.concat(shaped(F.expr("left(norm, length(norm) - 1)"), "a"), digits)
     check = F.pmod(F.lit(10) - _check_sum(F.concat(drawn_body, F.lit("0"))), F.lit(10)).cast("string")
-    card = F.when(_check_sum(norm) == 0, F.concat(drawn_body, check)).otherwise(shaped(norm, "a"))
+    numbers = F.concat(shaped(norm, "a"), digits)
+    card = F.when(_check_sum(norm) == 0, F.concat(drawn_body, check)).otherwise(numbers)
     # The host keeps its last label, the rest of an address is drawn.
-    email = F.concat(shaped(F.regexp_extract(norm, r"^(.*\.)[^.]+$", 1), "abcdefghijklmnopqrstuvwxyz"), F.regexp_extract(norm, r"([^.]+)$", 1))
+    address = F.regexp_extract(norm, r"^(.*\.)[^.]+$", 1)
+    letters = "abcdefghijklmnop"
+    email = F.concat(F.when(address.rlike("[a-z0-9]"), more(extra, letters)).otherwise(more(LOCAL_PART + extra, letters)),
+                     shaped(address, LETTERS), F.regexp_extract(norm, r"([^.]+)$", 1))
     name = F.lit(None).cast("string")
     for script, syllables in SYLLABLES.items():
-        def word(place: int, end: list[str], syllables=syllables) -> Column:
-            return F.concat(_pick(syllables, _number(digest, place)), _pick(syllables, _number(digest, place + 1)), _pick(end, _number(digest, place + 2)))
+        def word(place: int, end: Column, syllables=syllables) -> Column:
+            return F.concat(_pick(syllables, _number(digest, place)), _pick(syllables, _number(digest, place + 1)), end)
+
+        def ending(place: int, gender: str, script=script) -> Column:
+            return _pick(ENDINGS[script, gender], _number(digest, place))
 
-        for gender in "fmn":
-            family = F.concat(_pick(syllables, _number(digest, 7)), word(3, ENDINGS[script, "n"]))
-            whole = F.when(norm.contains(" "), F.concat(word(0, ENDINGS[script, gender]), F.lit(" "), family)).otherwise(family)
-            name = F.when(kind == f"name-{gender}-{script}", whole).otherwise(name)
-    return (F.when(kind == "ip", octets).when(kind == "card", card).when(kind == "phone", shaped(norm, "a"))
-            .when(kind == "key", shaped(norm, "abcdef")).when(kind == "email", email).otherwise(name))
+        longer = [_pick(syllables, _number(further, k)) for k in range(extra)]
+        family = F.concat(*longer, _pick(syllables, _number(digest, 7)), word(3, ending(5, "n")))
+        gendered = F.when(kind == f"name-f-{script}", ending(2, "f")).when(kind == f"name-m-{script}", ending(2, "m")).otherwise(ending(2, "n"))
+        whole = F.when(norm.contains(" "), F.concat(word(0, gendered), F.lit(" "), family)).otherwise(family)
+        name = F.when(kind.endswith(f"-{script}"), whole).otherwise(name)
+    return (F.when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", numbers)
+            .when(kind == "key", F.concat(shaped(norm, "abcdef"), digits)).when(kind == "email", email).otherwise(name))
 
 
 def surrogates(entities: DataFrame, secret: str) -> DataFrame:
@@ -125,14 +152,14 @@ def surrogates(entities: DataFrame, secret: str) -> DataFrame:
     taken_names = entities.select("kind", F.col("norm").alias("surrogate"))
     settled, waiting, attempt = None, entities, 0
     while True:
-        drawn = waiting.withColumn("surrogate", candidate(secret, F.col("kind"), F.col("norm"), F.lit(attempt)))
+        drawn = with_candidates(waiting, secret, attempt)
         taken = taken_names if settled is None else taken_names.unionByName(settled.select("kind", "surrogate"))
         free = drawn.join(taken, ["kind", "surrogate"], "left_anti")
         first = Window.partitionBy("kind", "surrogate").orderBy("norm")
         won = free.withColumn("place", F.row_number().over(first)).where(F.col("place") == 1).drop("place")
         won.select("kind", "norm", "surrogate").write.parquet(f"{folder}/won-{attempt}")
         won = spark.read.parquet(f"{folder}/won-{attempt}")
-        settled = won if settled is None else settled.unionByName(won)
+        settled = spark.read.parquet(*[f"{folder}/won-{k}" for k in range(attempt + 1)])
         waiting.join(won, ["kind", "norm"], "left_anti").write.parquet(f"{folder}/waiting-{attempt}")
         waiting = spark.read.parquet(f"{folder}/waiting-{attempt}")
         if waiting.isEmpty():
@@ -145,6 +172,7 @@ def _rendered(kind: Column, raw: Column, surrogate: Column) -> Column:
     marks = F.filter(F.split(raw, ""), lambda c: c != "")
     digit_no = F.transform(F.sequence(F.lit(1), F.size(marks)), lambda i: F.length(F.regexp_replace(raw.substr(F.lit(1), i), "[^0-9]", "")))
     filled = F.array_join(F.zip_with(marks, digit_no, lambda c, n: F.when(c.rlike("[0-9]"), surrogate.substr(n, F.lit(1))).otherwise(c)), "")
+    filled = F.concat(filled, F.expr("substring(surrogate, length(regexp_replace(raw, '[^0-9]', '')) + 1)"))
     cased = F.when(raw == F.upper(raw), F.upper(surrogate)).otherwise(surrogate)
     return (F.when(kind.isin("phone", "card"), filled).when(kind.startswith("name"), F.concat(F.regexp_extract(raw, TITLE, 0), F.initcap(surrogate)))
             .otherwise(cased))

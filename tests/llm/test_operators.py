@@ -319,6 +319,18 @@ def test_surrogates(spark, odd):
     assert replace_entities(odd, "k").count() == len(ODD) and replace_entities(odd.limit(0), "k").count() == 0
 
 
+def test_surrogates_settle_in_full_spaces(spark):
+    from canopy.llm.pii_surrogates import replace_entities, surrogates
+
+    few = [("email", e) for e in ("-@-.io", "_@-.com", "-@-.com")] + [("phone", f"{d:02}") for d in range(80)] + [("email", f"{c}@-.com") for c in "abcdefghijklmnopqrstuvwxyz"]
+    many = spark.range(90_000).selectExpr("'name-n-latin' AS kind", "concat('x', id) AS norm")
+    made = surrogates(spark.createDataFrame(few, "kind string, norm string").unionByName(many), "k").collect()
+    assert len(made) == len(few) + 90_000 == len({(r["kind"], r["surrogate"]) for r in made})
+    assert not {(r["kind"], r["surrogate"]) for r in made} & {(r["kind"], r["norm"]) for r in made}
+    text = replace_entities(spark.createDataFrame([(1, "at -@-.io, twice -@-.io")], "doc_id bigint, text string"), "k").first()["text"]
+    assert re.fullmatch(r"at ([a-z]{8}-@-\.io), twice \1", text)
+
+
 def test_url_lists(spark):
     import datetime as dt
 
