@@ -6,7 +6,8 @@
 2. Each distinct entity gets a candidate from ``sha2(key, type, normal form, attempt)``: letters for letters, digits for
    digits, octets for octets, a valid check digit where the card has one, a name with the ending of the title's gender in
    the script of the name.
-3. Collision checks: a candidate that another entity holds, or that is itself an entity of the corpus, is drawn again, and
+3. Collision checks: a candidate that another entity of the type holds (names of any gender are one type), or that is
+   itself an entity of the corpus, is drawn again, and
    so on until none collides. After a few draws a surrogate gets one more place a draw, so a space that the corpus fills
    does not end the search. Different entities keep different surrogates, one entity has one everywhere.
 4. Mentions meet their surrogates by a join (a very frequent entity is a splittable skewed key), take on the mention's
@@ -144,18 +145,20 @@ def _candidate(extra: int) -> Column:
 
 
 def surrogates(entities: DataFrame, secret: str) -> DataFrame:
-    """``entities(kind, norm)``, distinct -> ``kind, norm, surrogate``, all different within a kind and no entity among them."""
+    """``entities(kind, norm)``, distinct -> ``kind, norm, surrogate``, all different within an entity type (all kinds of
+    names are one) and no entity of the type among them."""
     spark = entities.sparkSession
     folder = scratch_path(spark, "surrogates")
     entities.select("kind", "norm").write.parquet(f"{folder}/entities")
     entities = spark.read.parquet(f"{folder}/entities")
-    taken_names = entities.select("kind", F.col("norm").alias("surrogate"))
+    kind_type = F.when(F.col("kind").startswith("name"), "name").otherwise(F.col("kind")).alias("type")
+    taken_names = entities.select(kind_type, F.col("norm").alias("surrogate"))
     settled, waiting, attempt = None, entities, 0
     while True:
-        drawn = with_candidates(waiting, secret, attempt)
-        taken = taken_names if settled is None else taken_names.unionByName(settled.select("kind", "surrogate"))
-        free = drawn.join(taken, ["kind", "surrogate"], "left_anti")
-        first = Window.partitionBy("kind", "surrogate").orderBy("norm")
+        drawn = with_candidates(waiting, secret, attempt).select("kind", "norm", "surrogate", kind_type)
+        taken = taken_names if settled is None else taken_names.unionByName(settled.select(kind_type, "surrogate"))
+        free = drawn.join(taken, ["type", "surrogate"], "left_anti")
+        first = Window.partitionBy("type", "surrogate").orderBy("norm", "kind")
         won = free.withColumn("place", F.row_number().over(first)).where(F.col("place") == 1).drop("place")
         won.select("kind", "norm", "surrogate").write.parquet(f"{folder}/won-{attempt}")
         won = spark.read.parquet(f"{folder}/won-{attempt}")

@@ -331,6 +331,18 @@ def test_surrogates_settle_in_full_spaces(spark):
     assert re.fullmatch(r"at ([a-z]{8}-@-\.io), twice \1", text)
 
 
+def test_surrogates_differ_between_genders(spark):
+    from canopy.llm.pii_surrogates import surrogates
+
+    names = spark.range(2000).selectExpr("explode(array('name-f-latin', 'name-m-latin', 'name-n-latin')) AS kind", "concat('x', id) AS norm")
+    made = {(r["kind"], r["norm"]): r["surrogate"] for r in surrogates(names, "k").collect()}
+    assert len(made) == len(set(made.values())) == 6000
+    # A surrogate that is a real name of another gender is drawn again.
+    real = made["name-f-latin", "x1"]
+    again = surrogates(spark.createDataFrame([("name-f-latin", "x1"), ("name-m-latin", real)], "kind string, norm string"), "k").collect()
+    assert real not in {r["surrogate"] for r in again}
+
+
 def test_url_lists(spark):
     import datetime as dt
 
