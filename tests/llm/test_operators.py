@@ -40,7 +40,7 @@ def rows(spark, name):
 
 def test_queries_are_the_dealt_ones():
     names = sorted(llm_queries(), key=lambda n: int(n[2:].split("_")[0]))
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] and set(llm_oracles()) <= set(names)
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)] and set(llm_oracles()) <= set(names)
 
 
 def test_line_dedup_odd(odd):
