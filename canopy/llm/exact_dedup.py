@@ -51,7 +51,8 @@ def frequent(keys: DataFrame, key: str, shares: int) -> DataFrame:
     slices = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = (keys.groupBy(F.pmod(F.spark_partition_id(), F.lit(slices)).alias("slice"))
             .agg(F.expr(f"approx_top_k_accumulate({key}, {COUNTERS * shares})").alias("summary")))
-    whole = part.agg(F.expr(f"approx_top_k_combine(summary, {COUNTERS * shares})").alias("summary"))
+    # Grouped by a constant: the combining function fails on tasks without a row, which a global aggregate starts as well.
+    whole = part.groupBy(F.lit("")).agg(F.expr(f"approx_top_k_combine(summary, {COUNTERS * shares})").alias("summary"))
     top = whole.select(F.explode(F.expr(f"approx_top_k_estimate(summary, {LARGEST * shares})")).alias("top"))
     return top.select(F.col("top.item").alias(key))
 
