@@ -65,12 +65,12 @@ def _settled(docs: DataFrame, columns: list[str], shares: int | None) -> DataFra
                    .withColumn("rid", F.monotonically_increasing_id()).withColumn("short", F.xxhash64("digest")), "digests")
     shares = shares or _shares(docs)
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid"))
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    total = rows.agg(F.count(F.lit(1))).scalar()
     candidates = frequent(rows, "short", shares)
     # F.broadcast is bounded: ``frequent`` gives at most 2 * shares rows, and at most ``shares`` digests reach the threshold.
     counted = (rows.join(F.broadcast(candidates), "short", "left_semi").groupBy("digest")
                .agg(least.alias("winner"), F.count(F.lit(1)).alias("size")))
-    heavy = written(counted.join(F.broadcast(total), F.col("size") * shares >= F.col("total")).select("digest", "winner", "size"), "heavy")
+    heavy = written(counted.where(F.col("size") * shares >= total), "heavy")
     by_digest = Window.partitionBy("digest")
     light = (rows.join(F.broadcast(heavy), "digest", "left_anti")
              .withColumn("winner", least.over(by_digest)).withColumn("size", F.count(F.lit(1)).over(by_digest)))

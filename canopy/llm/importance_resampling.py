@@ -167,10 +167,10 @@ def bucket_gains(docs: DataFrame, target: DataFrame, max_n: int = 2, buckets: in
     t = bucket_counts(target, max_n, buckets).select("bucket", F.lit(0).cast("bigint").alias("s"), F.col("n").alias("t"))
     none = docs.sparkSession.range(buckets).select(F.col("id").alias("bucket"), F.lit(0).cast("bigint").alias("s"), F.lit(0).cast("bigint").alias("t"))
     both = written(s.unionByName(t).unionByName(none).groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")), "buckets")
-    sums = both.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
-    d = lambda c, more: F.col(c).cast("double") + F.lit(float(more))
-    ratio = (d("t", 1) * d("all_s", buckets)) / (d("s", 1) * d("all_t", buckets))
-    return both.crossJoin(F.broadcast(sums)).select("bucket", F.floor(F.lit(1000.0) * F.ln(ratio)).alias("gain"))  # sums: one row
+    more = lambda c, n: c.cast("double") + F.lit(float(n))
+    ratio = ((more(F.col("t"), 1) * more(both.agg(F.sum("s")).scalar(), buckets))
+             / (more(F.col("s"), 1) * more(both.agg(F.sum("t")).scalar(), buckets)))
+    return both.select("bucket", F.floor(F.lit(1000.0) * F.ln(ratio)).alias("gain"))
 
 
 def weights(texts: DataFrame, gains: np.ndarray, max_n: int) -> DataFrame:
