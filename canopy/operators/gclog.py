@@ -76,16 +76,15 @@ def parse_gc_line(line) -> Column:
     return gc_struct(kind, gc_slots(line, kind))
 
 
-def gc_table(lines: DataFrame, line_col: str = "gclogline", segment_col: str = "gp_segment") -> DataFrame:
-    """GC2. ``(gp_segment, gclogline, <15 fields>)``; unmatched lines are kept with NULL fields.
+def gc_table(lines: DataFrame, line_col: str = "gclogline", segment_col: str = "gp_segment",
+             keep: list[str] | None = None) -> DataFrame:
+    """GC2. ``(gp_segment, gclogline, <15 fields>)`` and the columns in ``keep``; unmatched lines are kept with NULL fields.
     The pattern test and the group extraction are separate projections, so each runs once per line."""
-    src = lines.select(segment_col, line_col)
-    k = src.select(
-        F.col(segment_col).alias("gp_segment"), F.col(line_col).alias("gclogline"),
+    names = ["gp_segment", "gclogline", *(keep or [])]
+    k = lines.select(F.col(segment_col).alias("gp_segment"), F.col(line_col).alias("gclogline"), *(keep or []),
                      gc_kind(F.col(line_col)).alias("__kind"))
-    s = k.select("gp_segment", "gclogline", "__kind", gc_slots(F.col("gclogline"), F.col("__kind")).alias("__slots"))
-    return s.select("gp_segment", "gclogline", gc_struct(F.col("__kind"), F.col("__slots")).alias("g")) \
-        .select("gp_segment", "gclogline", "g.*")
+    s = k.select(*names, "__kind", gc_slots(F.col("gclogline"), F.col("__kind")).alias("__slots"))
+    return s.select(*names, gc_struct(F.col("__kind"), F.col("__slots")).alias("g")).select(*names, "g.*")
 
 
 def _micros(ts: Column) -> Column:

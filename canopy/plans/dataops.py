@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from canopy.operators import lookup as K
 from canopy.operators.params import Params
-from canopy.operators.scoped import SESSION_COL, SessionTable
-from canopy.plans.logs import AS_OF, MEM_CTE, gc_source_text, ps_source_text
+from canopy.operators.scoped import SessionTable
+from canopy.plans.logs import AS_OF, MEM_CTE, TORN_SQL, gc_log_files, ps_source_text
 from canopy.plans.registry import query
 from canopy.session import scratch_path
 from canopy.sources import files as S
@@ -48,10 +48,11 @@ def k3(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- parameters
-def _params(spark):
+def _params(spark, sf_dir):
+    """One parameter for each region but the last: its number gives the name, its name the value."""
     p = Params(spark)
-    for k, v in enumerate(["aaa", "bbb", "ccc", "ddd"]):
-        p.setparamv(f"test{k}", v)
+    for r in table(spark, sf_dir, "region").where("r_regionkey < 4").collect():  # a handful of rows by use
+        p.setparamv(f"region{r['r_regionkey']}", r["r_name"])
     return p
 
 
@@ -79,25 +80,26 @@ def p3(spark, sf_dir):
 
 
 P2_SQL = """
-SELECT n_nationkey, 'test' || n_regionkey AS pname,
-       CASE n_regionkey WHEN 0 THEN 'aaa' WHEN 1 THEN 'bbb' WHEN 2 THEN 'ccc' WHEN 3 THEN 'ddd' END AS pvalue
-FROM nation"""
+SELECT n_nationkey, 'region' || n_regionkey AS pname, r_name AS pvalue
+FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey < 4"""
+
+
+def _param_names(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("region"), F.col("n_regionkey")).alias("pname"))
 
 
 @query("P2", P2_SQL)
 def p2(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("test"), F.col("n_regionkey")).alias("pname"))
-    return _params(spark).lookup(n, "pname", "pvalue")
+    return _params(spark, sf_dir).lookup(_param_names(spark, sf_dir), "pname", "pvalue")
 
 
 @query("P4", P2_SQL)
 def p4(spark, sf_dir):
     path = scratch_path(spark, "params")
-    _params(spark).savetotable(path)
+    _params(spark, sf_dir).savetotable(path)
     loaded = Params(spark)
     loaded.readfromtable(path)
-    n = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("test"), F.col("n_regionkey")).alias("pname"))
-    return loaded.lookup(n, "pname", "pvalue")
+    return loaded.lookup(_param_names(spark, sf_dir), "pname", "pvalue")
 
 
 @query("P5", "SELECT l_linestatus, count(*) AS cnt FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1")
@@ -112,158 +114,202 @@ def p5(spark, sf_dir):
 
 # ---------------------------------------------------------------- session-scoped rows
 def _scoped(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    t = SessionTable.create(spark, scratch_path(spark, "scoped"),
-                            ["o_orderkey bigint", "o_orderstatus string", "o_totalprice double"])
+    o = table(spark, sf_dir, "orders")
+    t = SessionTable.create(spark, scratch_path(spark, "scoped"), [
+        "o_orderkey bigint", "o_custkey bigint", "o_orderstatus string", "o_totalprice double", "o_orderdate timestamp_ntz", "o_orderpriority string"])
     t.insert(o.filter(F.col("o_orderstatus") == "F"), "s1")
     t.insert(o.filter(F.col("o_orderstatus") == "O"), "s2")
     t.insert(o.filter(F.col("o_orderstatus") == "P"), None)
     return t
 
 
-@query("T1", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+@query("T1", "SELECT * FROM orders WHERE o_orderstatus = 'F'")
 def t1(spark, sf_dir):
     return _scoped(spark, sf_dir).read("s1")
 
 
-@query("T2", """
-SELECT o_orderkey, o_orderstatus, o_totalprice,
-       CASE o_orderstatus WHEN 'F' THEN 's1' WHEN 'O' THEN 's2' END AS __session_id FROM orders""")
+@query("T2", "SELECT *, CASE o_orderstatus WHEN 'F' THEN 's1' WHEN 'O' THEN 's2' END AS __session_id FROM orders")
 def t2(spark, sf_dir):
-    return _scoped(spark, sf_dir).base().select("o_orderkey", "o_orderstatus", "o_totalprice", SESSION_COL)
+    return _scoped(spark, sf_dir).base()
 
 
-@query("T3", """
-SELECT o_orderkey, o_orderstatus, o_totalprice, CASE o_orderstatus WHEN 'O' THEN 's2' END AS __session_id
-FROM orders WHERE o_orderstatus <> 'F'""")
+@query("T3", "SELECT *, CASE o_orderstatus WHEN 'O' THEN 's2' END AS __session_id FROM orders WHERE o_orderstatus <> 'F'")
 def t3(spark, sf_dir):
     t = _scoped(spark, sf_dir)
     t.cleanup("s1")
-    return t.base().select("o_orderkey", "o_orderstatus", "o_totalprice", SESSION_COL)
+    return t.base()
 
 
-@query("T4", """
-SELECT o_orderkey, o_orderstatus, o_totalprice, 's2' AS __session_id FROM orders WHERE o_orderstatus = 'O'""")
+@query("T4", "SELECT *, 's2' AS __session_id FROM orders WHERE o_orderstatus = 'O'")
 def t4(spark, sf_dir):
     t = _scoped(spark, sf_dir)
     active = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "O").select(F.lit("s2").alias("sess_id"))
     t.full_cleanup(active, reorganize=True)
-    return t.base().select("o_orderkey", "o_orderstatus", "o_totalprice", SESSION_COL)
+    return t.base()
 
 
 # ---------------------------------------------------------------- sources
-def _server_log_rows(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    null = F.lit(None).cast("string")
-    cols = {f.name: F.lit(None).cast(f.dataType) for f in S.SERVER_LOG_SCHEMA.fields}
-    cols.update({
-        "event_time": F.col("o_orderdate").cast("timestamp"),
-        "user_name": F.concat(F.lit("user"), F.col("o_custkey").cast("string")),
-        "database_name": F.lit("db"),
-        "process_id": F.concat(F.lit("p"), F.col("o_orderkey").cast("string")),
-        "thread_id": null,
-        "remote_host": F.lit("10.0.0.1"), "remote_port": F.lit("5432"),
-        "session_start_time": F.col("o_orderdate").cast("timestamp"),
-        "transaction_id": (F.col("o_orderkey") % 1000).cast("int"),
-        "gp_session_id": F.concat(F.lit("con"), F.col("o_custkey").cast("string")),
-        "event_severity": F.when(F.col("o_orderstatus") == "F", "LOG").when(F.col("o_orderstatus") == "O", "WARNING")
-        .otherwise("ERROR"),
-        "sql_state_code": F.lit("00000"),
-        "event_message": F.concat(F.lit('statement: select "'), F.col("o_orderpriority"), F.lit('"\nfrom t')),
-        "debug_query_string": F.col("o_orderpriority"),
-        "file_name": F.lit("postgres.c"), "file_line": F.lit(1000),
-    })
-    return o.select(*[cols[f.name].alias(f.name) for f in S.SERVER_LOG_SCHEMA.fields])
-
-
-@query("S1", """
-SELECT o_orderdate AS event_time, 'user' || o_custkey AS user_name, CAST(o_orderkey % 1000 AS INTEGER) AS transaction_id,
-       CASE o_orderstatus WHEN 'F' THEN 'LOG' WHEN 'O' THEN 'WARNING' ELSE 'ERROR' END AS event_severity,
-       'statement: select "' || o_orderpriority || '"' || chr(10) || 'from t' AS event_message,
-       NULL::VARCHAR AS thread_id, 1000 AS file_line
-FROM orders""")
-def s1(spark, sf_dir):
+#: The server log of the orders: for each column the Spark and the DuckDB expression (``k``: o_orderkey, ``c``: o_custkey).
+SERVER_LOG = {
+    "event_time": ("timestamp(o_orderdate)", "CAST(o_orderdate AS TIMESTAMP)"),
+    "user_name": ("concat('user', c)", "'user' || c"),
+    "database_name": ("concat('db', c % 3)", "'db' || c % 3"),
+    "process_id": ("concat('p', k)", "'p' || k"),
+    "thread_id": ("if(k % 2 = 0, null, concat('th', k))", "CASE WHEN k % 2 = 1 THEN 'th' || k END"),
+    "remote_host": ("concat('10.0.0.', c % 250)", "'10.0.0.' || c % 250"),
+    "remote_port": ("string(1024 + c)", "CAST(1024 + c AS VARCHAR)"),
+    "session_start_time": ("timestamp(o_orderdate) - interval 1 hour", "CAST(o_orderdate AS TIMESTAMP) - INTERVAL 1 HOUR"),
+    "transaction_id": ("int(k % 1000)", "CAST(k % 1000 AS INTEGER)"),
+    "gp_session_id": ("concat('con', c)", "'con' || c"),
+    "gp_command_count": ("concat('cmd', k % 7)", "'cmd' || k % 7"),
+    "gp_segment": ("concat('seg', k % 4)", "'seg' || k % 4"),
+    "slice_id": ("if(k % 5 = 0, null, 'slice1')", "CASE WHEN k % 5 <> 0 THEN 'slice1' END"),
+    "distr_tranx_id": ("concat('dx', k)", "'dx' || k"),
+    "local_tranx_id": ("concat('x', k)", "'x' || k"),
+    "sub_tranx_id": ("'sx1'", "'sx1'"),
+    "event_severity": ("case o_orderstatus when 'F' then 'LOG' when 'O' then 'WARNING' else 'ERROR' end",
+                       "CASE o_orderstatus WHEN 'F' THEN 'LOG' WHEN 'O' THEN 'WARNING' ELSE 'ERROR' END"),
+    "sql_state_code": ("'00000'", "'00000'"),
+    "event_message": ("concat('statement: select \"', o_orderpriority, '\",\nfrom t\n\nwhere k = ', k)",
+                      "'statement: select \"' || o_orderpriority || '\",' || chr(10) || 'from t' || chr(10) || chr(10) || 'where k = ' || k"),
+    "event_detail": ("if(k % 3 = 0, concat('\"\"', k, ',\n\"'), null)", "CASE WHEN k % 3 = 0 THEN '\"\"' || k || ',' || chr(10) || '\"' END"),
+    "event_hint": ("string(null)", "CAST(NULL AS VARCHAR)"),
+    "internal_query": ("concat('select ', k)", "'select ' || k"),
+    "internal_query_pos": ("int(k % 50)", "CAST(k % 50 AS INTEGER)"),
+    "event_context": ("concat('ctx ', c % 13)", "'ctx ' || c % 13"),
+    "debug_query_string": ("o_orderpriority", "o_orderpriority"),
+    "error_cursor_pos": ("if(k % 2 = 0, int(k % 9), null)", "CASE WHEN k % 2 = 0 THEN CAST(k % 9 AS INTEGER) END"),
+    "func_name": ("concat('fn_', c % 11)", "'fn_' || c % 11"),
+    "file_name": ("'postgres.c'", "'postgres.c'"),
+    "file_line": ("int(1000 + k % 9)", "CAST(1000 + k % 9 AS INTEGER)"),
+    "stack_trace": ("concat('1 0x', k, '\n2 0x', c)", "'1 0x' || k || chr(10) || '2 0x' || c"),
+}
+KEYED = "SELECT *, o_orderkey AS k, o_custkey AS c FROM orders"
+
+
+def _server_log(spark, sf_dir):
+    """The server log as files: rows of 30 fields with line ends inside, and a file with rows that don't fit."""
     path = scratch_path(spark, "serverlog")
-    _server_log_rows(spark, sf_dir).write.option("quote", '"').option("escape", '"').option("nullValue", "") \
-        .option("header", False).csv(path)
-    log = S.read_server_log(spark, path)
-    return log.select(F.col("event_time").cast("timestamp_ntz").alias("event_time"), "user_name", "transaction_id",
-                      "event_severity", "event_message", "thread_id", "file_line")
+    o = table(spark, sf_dir, "orders").withColumns({"k": F.col("o_orderkey"), "c": F.col("o_custkey")})
+    assert list(SERVER_LOG) == S.SERVER_LOG_SCHEMA.names
+    o.select(*[F.expr(e).alias(name) for name, (e, _) in SERVER_LOG.items()]).write.option("quote", '"').option("escape", '"') \
+        .option("nullValue", "").option("header", False).csv(f"{path}/rows")
+    torn = F.when(F.col("k") % 3 == 0, F.format_string('%d,"only,three",fields', "k")).otherwise(
+        F.concat(F.lit('2024-01-01 00:00:00,u,d,"p""1""x",t,h,1,2024-01-01 00:00:00,no number'), F.repeat(F.lit(","), F.lit(21))))
+    o.where("k % 50 = 0").select(torn.alias("value")).write.text(f"{path}/torn")
+    return S.load_server_log(spark, f"{path}/*")
+
+
+@query("S1", "SELECT " + ", ".join(f"{e} AS {name}" for name, (_, e) in SERVER_LOG.items()) + f" FROM ({KEYED})")
+def s1(spark, sf_dir):
+    log = _server_log(spark, sf_dir).rows
+    return log.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("event_time", "session_start_time")})
+
 
+@query("S1_rejects", f"""
+SELECT CASE WHEN k % 3 = 0 THEN k || ',"only,three",fields'
+            ELSE '2024-01-01 00:00:00,u,d,"p""1""x",t,h,1,2024-01-01 00:00:00,no number' || repeat(',', 21) END AS line,
+       'does not fit the 30 columns' AS reason
+FROM ({KEYED}) WHERE k % 50 = 0""")
+def s1_rejects(spark, sf_dir):
+    return _server_log(spark, sf_dir).rejects.select("line", "reason")
 
-@query("S4", "SELECT DISTINCT l_returnflag, true AS has_files, true AS has_bytes FROM lineitem")
+
+@query("S4", """
+SELECT segment_id, node, count(DISTINCT l_linenumber) AS n_files, CAST(sum(octet_length(encode(line)) + 1) AS DECIMAL(38, 0)) AS size
+FROM (SELECT CAST(l_suppkey % 4 AS INTEGER) AS segment_id, CAST(l_partkey % 5 AS INTEGER) AS node, l_linenumber,
+             l_orderkey || ' ' || l_linenumber AS line FROM lineitem) GROUP BY 1, 2""")
 def s4(spark, sf_dir):
-    # how many files the writer makes per partition is its own choice; which partitions were listed
-    # and that they hold bytes is what the listing must get right
+    """Segment folders with a folder for each file node; of a node, one file for each line number, of known lines."""
     path = scratch_path(spark, "listing")
-    table(spark, sf_dir, "lineitem").write.partitionBy("l_returnflag").parquet(path)
-    files = S.read_file_listing(spark, path, glob="*.parquet")
-    part = F.regexp_extract("filename", "l_returnflag=([^/]+)/", 1)
-    return files.groupBy(part.alias("l_returnflag")).agg((F.count(F.lit(1)) > 0).alias("has_files"),
-                                                         (F.sum("size") > 0).alias("has_bytes"))
+    li = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_suppkey") % 4).cast("int").alias("segment_id"), (F.col("l_partkey") % 5).cast("int").alias("node"),
+        F.col("l_linenumber").alias("part"), F.concat_ws(" ", "l_orderkey", "l_linenumber").alias("value"))
+    li.repartition("segment_id", "node", "part").write.partitionBy("segment_id", "node", "part").text(path)
+    folders = li.select("segment_id", "node").distinct().withColumn(
+        "folder", F.format_string(f"{path}/segment_id=%d/node=%d", "segment_id", "node"))
+    files = S.list_folders(folders).where(F.col("relfilenode").endswith(".txt"))
+    return files.groupBy("segment_id", "node").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").cast("decimal(38,0)").alias("size"))
 
 
 @query("S5", "SELECT n_name AS table_name FROM nation")
 def s5(spark, sf_dir):
     path = scratch_path(spark, "tablelist")
     n = table(spark, sf_dir, "nation")
-    lines = n.select(F.concat(F.lit("  "), "n_name", F.lit(" \t")).alias("value")).unionByName(
-        n.limit(3).select(F.lit("   ").alias("value")))
+    lines = n.select(F.explode(F.array(F.concat(F.lit("  "), "n_name", F.lit(" \t")), F.lit("   "), F.lit(""))).alias("value"))
     lines.write.text(path)
     return S.read_table_list(spark, path)
 
 
 def _registry(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
-    kind = F.when(F.col("s_nationkey") % 3 == 0, "oracle").when(F.col("s_nationkey") % 3 == 1, "postgresql") \
-        .otherwise("mysql")
+    kind = F.element_at(F.array(*map(F.lit, ("oracle", "postgresql", "SQLServer", "mysql"))), (F.col("s_nationkey") % 4 + 1).cast("int"))
     return s.select(F.col("s_suppkey").alias("id"), kind.alias("type"),
                     F.concat(F.lit("host"), F.col("s_nationkey").cast("string")).alias("server_name"),
                     F.when(F.col("s_suppkey") % 2 == 0, F.lit("orcl")).alias("instance_name"),
-                    (F.lit(1500) + F.col("s_nationkey")).alias("port"), F.lit("db").alias("database_name"),
+                    F.when(F.col("s_suppkey") % 5 > 0, F.lit(1500) + F.col("s_nationkey")).alias("port"), F.lit("db").alias("database_name"),
                     F.col("s_name").alias("user_name"), F.lit("secret").alias("pass"))
 
 
 @query("S6", """
+WITH r AS (SELECT *, 'host' || s_nationkey || CASE WHEN s_suppkey % 5 > 0 THEN ':' || (1500 + s_nationkey) ELSE '' END AS host FROM supplier)
 SELECT s_suppkey AS id,
-       CASE s_nationkey % 3
-         WHEN 0 THEN 'jdbc:oracle:thin:@//host' || s_nationkey || ':' || (1500 + s_nationkey) || '/' ||
-                     CASE WHEN s_suppkey % 2 = 0 THEN 'orcl' ELSE 'db' END
-         WHEN 1 THEN 'jdbc:postgresql://host' || s_nationkey || ':' || (1500 + s_nationkey) || '/db'
-         ELSE 'jdbc:mysql://host' || s_nationkey || ':' || (1500 + s_nationkey) || '/db' END AS url,
-       s_name AS "user"
-FROM supplier""")
+       CASE s_nationkey % 4
+         WHEN 0 THEN 'jdbc:oracle:thin:@//' || host || '/' || CASE WHEN s_suppkey % 2 = 0 THEN 'orcl' ELSE 'db' END
+         WHEN 1 THEN 'jdbc:postgresql://' || host || '/db'
+         WHEN 2 THEN 'jdbc:sqlserver://' || host || ';databaseName=db' || CASE WHEN s_suppkey % 2 = 0 THEN ';instanceName=orcl' ELSE '' END
+         ELSE 'jdbc:mysql://' || host || '/db' END AS url,
+       s_name AS "user", 'secret' AS password
+FROM r""")
 def s6(spark, sf_dir):
     return S.connection_urls(_registry(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- loads
-L1_TARGET = T.StructType([T.StructField("l_orderkey", T.LongType()), T.StructField("l_returnflag", T.StringType()),
-                          T.StructField("l_quantity", T.DecimalType(12, 2))])
-
-
-@query("L1", "SELECT l_orderkey, l_returnflag, CAST(l_quantity AS DECIMAL(12, 2)) AS l_quantity FROM lineitem")
+def _declared(spark, name: str, fields: str) -> tuple[str, str]:
+    """A table of the catalog in the scratch folder: its name and folder."""
+    path = scratch_path(spark, name)
+    target = f"canopy_{path.rsplit('-', 1)[1]}"
+    spark.sql(f"CREATE TABLE {target} ({fields}) USING parquet LOCATION '{path}'")
+    return target, path
+
+
+@query("L1", """
+SELECT l_orderkey, CAST(l_linenumber AS SMALLINT) AS l_linenumber, l_returnflag, l_linestatus, CAST(l_quantity AS DECIMAL(12, 2)) AS l_quantity,
+       CAST(l_shipdate AS DATE) AS "ship#date"
+FROM lineitem""")
 def l1(spark, sf_dir):
-    src = {"format": "parquet", "path": f"{sf_dir.rstrip('/')}/lineitem.parquet"}
-    return S.load_from_source(spark, scratch_path(spark, "l1"), L1_TARGET, src)
+    """Eight slices by order key into a table that declares lengths; the table is left out of the catalog afterwards."""
+    target, path = _declared(spark, "l1", "l_orderkey bigint, l_linenumber smallint, l_returnflag varchar(1), l_linestatus varchar(10), "
+                                          "l_quantity decimal(12,2), `ship#date` date")
+    view = f"{scratch_path(spark, 'l1-source')}"
+    table(spark, sf_dir, "lineitem").withColumnRenamed("l_shipdate", "ship#date").write.parquet(view)  # stands for the remote query
+    S.load_into_table(spark, target, {"format": "parquet", "path": view}, slice_by=("l_orderkey", 8))
+    spark.sql(f"DROP TABLE {target}")
+    return spark.read.parquet(path)
 
 
-@query("L2", "SELECT o_orderkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(15, 2)) AS o_totalprice FROM orders")
+@query("L2", "SELECT o_orderkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(15, 2)) AS o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders")
 def l2(spark, sf_dir):
-    like = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(15,2)").alias("o_totalprice")).limit(0)
+    like, _ = _declared(spark, "l2-like", "o_orderkey bigint, o_orderstatus char(1), o_totalprice decimal(15,2), o_orderdate date")
+    path = scratch_path(spark, "l2")
     src = {"format": "parquet", "path": f"{sf_dir.rstrip('/')}/orders.parquet"}
-    return S.load_like(spark, scratch_path(spark, "l2"), like, src)
+    target = f"{like}_loaded"
+    S.load_table_like(spark, target, like, src, slice_by=("o_orderdate", 5), location=path)
+    assert S.field_texts(spark, target) == S.field_texts(spark, like)
+    for t in (like, target):
+        spark.sql(f"DROP TABLE {t}")
+    return spark.read.parquet(path)
 
 
 # ---------------------------------------------------------------- sinks
 @query("O1", """
-SELECT event_id || '|' || event_type || '|' || regexp_replace(props, '([\\\\|"\\r\\n])', '\\\\\\1', 'g') || '|' ||
-       CAST(event_id % 7 AS VARCHAR) AS value FROM events""")
+SELECT event_id || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S') || CASE WHEN ts = date_trunc('second', ts) THEN ''
+         ELSE '.' || rtrim(strftime(ts, '%f'), '0') END || '|' || user_id || '|' || event_type || '|' || CAST(value AS VARCHAR) || '|' ||
+       regexp_replace(props, '([\\\\|"\\r\\n])', '\\\\\\1', 'g') AS value FROM events""")
 def o1(spark, sf_dir):
     path = scratch_path(spark, "dump")
-    e = table(spark, sf_dir, "events").select("event_id", "event_type", "props", (F.col("event_id") % 7).alias("k"))
-    O.dump_delimited(e, path)
+    O.dump_delimited(table(spark, sf_dir, "events"), path)
     return spark.read.text(path)
 
 
@@ -320,13 +366,24 @@ SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, gp_segment,
        sum(CAST(secs AS DECIMAL(18, 5))) > 300 AS time_error
 FROM w GROUP BY 1, 2, 3""")
 def st2(spark, sf_dir):
-    src = scratch_path(spark, "gc-in")
-    gc_source_text(spark, sf_dir).repartition(4).write.text(src)
-    out, ck = scratch_path(spark, "gc-out"), scratch_path(spark, "gc-ck")
-    q = ST.rolling_gc_counters(spark, src, out, ck, available_now=True,
+    out = scratch_path(spark, "gc-out")
+    q = ST.rolling_gc_counters(spark, _ingested_gc(spark, sf_dir), out, scratch_path(spark, "gc-ck"), available_now=True,
                                state_partitions=spark.sparkContext.defaultParallelism)
     q.awaitTermination()
     r = ST.latest_windows(spark, out)
     return r.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
                     F.col("window_end").cast("timestamp_ntz").alias("window_end"), "gp_segment", "full_gc_events",
                     "gc_seconds", "events_error", "time_error")
+
+
+def _ingested_gc(spark, sf_dir) -> str:
+    """The table of GC rows and rejects that the first stream makes of the log files."""
+    path = scratch_path(spark, "gc-table")
+    src = f"{gc_log_files(spark, sf_dir)}/segment=*"
+    ST.ingest_gc_log(spark, src, path, scratch_path(spark, "gc-in-ck"), available_now=True).awaitTermination()
+    return path
+
+
+@query("ST2_rejects", TORN_SQL)
+def st2_rejects(spark, sf_dir):
+    return ST.gc_rejects(spark, _ingested_gc(spark, sf_dir))

@@ -15,7 +15,8 @@ from canopy.operators import process as M
 from canopy.operators import reports as B
 from canopy.plans.registry import query
 from canopy.session import scratch_path
-from canopy.sources.files import read_gc_log, read_process_snapshot
+from canopy.sources.files import load_gc_log, read_process_snapshot
+from canopy.sources.rejects import REJECT
 from canopy.sources.tables import table
 
 AS_OF = "2024-01-15 12:00:00"
@@ -43,15 +44,30 @@ def gc_source_text(spark, sf_dir):
     return e.select(F.concat(head, body, F.lit("|"), (F.col("user_id") % 4).cast("string")).alias("value"))
 
 
+def gc_torn_text(spark, sf_dir):
+    """Lines of the same log that carry no segment, or one that is no number."""
+    e = table(spark, sf_dir, "events")
+    i = F.col("event_id")
+    torn = F.when(i % 97 == 0, F.format_string("torn line %d", i)).when(i % 89 == 0, F.format_string("odd segment %d|seg|x%d", i, i)) \
+        .when(i % 83 == 0, F.format_string("segment out of range %d|99999999999", i))
+    return e.select(torn.alias("value"), (F.col("user_id") % 4).alias("segment")).where("value is not null")
+
+
 def gc_log_files(spark, sf_dir) -> str:
-    """The GC log as text files in the scratch folder (what the log source reads on a cluster)."""
+    """The GC log as text files in the scratch folder, one folder a segment (what the log source reads on a cluster)."""
     path = scratch_path(spark, "gclog")
-    gc_source_text(spark, sf_dir).write.text(path)
+    good = gc_source_text(spark, sf_dir).withColumn("segment", F.substring_index("value", "|", -1).cast("bigint"))
+    good.unionByName(gc_torn_text(spark, sf_dir)).write.partitionBy("segment").text(path)
     return path
 
 
+def load_gc(spark, sf_dir):
+    """The log read and parsed once, rows and rejects."""
+    return load_gc_log(spark, gc_log_files(spark, sf_dir), parse=lambda tagged: G.gc_table(tagged, keep=[REJECT]))
+
+
 def gc_lines(spark, sf_dir):
-    return G.gc_table(read_gc_log(spark, gc_log_files(spark, sf_dir)))
+    return load_gc(spark, sf_dir).rows
 
 
 GC_CTE = """
@@ -87,34 +103,45 @@ g AS (
          CAST(CASE WHEN event_type <> 'view' THEN 9000 END AS INTEGER) AS full_heap_max_size_kb,
          CASE WHEN event_type <> 'view' THEN CAST(secs AS DOUBLE) END AS gc_runtime_sec
   FROM e),
-fgc AS (SELECT gp_segment, gc_start,
-               epoch_us(gc_start) - lag(epoch_us(gc_start)) OVER (PARTITION BY gp_segment ORDER BY gc_start) AS iv
-        FROM g WHERE is_full = 1),
-f1 AS (SELECT gp_segment, avg(iv) / 1e6 AS avg_iv FROM fgc GROUP BY gp_segment),
-f2 AS (SELECT gp_segment, iv / 1e6 AS last_iv FROM (
-         SELECT gp_segment, iv, row_number() OVER (PARTITION BY gp_segment ORDER BY gc_start DESC) AS rn FROM fgc) q
-       WHERE rn = 1),
-heap AS (SELECT gp_segment, full_heap_max_size_kb, full_heap_new_size_kb FROM (
-           SELECT *, row_number() OVER (PARTITION BY gp_segment ORDER BY gc_start {heap_order}) AS rn
-           FROM g WHERE is_full = 1) q WHERE rn = 1),
+ends AS (SELECT gp_segment, count(*) AS n, min(epoch_us(gc_start)) AS lo, max(epoch_us(gc_start)) AS hi FROM g WHERE is_full = 1 GROUP BY 1),
+late AS (SELECT gp_segment, max(epoch_us(gc_start)) FILTER (epoch_us(gc_start) < hi) AS earlier, count(*) FILTER (epoch_us(gc_start) = hi) AS at_hi
+         FROM g JOIN ends USING (gp_segment) WHERE is_full = 1 GROUP BY 1),
+spans AS (SELECT gp_segment, CASE WHEN n > 1 THEN (hi - lo) / (n - 1) / 1e6 END AS mean_span,
+                 CASE WHEN at_hi > 1 THEN 0 ELSE (hi - earlier) / 1e6 END AS last_span
+          FROM ends JOIN late USING (gp_segment)),
+heap AS (SELECT gp_segment, p.mx AS full_heap_max_size_kb, p.nw AS full_heap_new_size_kb
+         FROM (SELECT gp_segment, {pick}({'mx': full_heap_max_size_kb, 'nw': full_heap_new_size_kb}, gc_start) AS p FROM g WHERE is_full = 1 GROUP BY 1)),
 ev AS (SELECT gp_segment, count(*) AS events FROM g
        WHERE is_full = 1 AND TIMESTAMP '2024-01-15 12:00:00' - gc_start < INTERVAL 1 HOUR GROUP BY gp_segment),
 tm AS (SELECT gp_segment, sum(CAST(gc_runtime_sec AS DECIMAL(18, 5))) AS gc_total_runtime FROM g
        WHERE TIMESTAMP '2024-01-15 12:00:00' - gc_start < INTERVAL 1 HOUR GROUP BY gp_segment)
 """
-GC_LAST = GC_CTE.replace("{heap_order}", "DESC")
-GC_FIRST = GC_CTE.replace("{heap_order}", "ASC")
+GC_LAST = GC_CTE.replace("{pick}", "arg_max")
+GC_FIRST = GC_CTE.replace("{pick}", "arg_min")
 GC_COLS = ", ".join(["gp_segment", "gclogline"] + G.FIELDS)
 
 
 @query("S2", GC_LAST + "SELECT gclogline, gp_segment FROM g")
 def s2(spark, sf_dir):
-    return read_gc_log(spark, gc_log_files(spark, sf_dir))
+    return load_gc_log(spark, gc_log_files(spark, sf_dir)).rows
+
+
+TORN_SQL = """
+SELECT CAST(user_id % 4 AS VARCHAR) AS segment,
+       CASE WHEN event_id % 97 = 0 THEN 'torn line ' || event_id WHEN event_id % 89 = 0 THEN 'odd segment ' || event_id || '|seg|x' || event_id
+            ELSE 'segment out of range ' || event_id || '|99999999999' END AS line,
+       CASE WHEN event_id % 97 = 0 THEN 'no segment' ELSE 'segment is no number' END AS reason
+FROM events WHERE event_id % 97 = 0 OR event_id % 89 = 0 OR event_id % 83 = 0"""
+
+
+@query("S2_rejects", TORN_SQL)
+def s2_rejects(spark, sf_dir):
+    return load_gc(spark, sf_dir).rejects
 
 
 @query("GC1", GC_LAST + "SELECT gclogline, " + ", ".join(G.FIELDS) + " FROM g")
 def gc1(spark, sf_dir):
-    lines = read_gc_log(spark, gc_log_files(spark, sf_dir))
+    lines = load_gc_log(spark, gc_log_files(spark, sf_dir)).rows
     return lines.select("gclogline", G.parse_gc_line("gclogline").alias("g")).select("gclogline", "g.*")
 
 
@@ -124,9 +151,8 @@ def gc2(spark, sf_dir):
 
 
 @query("GC3", GC_LAST + """
-SELECT f1.gp_segment, CAST(avg_iv AS DECIMAL(20, 3)) AS avg_full_gc_interval,
-       CAST(last_iv AS DECIMAL(20, 3)) AS full_gc_interval
-FROM f1 JOIN f2 ON f1.gp_segment = f2.gp_segment""")
+SELECT gp_segment, CAST(mean_span AS DECIMAL(20, 3)) AS avg_full_gc_interval, CAST(last_span AS DECIMAL(20, 3)) AS full_gc_interval
+FROM spans""")
 def gc3(spark, sf_dir):
     r = G.full_gc_intervals(gc_lines(spark, sf_dir))
     return r.select("gp_segment", F.col("avg_full_gc_interval").cast(DEC).alias("avg_full_gc_interval"),
@@ -154,9 +180,8 @@ def gc6(spark, sf_dir):
 
 
 @query("GC7", GC_LAST + f"""
-SELECT f1.gp_segment, 'fullgc_interval' AS rule, CAST(last_iv AS {DEC}) AS value, CAST(avg_iv / 2.0 AS {DEC}) AS threshold,
-       coalesce(last_iv * 2.0 < avg_iv, false) AS is_error
-FROM f1 JOIN f2 ON f1.gp_segment = f2.gp_segment
+SELECT gp_segment, 'fullgc_interval' AS rule, CAST(last_span AS {DEC}) AS value, CAST(mean_span / 2.0 AS {DEC}) AS threshold,
+       coalesce(last_span * 2.0 < mean_span, false) AS is_error FROM spans
 UNION ALL
 SELECT gp_segment, 'fullgc_heap', CAST(full_heap_new_size_kb AS {DEC}), CAST(full_heap_max_size_kb * 80.0 / 100.0 AS {DEC}),
        coalesce(full_heap_max_size_kb * 80.0 / 100.0 < full_heap_new_size_kb, false) FROM heap

@@ -176,3 +176,48 @@ def test_gc_segments_over_nine_digits(spark):
     from canopy.sources.files import split_gc_lines
     lines = spark.createDataFrame([("x|2000000000",), ("y|99999999999",), ("z",)], "value string")
     assert [(r.gclogline, r.gp_segment) for r in split_gc_lines(lines).collect()] == [("x", 2000000000)]
+
+
+def test_inserts_hold_while_a_cleanup_rewrites(spark, tmp_dir, monkeypatch):
+    """A part that is inserted during the rewrite stays in force; of two rewriters one wins."""
+    from canopy import store
+    t = SessionTable.create(spark, f"{tmp_dir}/raced", ["x int"])
+    t.insert(spark.createDataFrame([(1,)], "x int"), "me")
+    t.insert(spark.createDataFrame([(2,)], "x int"), None)
+    write, raced = SessionTable._write, []
+
+    def write_then_insert(self, df):
+        part = write(self, df)
+        if not raced:
+            raced.append(True)
+            SessionTable(spark, t.path).insert(spark.createDataFrame([(3,)], "x int"), "late")
+        return part
+
+    monkeypatch.setattr(SessionTable, "_write", write_then_insert)
+    active = spark.createDataFrame([("me",)], "sess_id string")
+    t.full_cleanup(active)
+    assert sorted(r.x for r in t.base().collect()) == [1, 3]
+
+    def write_then_clean(self, df):
+        part = write(self, df)
+        if len(raced) == 1:
+            raced.append(True)
+            SessionTable(spark, t.path).full_cleanup(active)
+        return part
+
+    monkeypatch.setattr(SessionTable, "_write", write_then_clean)
+    with pytest.raises(store.Conflict):
+        t.full_cleanup(active)
+    assert sorted(r.x for r in t.base().collect()) == [1]
+
+
+def test_versions_without_content_are_passed_over(spark, tmp_dir):
+    from canopy import store
+    v = store.Versions(spark, f"{tmp_dir}/versions")
+    assert v.last() == (-1, None)
+    v.commit(-1, {"a": 1})
+    store.create_once(spark, f"{tmp_dir}/versions/{1:012d}.json", "")  # its writer was lost
+    assert v.last() == (1, {"a": 1})
+    with pytest.raises(store.Conflict):
+        v.commit(0, {"a": 2})
+    assert v.commit(1, {"a": 3}) == 2 and v.last() == (2, {"a": 3})
