@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from canopy.operators import skew as SK
 from canopy.operators import textindex as X
 from canopy.plans.registry import query
+from canopy.session import scratch_path
 from canopy.sources.tables import table
 
 
@@ -115,15 +116,49 @@ def sk3(spark, sf_dir):
     return SK.shard_stats(shards(spark, sf_dir))
 
 
-@query("SK4", """
-WITH b AS (SELECT i AS bucket FROM range(0, 16) r(i)),
-p AS (SELECT l_orderkey % 16 AS bucket, count(*) AS rows FROM lineitem GROUP BY 1),
+def _times(x: str, c: int) -> str:
+    return f"((({x}) * {c}) % 4294967296)"
+
+
+def _turned(x: str, bits: int) -> str:
+    return f"((({x}) * {1 << bits}) % 4294967296 + ({x}) // {1 << 32 - bits})"
+
+
+def _mixed(h: str, k: str) -> str:
+    k1 = _times(_turned(_times(k, 0xCC9E2D51), 15), 0x1B873593)
+    return f"(({_times(_turned(f'xor({h}, {k1})', 13), 5)} + {0xE6546B64}) % 4294967296)"
+
+
+#: Spark's hash of a bigint (Murmur3 of its two halves, seed 42), step by step in unsigned arithmetic below 2**32.
+HASH_SQL = f"""
+h0 AS (SELECT DISTINCT l_orderkey AS k, (l_orderkey & 4294967295)::UBIGINT AS lo, ((l_orderkey >> 32) & 4294967295)::UBIGINT AS hi FROM lineitem),
+h1 AS (SELECT k, hi, {_mixed('42::UBIGINT', 'lo')} AS h FROM h0),
+h2 AS (SELECT k, xor({_mixed('h', 'hi')}, 8::UBIGINT) AS h FROM h1),
+h3 AS (SELECT k, {_times('xor(h, h // 65536)', 0x85EBCA6B)} AS h FROM h2),
+h4 AS (SELECT k, {_times('xor(h, h // 8192)', 0xC2B2AE35)} AS h FROM h3),
+h5 AS (SELECT k, xor(h, h // 65536)::BIGINT AS h FROM h4),
+hashed AS (SELECT k, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS h FROM h5)"""
+
+
+def _skew_sql(buckets: int, ctes: str, bucket: str, source: str) -> str:
+    return f"""
+WITH {ctes}b AS (SELECT i AS bucket FROM range(0, {buckets}) r(i)),
+p AS (SELECT {bucket} AS bucket, count(*) AS rows FROM {source} GROUP BY 1),
 f AS (SELECT b.bucket, coalesce(p.rows, 0) AS rows FROM b LEFT JOIN p ON b.bucket = p.bucket)
 SELECT sum(rows) AS total_rows, min(rows) AS min_rows, max(rows) AS max_rows, CAST(avg(rows) AS DECIMAL(20, 2)) AS avg_rows,
        CAST(100 * (max(rows) - min(rows)) / greatest(max(rows), 1) AS DECIMAL(6, 2)) AS gap_percent,
        count(*) FILTER (WHERE rows = 0) AS empty_buckets
-FROM f""")
+FROM f"""
+
+
+@query("SK4", _skew_sql(12, HASH_SQL + ",\n", "((h % 12) + 12) % 12", "lineitem JOIN hashed ON k = l_orderkey"))
 def sk4(spark, sf_dir):
+    out = SK.key_skew(table(spark, sf_dir, "lineitem"), ["l_orderkey"], buckets=12)
+    return out.withColumn("total_rows", F.col("total_rows").cast("decimal(38,0)"))
+
+
+@query("SK4_bucket", _skew_sql(16, "", "l_orderkey % 16", "lineitem"))
+def sk4_bucket(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     out = SK.key_skew(li, buckets=16, bucket=F.pmod(F.col("l_orderkey"), F.lit(16)))
     return out.withColumn("total_rows", F.col("total_rows").cast("decimal(38,0)"))
@@ -139,13 +174,33 @@ WITH t AS (
 SELECT field, term, doc_id, count(*) AS tf FROM t {where} GROUP BY 1, 2, 3"""
 
 
+def _index(spark, sf_dir) -> str:
+    path = scratch_path(spark, "index")
+    made = X.create_index(table(spark, sf_dir, "documents"), path, "doc_id", "text", X_FIELDS, X_TYPES)
+    assert made.ok, made.notice
+    return path
+
+
 @query("X1", X_SQL.format(where=""))
 def x1(spark, sf_dir):
-    return X.postings(table(spark, sf_dir, "documents"), "doc_id", X_FIELDS, X_TYPES)
+    return X.read_index(spark, _index(spark, sf_dir))
 
 
 @query("X2", X_SQL.format(where="WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"))
 def x2(spark, sf_dir):
-    post = X.postings(table(spark, sf_dir, "documents"), "doc_id", X_FIELDS, X_TYPES)
-    deleted = table(spark, sf_dir, "labels").filter(F.col("toxic") == 1).select("doc_id")
-    return X.expunge(post, deleted)
+    path = _index(spark, sf_dir)
+    X.expunge_index(spark, path, table(spark, sf_dir, "labels").filter(F.col("toxic") == 1).select("doc_id"))
+    return X.read_index(spark, path)
+
+
+@query("X2_merge", X_SQL.format(where="WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 OR quality = 0 AND doc_id % 2 = 0)"))
+def x2_merge(spark, sf_dir):
+    """Two segments, two expunges, one merge."""
+    path, labels = scratch_path(spark, "index"), table(spark, sf_dir, "labels")
+    docs = table(spark, sf_dir, "documents")
+    X.create_index(docs.where("doc_id % 3 <> 0"), path, "doc_id", "text", X_FIELDS, X_TYPES)
+    X.expunge_index(spark, path, labels.where("toxic = 1 AND doc_id % 3 <> 0"))
+    X.add_documents(docs.where("doc_id % 3 = 0"), path, "doc_id")
+    X.expunge_index(spark, path, labels.where("toxic = 1 OR quality = 0 AND doc_id % 2 = 0"))
+    X.merge_index(spark, path)
+    return X.read_index(spark, path)
