@@ -3,7 +3,7 @@
 ``refresh_hierarchy`` (H1/H2) builds a root-first path array per row by **pointer doubling**:
 the parent map is a function (one parent per id), so each round joins the open nodes with the
 node table on ``next = id`` and doubles the covered chain. ceil(log2(levels)) shuffle joins cover
-the 100-level limit instead of one join per level. Each round is cut with a reliable checkpoint.
+the 100-level limit instead of one join per level. A round writes the nodes that are still open, and those it has closed once.
 
 ``custom_hierarchy`` (H9/H10) and ``subtree`` (H11) expand level by level, since their
 predicate can be any join condition; the visited set is an anti join against the written output.
@@ -11,10 +11,13 @@ predicate can be any join condition; the visited set is an anti join against the
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from canopy.session import cut_lineage, scratch_path
+from canopy import store
+from canopy.session import scratch_path
 
 HIER_DEPTH_LIMIT = 100        # levels of H1 / H9 (a path may hold limit + 1 elements)
 SUBTREE_ARRAY_LIMIT = 100000  # H11 array form
@@ -31,17 +34,68 @@ def _hier_names(hierarchy_number: int | None) -> tuple[str, str]:
 
 
 def _first_repeat_cut(seg: Column) -> Column:
-    """Cut a bottom-up walk before its first repeated element."""
-    idx = F.sequence(F.lit(1), F.size(seg))
-    repeats = F.filter(idx, lambda i: F.array_position(seg, F.element_at(seg, i)) < i)
-    first = F.array_min(repeats)
-    return F.when(first.isNull(), seg).otherwise(F.slice(seg, 1, first - 1))
+    """Cut a bottom-up walk before its first repeated element: the distinct elements keep their order, and they are the walk
+    up to the first place where the two differ."""
+    distinct = F.array_distinct(seg)
+    differ = F.array_position(F.zip_with(seg, distinct, lambda a, b: a.eqNullSafe(b)), False)
+    return F.when(differ == 0, seg).otherwise(F.slice(seg, 1, (differ - 1).cast("int")))
 
 
 def _has_repeat(seg: Column) -> Column:
     return F.size(F.array_distinct(seg)) < F.size(seg)
 
 
+class _Chains:
+    """The state of pointer doubling in the shared folder. A round writes the nodes that it has moved on: those whose chain is
+    complete go to ``open=false`` and are never written again, the others are the next round's frontier."""
+
+    def __init__(self, spark, max_len: int):
+        self.spark, self.max_len, self.folder, self.rounds = spark, max_len, scratch_path(spark, "chains"), 0
+        self.open = self.cyclic = 0
+
+    def put(self, df: DataFrame) -> None:
+        """Writes ``(x, seg, nxt)`` rows; the counts come from the write."""
+        repeat = _has_repeat(F.col("seg"))
+        self.schema = df.schema
+        df = df.withColumn("open", F.col("nxt").isNotNull() & ~repeat & (F.size("seg") <= self.max_len))
+        seen = Observation()
+        counted = df.observe(seen, F.count_if("open").alias("open"), F.count_if(repeat).alias("cyclic"))
+        counted.write.partitionBy("open").parquet(f"{self.folder}/{self.rounds}")
+        self.rounds += 1
+        self.open, self.cyclic = seen.get["open"], self.cyclic + seen.get["cyclic"]
+
+    def _read(self, rounds, is_open: bool) -> DataFrame:
+        found = [p for k in rounds if store.exists(self.spark, p := f"{self.folder}/{k}/open={str(is_open).lower()}")]
+        if not found:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*found)
+
+    def frontier(self) -> DataFrame:
+        return self._read([self.rounds - 1], True)
+
+    def closed(self) -> DataFrame:
+        return self._read(range(self.rounds), False)
+
+
+def _step(frontier: DataFrame, nodes: DataFrame, n_open: int) -> DataFrame:
+    """Each chain of the frontier goes on with the chain of the node it points at.
+
+    Nodes that many chains point at (one chain in ``4 * partitions``, so at most that many nodes) are answered from a
+    broadcast table: a hot ancestor is no key of the shuffle."""
+    spark = frontier.sparkSession
+    right = nodes.select(F.col("x").alias("rx"), F.col("seg").alias("rseg"), F.col("nxt").alias("rnxt"))
+    share = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hot = [r[0] for r in frontier.groupBy("nxt").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(64, n_open // share)).collect()]
+    joined = frontier.where(~F.col("nxt").isin(hot)).join(right, F.col("nxt") == F.col("rx"), "left") if hot else frontier.join(
+        right, F.col("nxt") == F.col("rx"), "left")
+    if hot:
+        few = right.where(F.col("rx").isin(hot))
+        joined = joined.unionByName(frontier.where(F.col("nxt").isin(hot)).join(F.broadcast(few), F.col("nxt") == F.col("rx"), "left"))
+    end = F.col("rx").isNull()
+    return joined.select("x", F.when(end, F.concat("seg", F.array("nxt"))).otherwise(F.concat("seg", "rseg")).alias("seg"),
+                         F.when(~end, F.col("rnxt")).alias("nxt"))
+
+
 def node_paths(edges: DataFrame, max_levels: int = HIER_DEPTH_LIMIT, no_cycle: int = 0) -> DataFrame:
     """Paths for every node of a parent function.
 
@@ -50,27 +104,13 @@ def node_paths(edges: DataFrame, max_levels: int = HIER_DEPTH_LIMIT, no_cycle: i
     ends the chain as its root.
     """
     max_len = max_levels + 1
-    state = edges.select(F.col("x"), F.array(F.col("x")).alias("seg"), F.col("p").alias("nxt"))
-    is_open = F.col("nxt").isNotNull() & ~_has_repeat(F.col("seg")) & (F.size("seg") <= max_len)
-    state = cut_lineage(state)
-    while True:
-        stats = state.agg(
-            F.count_if(is_open).alias("open"),
-            F.count_if(_has_repeat(F.col("seg"))).alias("cyc"),
-        ).first()
-        if no_cycle == 0 and stats["cyc"] > 0:
+    chains = _Chains(edges.sparkSession, max_len)
+    chains.put(edges.select(F.col("x"), F.array(F.col("x")).alias("seg"), F.col("p").alias("nxt")))
+    while chains.open:
+        chains.put(_step(chains.frontier(), chains.closed().unionByName(chains.frontier()), chains.open))
+        if no_cycle == 0 and chains.cyclic:
             raise HierarchyError("Cycle found in the table")
-        if stats["open"] == 0:
-            break
-        left = state.filter(is_open)
-        right = state.select(F.col("x").alias("rx"), F.col("seg").alias("rseg"), F.col("nxt").alias("rnxt"))
-        stepped = left.join(right, left["nxt"] == right["rx"], "left").select(
-            "x",
-            F.when(F.col("rx").isNull(), F.concat("seg", F.array("nxt")))
-             .otherwise(F.concat("seg", "rseg")).alias("seg"),
-            F.when(F.col("rx").isNull(), F.lit(None)).otherwise(F.col("rnxt")).alias("nxt"),
-        )
-        state = cut_lineage(state.filter(~is_open).unionByName(stepped))
+    state = chains.closed()
     walk = _first_repeat_cut(F.col("seg")) if no_cycle > 0 else F.col("seg")
     done = state.select("x", "nxt", walk.alias("walk"), _has_repeat(F.col("seg")).alias("cyc"))
     too_deep = done.filter((F.size("walk") > max_len) | (F.col("nxt").isNotNull() & ~F.col("cyc"))).limit(1).count()
@@ -156,6 +196,60 @@ class _Levels:
         return self.spark.read.schema(self.schema).parquet(*self.paths)
 
 
+class _DealtBase:
+    """The base of an expansion, dealt once by the child's side of the predicate's equalities: written as a bucketed table, so that
+    no level shuffles it. A large frontier is shuffled to the buckets, a small one is broadcast and the base is streamed.
+
+    Children of a hot parent (one child in ``4 * buckets``, so at most that many parents) would fill a bucket: they lie in a plain
+    table of their own, which the few frontier rows with such keys meet."""
+
+    def __init__(self, df: DataFrame, keys: list[str]):
+        self.spark, self.keys, self.names = df.sparkSession, keys, []
+        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        folder = scratch_path(self.spark, "base")
+        per = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
+        total = df.agg(F.count(F.lit(1))).scalar()
+        found = per.where((F.col("__n") > 1_000) & (F.col("__n") * (4 * self.buckets) > total)).drop("__n").collect()
+        self.hot_keys = [tuple(r) for r in found if None not in tuple(r)]
+        self.hot = None
+        if self.hot_keys:
+            df.where(self.is_hot(keys)).write.parquet(f"{folder}/hot")
+            self.hot = self.spark.read.schema(df.schema).parquet(f"{folder}/hot")
+            df = df.where(~F.coalesce(self.is_hot(keys), F.lit(False)))
+        name = f"canopy_base_{folder.rsplit('-', 1)[1]}"
+        df.write.bucketBy(self.buckets, *keys).sortBy(*keys).option("path", f"{folder}/cold").saveAsTable(name)
+        self.names.append(name)
+        self.cold = self.spark.table(name)
+
+    def is_hot(self, columns: list[str]) -> Column:
+        cond = F.lit(False)
+        for key in self.hot_keys:
+            one = F.lit(True)
+            for c, v in zip(columns, key):
+                one = one & (F.col(f"`{c}`") == F.lit(v))
+            cond = cond | one
+        return cond
+
+    def forget(self) -> None:
+        """Takes the bucketed table out of the catalog; its files stay in the scratch folder."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+_EQUALITY = re.compile(r"<(parent|child)>\.`?(\w+)`?\s*=\s*<(parent|child)>\.`?(\w+)`?", re.IGNORECASE)
+
+
+def equal_columns(connect_by: str) -> tuple[list[str], list[str]]:
+    """Columns of parent and child that the predicate sets equal. They only decide how the base is dealt."""
+    parents, children = [], []
+    for a, x, b, y in _EQUALITY.findall(connect_by):
+        if a.lower() != b.lower():
+            x, y = (x, y) if a.lower() == "parent" else (y, x)
+            parents.append(x)
+            children.append(y)
+    return parents, children
+
+
 def _fresh(df: DataFrame, name: str) -> DataFrame:
     """Re-alias every column so both sides of a self join get their own attribute ids."""
     return df.select(*[F.col(f"`{c}`").alias(c) for c in df.columns]).alias(name)
@@ -225,12 +319,20 @@ def custom_hierarchy(df: DataFrame, primary_key: list[str], connect_by: str,
     extra = ["__level"] + [f"__cbp_{f}" for f, _ in paths] + [f"__cbr_{r}" for r in roots]
 
     levels = _Levels(level1)
-    level = 2
-    while True:
-        step = _fresh(levels.last(), "h").join(_fresh(df, "t"), _pred(connect_by), "inner").select(
+    parent_cols, child_cols = equal_columns(connect_by)
+    base = _DealtBase(df, child_cols) if child_cols and set(child_cols) <= set(df.columns) else None
+
+    def expand(frontier: DataFrame, children: DataFrame, level: int) -> DataFrame:
+        return _fresh(frontier, "h").join(_fresh(children, "t"), _pred(connect_by), "inner").select(
             "t.*", F.lit(level).alias("__level"),
             *[F.concat(F.col(f"h.__cbp_{f}"), F.lit(d), as_text(f)).alias(f"__cbp_{f}") for f, d in paths],
             *[F.col(f"h.__cbr_{r}").alias(f"__cbr_{r}") for r in roots])
+
+    level = 2
+    while True:
+        step = expand(levels.last(), base.cold if base else df, level)
+        if base and base.hot is not None:
+            step = step.unionByName(expand(levels.last().where(base.is_hot(parent_cols)), base.hot, level))
         if level == 2 and not allow_pairs:
             _check_equi(step, connect_by)
         # left_anti needs no distinct on the visited keys
@@ -240,6 +342,8 @@ def custom_hierarchy(df: DataFrame, primary_key: list[str], connect_by: str,
         if level > max_levels:
             raise HierarchyError(f"hierarchy depth increased {max_levels} levels. Check it manually")
         level += 1
+    if base:
+        base.forget()
     out = levels.all()
 
     if not leaf:
@@ -257,12 +361,15 @@ def subtree_nodes(df: DataFrame, id_col: str, parent_col: str, value) -> DataFra
     spark = df.sparkSession
     edges = df.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent")) \
         .filter(F.col("id").isNotNull() & F.col("parent").isNotNull())
+    base = _DealtBase(edges, ["parent"])
     levels = _Levels(spark.range(1).select(F.lit(value).cast(df.schema[id_col].dataType).alias("id")))
     while True:
-        nxt = (edges.join(levels.last().withColumnRenamed("id", "parent"), "parent", "left_semi")
-               .select("id").distinct()
-               .join(levels.all(), "id", "left_anti"))
-        if not levels.add(nxt):
+        last = levels.last().withColumnRenamed("id", "parent")
+        below = base.cold.join(last, "parent", "left_semi")
+        if base.hot is not None:
+            below = below.unionByName(base.hot.join(last.where(base.is_hot(["parent"])), "parent", "left_semi"))
+        if not levels.add(below.select("id").distinct().join(levels.all(), "id", "left_anti")):
+            base.forget()
             return levels.all()
 
 

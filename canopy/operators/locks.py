@@ -44,40 +44,54 @@ def locks_all(locks: DataFrame, activity: DataFrame, relations: DataFrame, schem
         .orderBy("mppsessionid", "pid", "nspname", "relname")
 
 
+#: Waiting sessions of one relation that a task pairs, at least; and relations with more than that, at most.
+BLOCK, MOST_HOT = 1_000, 10_000
+
+
+def _dealt(waiting: DataFrame) -> DataFrame:
+    """``(relation, blocks)`` of the relations whose waiting sessions are dealt into blocks; at most ``MOST_HOT`` rows, as a
+    block has at least one waiting row in ``MOST_HOT``."""
+    size = F.greatest(F.lit(BLOCK), F.ceil(waiting.agg(F.count(F.lit(1))).scalar() / MOST_HOT))
+    per = waiting.groupBy(F.col("relation").alias("hot")).agg(F.count(F.lit(1)).alias("n"))
+    return per.where(F.col("n") > size).select("hot", F.ceil(F.col("n") / size).cast("int").alias("blocks"))
+
+
 def locks_blockers(locks: DataFrame, activity: DataFrame, relations: DataFrame, schemas: DataFrame,
                    as_of: str) -> DataFrame:
     """Q2. Granted locks against waiting ones on the same relation by another session.
 
-    Both sides are first reduced to one row per (relation, session) (min mode of the granted locks,
-    max mode of the waiting ones), so the pairing join only multiplies sessions, not lock rows."""
-    held = (locks.filter(F.col("granted")).groupBy("relation", "mppsessionid")
-            .agg(F.min("mode").alias("blocker_mode")))
-    waiting = (locks.filter(~F.col("granted")).groupBy("relation", "mppsessionid")
-               .agg(F.max("mode").alias("waiting_mode"))
-               .select(F.col("relation").alias("w_relation"), F.col("mppsessionid").alias("w_session"), "waiting_mode"))
-    pairs = held.join(waiting, (F.col("relation") == F.col("w_relation"))
-                      & (F.col("mppsessionid") != F.col("w_session")))
-    a = activity.select(F.col("sess_id").alias("b_sess"), F.col("query_start").alias("b_start"),
-                        F.col("current_query").alias("b_query"))
-    a2 = activity.select(F.col("sess_id").alias("w_sess"), F.col("query_start").alias("w_start"),
-                         F.col("current_query").alias("w_query"))
-    c = relations.select(F.col("oid").alias("c_oid"), "relname", "relnamespace")
+    All sides are first reduced: locks to one row per (relation, session) (min mode of the granted locks,
+    max mode of the waiting ones), activity to one per session, names to one per relation. The waiting sessions of a hot
+    relation are dealt into blocks, and its holders and its name are copied to each: every join on a relation goes by
+    (relation, block), so a relation with a third of all locks is paired by many tasks."""
+    work = activity.where(F.col("sess_id").isNotNull()).groupBy("sess_id").agg(
+        F.min("query_start").alias("start"), F.min(query_short(F.col("current_query"))).alias("short"), F.min("current_query").alias("query"))
     n = schemas.select(F.col("oid").alias("n_oid"), "nspname")
-    j = (pairs.join(a, F.col("mppsessionid") == F.col("b_sess"))
-         .join(a2, F.col("w_session") == F.col("w_sess"))
-         .join(c, F.col("relation") == F.col("c_oid"))
-         .join(n, F.col("relnamespace") == F.col("n_oid")))
-    g = j.groupBy("relation", "mppsessionid", "w_session").agg(
-        F.min("nspname").alias("table_schema"), F.min("relname").alias("table_name"),
-        F.min("blocker_mode").alias("lock_type_blocker"), F.min("waiting_mode").alias("lock_type_waiting"),
-        F.min("b_start").alias("lock_start_dttm"), F.min("w_start").alias("__w_start"),
-        F.min(query_short(F.col("b_query"))).alias("blocker_query_short"),
-        F.min(query_short(F.col("w_query"))).alias("waiting_query_short"),
-        F.min("b_query").alias("blocker_query"), F.min("w_query").alias("waiting_query"))
-    return g.select("table_schema", "table_name", "lock_type_blocker", "lock_type_waiting", "lock_start_dttm",
-                    _seconds_since(as_of, F.col("__w_start")).alias("lock_duration_sec"),
-                    "blocker_query_short", "waiting_query_short", "blocker_query", "waiting_query", "relation",
-                    F.col("mppsessionid").alias("session_id_blocker"), F.col("w_session").alias("session_id_waiting"))
+    named = (relations.join(n, F.col("relnamespace") == F.col("n_oid")).groupBy("oid")
+             .agg(F.min("nspname").alias("table_schema"), F.min("relname").alias("table_name")))
+
+    def side(rows: DataFrame, mode: Column, prefix: str) -> DataFrame:
+        per = rows.groupBy("relation", "mppsessionid").agg(mode.alias(f"{prefix}_mode"))
+        return per.join(work.select("sess_id", *[F.col(c).alias(f"{prefix}_{c}") for c in ("start", "short", "query")]),
+                        F.col("mppsessionid") == F.col("sess_id")).drop("sess_id").withColumnRenamed("mppsessionid", f"{prefix}_session")
+
+    held = side(locks.filter(F.col("granted")), F.min("mode"), "b")
+    waiting = side(locks.filter(~F.col("granted")), F.max("mode"), "w")
+    hot = F.broadcast(_dealt(waiting))  # bounded, see there
+
+    def in_blocks(df: DataFrame, key: str, block: Column) -> DataFrame:
+        return df.join(hot, F.col(key) == F.col("hot"), "left").withColumn("block", block).drop("hot", "blocks")
+
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
+    one = F.coalesce(F.pmod(F.hash("w_session"), F.col("blocks")), F.lit(0))
+    pairs = (in_blocks(waiting, "relation", one)
+             .join(in_blocks(held, "relation", every), ["relation", "block"]).where(F.col("b_session") != F.col("w_session"))
+             .join(in_blocks(named, "oid", every).withColumnRenamed("oid", "relation"), ["relation", "block"]))
+    return pairs.select("table_schema", "table_name", F.col("b_mode").alias("lock_type_blocker"), F.col("w_mode").alias("lock_type_waiting"),
+                        F.col("b_start").alias("lock_start_dttm"), _seconds_since(as_of, F.col("w_start")).alias("lock_duration_sec"),
+                        F.col("b_short").alias("blocker_query_short"), F.col("w_short").alias("waiting_query_short"),
+                        F.col("b_query").alias("blocker_query"), F.col("w_query").alias("waiting_query"), "relation",
+                        F.col("b_session").alias("session_id_blocker"), F.col("w_session").alias("session_id_waiting"))
 
 
 def locks_blocked(locks: DataFrame, activity: DataFrame, relations: DataFrame, schemas: DataFrame,

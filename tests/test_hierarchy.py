@@ -179,3 +179,39 @@ def test_hot_parent_star(spark):
     df = spark.createDataFrame(rows, "id long, parent long")
     got = {r["id"]: r["__hier"] for r in H.refresh_hierarchy(df, "id", "parent").collect()}
     assert got == dict(zip([i for i, _ in rows], _level_loop(rows, 0)))
+
+
+def test_hot_parent_without_adaptive_execution(spark):
+    """A third of all nodes under one parent: answered from the broadcast table, and children of a hot parent lie apart."""
+    n = 6000
+    rows = [(i, 1 if i <= n // 3 else i // 2) for i in range(2, n + 1)] + [(1, 0)]
+    df = spark.createDataFrame(rows, "id long, parent long").repartition(4)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {r["id"]: r["__hier"] for r in H.refresh_hierarchy(df, "id", "parent").collect()}
+        assert got == dict(zip([i for i, _ in rows], _level_loop(rows, 0)))
+        base = H._DealtBase(df, ["parent"])
+        assert base.hot_keys == [(1,)] and base.hot.count() == n // 3 - 1 and base.cold.count() == n - base.hot.count()
+        base.forget()
+        out = H.custom_hierarchy(df, ["id"], "<parent>.id = <child>.parent", start_condition="id = 1", connect_by_path=[("id", "/")])
+        assert {r["id"]: r["__cbp_id"] for r in out.collect()} == {k: "/".join(map(str, v)) for k, v in got.items()}
+        assert H.subtree_nodes(df, "id", "parent", 1).count() == n
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_a_round_writes_open_chains_only(spark):
+    df = spark.range(1, 2000).selectExpr("id AS x", "id div 2 AS p").where("p > 0")
+    chains = H._Chains(spark, 101)
+    chains.put(df.selectExpr("x", "array(x) AS seg", "p AS nxt"))
+    written = [chains.open]
+    while chains.open:
+        before = chains.closed().count()
+        chains.put(H._step(chains.frontier(), chains.closed().unionByName(chains.frontier()), chains.open))
+        written.append(chains.closed().count() - before + chains.open)
+    assert written == sorted(written, reverse=True) and written[-1] < written[0] and chains.closed().count() == df.count()
+
+
+def test_walks_are_cut_before_the_first_repeat(spark):
+    df = spark.createDataFrame([([1, 2, 3],), ([1, 2, 1, 3],), ([5, 5],), ([4],), ([1, 2, 3, 2, 1],)], "seg array<int>")
+    assert [r[0] for r in df.select(H._first_repeat_cut(F.col("seg"))).collect()] == [[1, 2, 3], [1, 2], [5], [4], [1, 2, 3]]
