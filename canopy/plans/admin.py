@@ -11,12 +11,18 @@ from pyspark.sql import functions as F
 
 from canopy.operators import profile as C
 from canopy.plans.registry import query
+from canopy.session import scratch_path
 from canopy.sources.tables import DRIVER_TABLES, table
 
 TABLES_SCHEMA = "nspname string, relname string, relkind string, relstorage string"
 CHECK = ["public.lineitem", "public.orders_part"]
-KEYS = {"lineitem": ["l_orderkey", "l_linenumber"], "orders": ["o_custkey"],
-        "customer": ["c_nationkey", "c_mktsegment"], "nation": []}
+#: The distribution key of each driver table; ``region`` has none.
+KEYS = {"region": [], "nation": ["n_regionkey"], "customer": ["c_nationkey", "c_mktsegment"], "supplier": ["s_nationkey"],
+        "part": ["p_brand", "p_size"], "orders": ["o_custkey"], "lineitem": ["l_orderkey", "l_linenumber"],
+        "events": ["user_id", "event_type"], "documents": ["lang", "source"], "embeddings": ["label"], "pages": ["url"],
+        "benchmark": ["item_id"], "labels": ["quality", "toxic"], "conversations": ["conv_id", "role"]}
+#: C4: tables that the interrupted run had not reached.
+UNREACHED = {"events", "pages", "part"}
 
 
 def catalog(spark, sf_dir):
@@ -80,16 +86,9 @@ def c1(spark, sf_dir):
     return C.row_counts({t: table(spark, sf_dir, t) for t in DRIVER_TABLES})
 
 
-SNAP_SQL = """
-SELECT 'lineitem' AS tablename, CAST(1 AS SMALLINT) AS ischeckdistkey, (SELECT count(*) FROM lineitem) AS rowcount,
-       (SELECT count(*) FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2)) AS distkeycount
-UNION ALL
-SELECT 'orders', 1, (SELECT count(*) FROM orders), (SELECT count(*) FROM (SELECT o_custkey FROM orders GROUP BY 1))
-UNION ALL
-SELECT 'customer', 1, (SELECT count(*) FROM customer),
-       (SELECT count(*) FROM (SELECT c_nationkey, c_mktsegment FROM customer GROUP BY 1, 2))
-UNION ALL
-SELECT 'nation', 1, (SELECT count(*) FROM nation), NULL"""
+SNAP_SQL = " UNION ALL ".join(f"""
+SELECT '{t}' AS tablename, CAST(1 AS SMALLINT) AS ischeckdistkey, (SELECT count(*) FROM {t}) AS rowcount,
+       {f"(SELECT count(*) FROM (SELECT {', '.join(k)} FROM {t} GROUP BY ALL))" if k else "NULL::BIGINT"} AS distkeycount""" for t, k in KEYS.items())
 
 
 @query("C2", SNAP_SQL)
@@ -105,17 +104,17 @@ def c3(spark, sf_dir):
 
 @query("C4", META_CTE + """,
 done AS (SELECT 'public.' || tablename AS tablename, rowcount, distkeycount FROM (""" + SNAP_SQL + """) s
-         WHERE tablename IN ('lineitem', 'nation'))
+         WHERE tablename NOT IN (""" + ", ".join(f"'{t}'" for t in sorted(UNREACHED)) + """))
 SELECT w.tablename, CASE WHEN d.tablename IS NOT NULL THEN 1 ELSE 0 END AS isprocessed, w.ischeckdistkey,
        d.rowcount, d.distkeycount
 FROM work w LEFT JOIN done d ON w.tablename = d.tablename""")
 def c4(spark, sf_dir):
     tables, parts = catalog(spark, sf_dir)
     work = C.work_list(tables, parts, CHECK)
-    done_names = ["lineitem", "nation"]
-    snap = C.snapshot({t: table(spark, sf_dir, t) for t in done_names}, KEYS, set(done_names))
-    processed = snap.withColumn("tablename", F.concat(F.lit("public."), "tablename"))
-    return C.progress(work, processed)
+    path = scratch_path(spark, "progress")
+    done = {t: table(spark, sf_dir, t) for t in KEYS if t not in UNREACHED}
+    snap = C.profile_tables(spark, done, KEYS, path, batch=4)
+    return C.progress(work, snap.withColumn("tablename", F.concat(F.lit("public."), "tablename")))
 
 
 C5_SNAP = """
@@ -149,6 +148,14 @@ C6_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
 C6_NUMERIC = C6_COLS[:8]
 
 
+def _bounds_sql(c: str) -> str:
+    """All eleven bounds: bound k is the value at place ceil(k n / 10), the first at least."""
+    if c not in C6_NUMERIC:
+        return "CAST(NULL AS VARCHAR)"
+    return f"""(SELECT array_to_string(list_transform(range(0, 11), lambda k: CAST(CAST(v[greatest(1, (k * len(v) + 9) // 10)] AS DECIMAL(18, 4)) AS VARCHAR)), ',')
+        FROM (SELECT list({c} ORDER BY {c}) FILTER ({c} IS NOT NULL) AS v FROM lineitem))"""
+
+
 @query("C6", " UNION ALL ".join(f"""
 SELECT '{c}' AS column_name,
        CAST(count(*) FILTER (WHERE {c} IS NULL) AS DOUBLE) / count(*) AS null_frac,
@@ -160,18 +167,35 @@ SELECT '{c}' AS column_name,
        round((SELECT sum(n) FROM (
            SELECT count(*) AS n, CAST({c} AS VARCHAR) AS v FROM lineitem WHERE {c} IS NOT NULL
            GROUP BY v ORDER BY n DESC, v LIMIT 3)) / CAST(count(*) AS DOUBLE), 9) AS top3_freq,
-       {f"CAST(min({c}) AS DOUBLE)" if c in C6_NUMERIC else "CAST(NULL AS DOUBLE)"} AS hist_low,
-       {f"CAST(max({c}) AS DOUBLE)" if c in C6_NUMERIC else "CAST(NULL AS DOUBLE)"} AS hist_high
+       {_bounds_sql(c)} AS hist
 FROM lineitem""" for c in C6_COLS))
 def c6(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     st = C.column_stats(li, C6_COLS, mcv=3, exact=True)
     freq = F.aggregate("most_common_freqs", F.lit(0.0), lambda a, b: a + b)
+    bounds = F.array_join(F.transform("histogram_bounds", lambda b: b.cast("decimal(18,4)").cast("string")), ",")
     return st.select("column_name", F.col("null_frac").cast("double").alias("null_frac"),
                      F.col("avg_width").cast("decimal(12,4)").alias("avg_width"), "n_distinct",
-                     F.array_join("most_common_vals", ",").alias("top3"), F.round(freq, 9).alias("top3_freq"),
-                     F.get("histogram_bounds", F.lit(0)).alias("hist_low"),
-                     F.element_at("histogram_bounds", -1).alias("hist_high"))
+                     F.array_join("most_common_vals", ",").alias("top3"), F.round(freq, 9).alias("top3_freq"), bounds.alias("hist"))
+
+
+@query("C6_merged", " UNION ALL ".join(f"""
+SELECT '{c}' AS column_name, count(*) AS n, CAST(count(*) FILTER (WHERE {c} IS NULL) AS DOUBLE) / count(*) AS null_frac,
+       CAST(avg(octet_length(CAST(CAST({c} AS VARCHAR) AS BLOB))) AS DECIMAL(12, 4)) AS avg_width, count(DISTINCT {c}) AS n_distinct,
+       true AS distinct_within_5_percent, {'true' if c in C6_NUMERIC else 'CAST(NULL AS BOOLEAN)'} AS bounds_within_2_percent FROM lineitem""" for c in C6_COLS))
+def c6_merged(spark, sf_dir):
+    """Sketches of eight parts of the table, kept and merged, against exact figures."""
+    li, path = table(spark, sf_dir, "lineitem"), scratch_path(spark, "sketches")
+    C.column_sketches(li.withColumn("part", F.col("l_orderkey") % 8), C6_COLS, ["part"]).write.parquet(path)
+    merged = C.merged_stats(spark.read.parquet(path))
+    exact = C.column_stats(li, C6_COLS, mcv=1, buckets=200, exact=True).select("column_name", F.col("n_distinct").alias("d"), F.col("histogram_bounds").alias("fine"))
+    both = merged.join(exact, "column_name")
+    # Bound k of ten lies between the exact bounds 2 % below and above it in rank.
+    inside = F.forall(F.sequence(F.lit(0), F.lit(10)), lambda k: F.get("histogram_bounds", k).between(
+        F.get("fine", F.greatest(20 * k - 4, F.lit(0))), F.get("fine", F.least(20 * k + 4, F.lit(200)))))
+    return both.select("column_name", "n", F.col("null_frac").cast("double").alias("null_frac"), F.col("avg_width").cast("decimal(12,4)").alias("avg_width"),
+                       F.col("d").alias("n_distinct"), (F.abs(F.col("n_distinct") - F.col("d")) <= 0.05 * F.col("d")).alias("distinct_within_5_percent"),
+                       F.when(F.col("fine").isNotNull(), inside).alias("bounds_within_2_percent"))
 
 
 @query("C7", """

@@ -87,3 +87,31 @@ def test_orphan_schemas(spark):
     got = sorted(r[0] for r in C.orphan_schema_drops(schemas, sessions).collect())
     # LIKE 'pg_temp%': the '_' is a wildcard, so pgXtemp_9 matches as in the reference
     assert got == ["drop schema if exists pgXtemp_9 cascade;", "drop schema if exists pg_temp_2 cascade;"]
+
+
+def test_sketches_of_parts_merge(spark, tmp_dir):
+    """Statistics of any union of parts from kept states: exact counts, bounded errors for the rest."""
+    df = spark.range(20_000).select((F.col("id") % 5).alias("part"), F.when(F.col("id") % 10 > 0, F.col("id") * 7 % 4001).alias("n"),
+                                    F.concat(F.lit("v"), F.col("id") % 300).alias("s"), F.lit(None).cast("int").alias("nothing"))
+    C.column_sketches(df, ["n", "s", "nothing"], ["part"]).write.parquet(tmp_dir + "/sketches")
+    kept = spark.read.parquet(tmp_dir + "/sketches")
+    assert kept.count() == 15
+    for parts in ([0, 1, 2, 3, 4], [1], [2, 4]):
+        got = {r["column_name"]: r for r in C.merged_stats(kept.where(F.col("part").isin(parts)), mcv=3).collect()}
+        want = {r["column_name"]: r for r in C.column_stats(df.where(F.col("part").isin(parts)).drop("part"), mcv=3, buckets=100, exact=True).collect()}
+        for c in ("n", "s"):
+            assert got[c]["null_frac"] == want[c]["null_frac"] and abs(got[c]["avg_width"] - want[c]["avg_width"]) < 1e-9
+            assert abs(got[c]["n_distinct"] - want[c]["n_distinct"]) <= 0.05 * want[c]["n_distinct"]
+        fine = want["n"]["histogram_bounds"]
+        assert all(fine[max(0, 10 * k - 2)] <= b <= fine[min(100, 10 * k + 2)] for k, b in enumerate(got["n"]["histogram_bounds"]))
+        assert got["nothing"]["histogram_bounds"] is None and got["nothing"]["null_frac"] == 1 and got["s"]["histogram_bounds"] is None
+    assert C.merged_stats(kept.limit(0)).count() == 0
+    assert {r["n"] for r in C.merged_stats(C.column_sketches(df.limit(0))).collect()} == {0}
+
+
+def test_exact_bounds_are_discrete_quantiles(spark):
+    values = [5, 1, 1, 1, None, 9, 2, 2, 7, 30, 4, 4, 4, 4]
+    df = spark.createDataFrame([(v, str(v)) for v in values], "n int, s string").repartition(5)
+    got = {r["column_name"]: r["histogram_bounds"] for r in C.column_stats(df, buckets=4, exact=True).collect()}
+    own = sorted(v for v in values if v is not None)
+    assert got["n"] == [float(own[max(1, -(-k * len(own) // 4)) - 1]) for k in range(5)] and got["s"] is None
