@@ -39,7 +39,7 @@ def main() -> None:
     from canopy.sources.tables import table
 
     buckets = int(cpus) * 2
-    t1g, t2g = W.tables_from(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
+    t1g, t2g = W.tables_from(table(spark, sf_dir, "lineitem"))
     t1g.write.bucketBy(buckets, "a").sortBy("a").mode("overwrite").saveAsTable("test1")
     t2g.write.bucketBy(buckets, "a").sortBy("a").mode("overwrite").saveAsTable("test2")
     t1, t2 = spark.table("test1"), spark.table("test2")

@@ -17,28 +17,37 @@ PS_FIELDS = ["pid", "rss", "vsz", "mem", "cpu", "username", "database", "session
 
 
 _SEP = "\u0001"
+_TEMPLATE = _SEP + _SEP.join(f"${i}" for i in range(1, len(PS_FIELDS) + 1))
 
 
-def parse_ps_line(line) -> Column:
-    """M1. The 11 text fields of a ``ps`` line (NULL for skipped kinds and unmatched lines).
-    One regex pass rewrites a matching line into its groups; '' (a missing group) becomes NULL."""
-    line = F.col(line) if isinstance(line, str) else line
+def _parsed(line: Column) -> Column:
+    """An array with the 11 text fields (an array, '' where a group is missing) of a line that parses, else an empty array.
+
+    The pattern runs once a line: a matching line is rewritten into its groups behind a mark, and a line that isn't
+    rewritten has no such parts. Skipped kinds are tested by plain search. The rewritten line is bound by a lambda."""
     skipped = None
     for k in SKIPPED_KINDS:
         c = F.instr(line, k) > 0
         skipped = c if skipped is None else skipped | c
-    ok = ~skipped & line.rlike(PS_PATTERN)
-    groups = F.split(F.regexp_replace(line, PS_PATTERN + r"[\s\S]*", _SEP.join(f"${i}" for i in range(1, 12))), _SEP)
-    return F.when(ok, F.transform(groups, lambda g: F.nullif(g, F.lit(""))))
+    text = F.when(~skipped, line)
+    parts = F.split(F.regexp_replace(text, PS_PATTERN + r"[\s\S]*", _TEMPLATE), _SEP)
+    good = F.filter(F.array(parts), lambda p: (F.size(p) == len(PS_FIELDS) + 1) & (F.get(p, F.lit(0)) == ""))
+    return F.transform(good, lambda p: F.slice(p, 2, len(PS_FIELDS)))
+
+
+def parse_ps_line(line) -> Column:
+    """M1. The 11 text fields of a ``ps`` line (NULL for skipped kinds and unmatched lines); a missing group is NULL."""
+    line = F.col(line) if isinstance(line, str) else line
+    return F.get(F.transform(_parsed(line), lambda p: F.transform(p, lambda g: F.nullif(g, F.lit("")))), F.lit(0))
 
 
 def mem_watcher_view(snapshots: DataFrame, read_time, segment_col: str = "segment_id",
                      command_col: str = "command") -> DataFrame:
-    """M2. Typed rows with the read time; unparsed lines dropped (group 9, the segment, is unused)."""
+    """M2. Typed rows with the read time; unparsed lines dropped (group 9, the segment, is unused).
+    The fields of a line come as rows (one or none), so that no filter repeats the parsing."""
     ts = F.lit(read_time).cast("timestamp_ntz") if isinstance(read_time, str) else read_time
-    ps = parse_ps_line(command_col)
-    q = snapshots.select(F.col(segment_col).alias("segment_id"), ps.alias("ps")).filter(F.col("ps").isNotNull())
-    g = lambda i: F.get(F.col("ps"), i - 1)
+    q = snapshots.select(F.col(segment_col).alias("segment_id"), F.explode(_parsed(F.col(command_col))).alias("ps"))
+    g = lambda i: F.nullif(F.get(F.col("ps"), F.lit(i - 1)), F.lit(""))
     return q.select(ts.alias("ts"), F.col("segment_id").cast("int").alias("segment_id"),
                     g(1).cast("int").alias("pid"), g(2).cast("bigint").alias("rss"), g(3).cast("bigint").alias("vsz"),
                     g(4).cast("double").alias("mem"), g(5).cast("double").alias("cpu"),

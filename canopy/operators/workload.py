@@ -1,4 +1,4 @@
-"""Workload queries (W1-W17) and the tables they run on (D7, D8).
+"""Workload queries (W1-W15) and the tables they run on (D7, D8).
 
 test1(a, b, c) = (i, 2i, 'text' || i); test2(a, b, c, d) = (2i, 3i, i * f(i), 'text' || i), i = 1..n.
 The reference draws f from ``random()``; here f(i) = ((i * 7919) mod 1000) / 1000 so runs repeat
@@ -7,7 +7,7 @@ and an oracle can recompute c exactly (decimal(20,3)).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopy.operators.windows import count_distinct_over, max_over, row_number_split
@@ -32,12 +32,18 @@ def test_tables(spark: SparkSession, n: int, partitions: int | None = None) -> t
     return t1, t2
 
 
-def tables_from(orders: DataFrame, lineitem: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The two benchmark tables made of table rows: test1 of each order (key, twice the key, key as text), test2 of each
-    line (twice and three times its number, its price, its number as text); a line's number is 8 * order key + line."""
-    o, i = F.col("o_orderkey").cast("bigint"), F.col("l_orderkey").cast("bigint") * 8 + F.col("l_linenumber")
-    t1 = orders.select(o.alias("a"), (o * 2).alias("b"), F.concat(F.lit("text"), o.cast("string")).alias("c"))
-    t2 = lineitem.select((i * 2).alias("a"), (i * 3).alias("b"), F.col("l_extendedprice").cast("decimal(20,3)").alias("c"),
+#: Columns that put the lines of ``lineitem`` in order (lines that agree in all of them are alike here).
+LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
+def tables_from(lineitem: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two benchmark tables with a row for each line, numbered from 1 in their order: test1(number, twice the number, number
+    as text), test2(twice and three times the number, price, number as text). Joins match as many rows as in tables that
+    ``test_tables`` makes: all on text, half on a, a third on b."""
+    numbered = row_number_split(lineitem.select(*LINE_ORDER), [], list(LINE_ORDER), "id")
+    i = F.col("id").cast("bigint")
+    t1 = numbered.select(i.alias("a"), (i * 2).alias("b"), F.concat(F.lit("text"), i.cast("string")).alias("c"))
+    t2 = numbered.select((i * 2).alias("a"), (i * 3).alias("b"), F.col("l_extendedprice").cast("decimal(20,3)").alias("c"),
                          F.concat(F.lit("text"), i.cast("string")).alias("d"))
     return t1, t2
 
@@ -195,10 +201,10 @@ def w14_network(df: DataFrame, ranked: list[str]) -> DataFrame:
 
 def w15_memory(df: DataFrame, ranked: list[str]) -> DataFrame:
     """W15. Up to six ``row_number()`` windows partitioned by the first column, each ordered by
-    one of the next columns (rn1 .. rn6) and, among equals, by the rest in their rank."""
+    one of the next columns (rn1 .. rn6) and, among equals, by the rest in their rank. Each order is range-partitioned with
+    its key (``row_number_split``), so a hot key is spread over tasks."""
     key, rest = ranked[0], ranked[1:]
     out = df
     for k, c in enumerate(rest[:MAX_WINDOWS], start=1):
-        order = [c] + [other for other in rest if other != c]
-        out = out.withColumn(f"rn{k}", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+        out = row_number_split(out, [key], [F.col(c) for c in [c] + [other for other in rest if other != c]], f"rn{k}")
     return out

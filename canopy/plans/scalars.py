@@ -10,7 +10,7 @@ from canopy.functions import generate as D
 from canopy.functions import jsonmap as J
 from canopy.functions import strings as S
 from canopy.plans.registry import query
-from canopy.sources.files import field_list
+from canopy.sources.files import get_field_list
 from canopy.sources.tables import DRIVER_TABLES, table
 
 
@@ -115,14 +115,15 @@ def j3(spark, sf_dir):
 
 
 @query("G1", """
-SELECT table_name, string_agg(CASE WHEN strpos(column_name, '#') > 0 THEN '`' || column_name || '`'
-                                   ELSE column_name END, ',' ORDER BY ordinal_position) AS field_list
-FROM information_schema.columns
-WHERE table_name IN ({})
-GROUP BY table_name""".format(", ".join(f"'{t}'" for t in DRIVER_TABLES)))
+SELECT c_custkey, c_name AS "c#name", c_nationkey AS "nation#key", c_acctbal, c_mktsegment,
+       'c_custkey,`c#name`,`nation#key`,c_acctbal,c_mktsegment' AS fields
+FROM customer""")
 def g1(spark, sf_dir):
-    rows = [(t, ",".join(field_list(table(spark, sf_dir, t)))) for t in DRIVER_TABLES]
-    return spark.createDataFrame(rows, "table_name string, field_list string")
+    """The field list of a catalog table, used as the field list of a query on it."""
+    c = table(spark, sf_dir, "customer").withColumnsRenamed({"c_name": "c#name", "c_nationkey": "nation#key"})
+    c.createOrReplaceTempView("canopy_customer")
+    fields = ",".join(get_field_list(spark, "CANOPY_CUSTOMER"))
+    return spark.sql(f"SELECT {fields}, '{fields}' AS fields FROM canopy_customer")
 
 
 @query("G2", "SELECT c_custkey, 'c.' || array_to_string([c_mktsegment, c_name], '|c.') AS fields FROM customer")
@@ -131,56 +132,62 @@ def g2(spark, sf_dir):
     return c.select("c_custkey", S.put_to_str(F.array("c_mktsegment", "c_name"), "|", "c.").alias("fields"))
 
 
-def _gen_checks(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey")
-    k = F.col("c_custkey")
-    return c.select(
-        "c_custkey",
-        D.generate_integer(12, k).alias("d1"),
-        D.generate_string(10, k).alias("d2"),
-        D.generate_domain(k).alias("d3"),
-        D.generate_email(8, 5, k).alias("d4"),
-        D.generate_point(55.5, 56.0, 37.3, 37.9, k).alias("d5"),
-        D.generate_text(60, k).alias("d6"))
+def _drawn(seed: int, length: int, below: int) -> str:
+    """SQL for the list of numbers of a generator stream: four digits of the md5 of '<seed>:<key>:<block>' each."""
+    digits = f"substr(md5('{seed}:' || c_custkey || ':' || (i // 8)), (4 * (i % 8) + 1)::INTEGER, 4)"
+    return f"list_transform(range(0, {length}), lambda i: (('0x' || {digits})::BIGINT * {below}) // 65536)"
 
 
-@query("D1", "SELECT c_custkey, true AS ok FROM customer")
+def _symbols(seed: int, length: int, alphabet: str) -> str:
+    return f"array_to_string(list_transform({_drawn(seed, length, len(alphabet))}, lambda v: substr('{alphabet}', (v + 1)::INTEGER, 1)), '')"
+
+
+def _domain(seed: int) -> str:
+    return f"['com', 'ru', 'info', 'co.il'][({_drawn(seed, 1, 4)})[1] + 1]"
+
+
+def _coordinate(block: int, least: int, steps: int) -> str:
+    drawn = f"('0x' || substr(md5('5:' || c_custkey || ':{block}'), 1, 8))::BIGINT"
+    return f"CAST(CAST({least} + (({drawn} * {steps}) >> 32) AS DECIMAL(14, 0)) * CAST(0.00001 AS DECIMAL(6, 5)) AS DECIMAL(20, 5))"
+
+
+BOTH_CASES = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _customers(spark, sf_dir, **columns):
+    return table(spark, sf_dir, "customer").select("c_custkey", *[v.alias(k) for k, v in columns.items()])
+
+
+@query("D1", f"SELECT c_custkey, {_symbols(1, 12, '0123456789')} AS digits FROM customer")
 def d1(spark, sf_dir):
-    g = _gen_checks(spark, sf_dir)
-    return g.select("c_custkey", F.col("d1").rlike("^[0-9]{12}$").alias("ok"))
+    return _customers(spark, sf_dir, digits=D.generate_integer(12, "c_custkey"))
 
 
-@query("D2", "SELECT c_custkey, true AS ok FROM customer")
+@query("D2", f"SELECT c_custkey, {_symbols(2, 10, BOTH_CASES)} AS mixed, {_symbols(21, 9, BOTH_CASES[:26])} AS lower FROM customer")
 def d2(spark, sf_dir):
-    g = _gen_checks(spark, sf_dir)
-    return g.select("c_custkey", F.col("d2").rlike("^[a-zA-Z]{10}$").alias("ok"))
+    return _customers(spark, sf_dir, mixed=D.generate_string(10, "c_custkey"), lower=D.generate_string(9, "c_custkey", use_upper=0, seed=21))
 
 
-@query("D3", "SELECT c_custkey, true AS ok FROM customer")
+@query("D3", f"SELECT c_custkey, {_domain(3)} AS domain FROM customer")
 def d3(spark, sf_dir):
-    g = _gen_checks(spark, sf_dir)
-    return g.select("c_custkey", F.col("d3").isin(*D.DOMAINS).alias("ok"))
+    return _customers(spark, sf_dir, domain=D.generate_domain("c_custkey"))
 
 
-@query("D4", "SELECT c_custkey, true AS ok FROM customer")
+@query("D4", f"SELECT c_custkey, {_symbols(41, 8, BOTH_CASES)} || '@' || {_symbols(42, 5, BOTH_CASES[:26])} || '.' || {_domain(43)} AS email FROM customer")
 def d4(spark, sf_dir):
-    g = _gen_checks(spark, sf_dir)
-    return g.select("c_custkey", F.col("d4").rlike(r"^[a-zA-Z]{8}@[a-z]{5}\.(com|ru|info|co\.il)$").alias("ok"))
+    return _customers(spark, sf_dir, email=D.generate_email(8, 5, "c_custkey"))
 
 
-@query("D5", "SELECT c_custkey, true AS ok FROM customer")
+@query("D5", f"""
+SELECT c_custkey, lat, lon, 'POINT(' || lat || ' ' || lon || ')' AS wkt
+FROM (SELECT c_custkey, {_coordinate(0, 5550000, 50001)} AS lat, {_coordinate(1, 3730000, 60001)} AS lon FROM customer)""")
 def d5(spark, sf_dir):
-    g = _gen_checks(spark, sf_dir)
-    p = F.col("d5")
-    ok = (p.lat.between(55.5, 56.0) & p.lon.between(37.3, 37.9)
-          & p.wkt.rlike(r"^POINT\([0-9]+\.[0-9]{5} [0-9]+\.[0-9]{5}\)$"))
-    return g.select("c_custkey", ok.alias("ok"))
+    return _customers(spark, sf_dir, p=D.generate_point(55.5, 56.0, 37.3, 37.9, "c_custkey")).select("c_custkey", "p.*")
 
 
-@query("D6", "SELECT c_custkey, true AS ok FROM customer")
+@query("D6", f"SELECT c_custkey, {_symbols(6, 60, D.TEXT_SYMBOLS)} AS txt FROM customer")
 def d6(spark, sf_dir):
-    g = _gen_checks(spark, sf_dir)
-    return g.select("c_custkey", F.col("d6").rlike("^[a-z0-9 ]{60}$").alias("ok"))
+    return _customers(spark, sf_dir, txt=D.generate_text(60, "c_custkey"))
 
 
 @query("F", """
@@ -235,13 +242,14 @@ def f_scalars(spark, sf_dir):
         F.struct(F.col("s_nationkey").alias("k")).k.alias("f26_struct_field"))
 
 
-@query("F14", "SELECT CAST(i AS BIGINT) AS tenth, true AS even FROM range(10) r(i)")
+@query("F14", """
+SELECT l_orderkey, l_linenumber, l_partkey,
+       ('0x' || substr(md5('14:' || l_orderkey || '/' || l_linenumber || ':0'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+FROM lineitem""")
 def f14(spark, sf_dir):
-    """A random number for each line: every tenth of [0, 1) holds between 8 and 12 percent of them."""
-    li = table(spark, sf_dir, "lineitem").select(D.uniform(14, F.xxhash64("l_orderkey", "l_linenumber", "l_partkey")).alias("u"))
-    n = li.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return (li.groupBy(F.floor(F.col("u") * 10).cast("bigint").alias("tenth")).agg(F.count(F.lit(1)).alias("c"))
-            .select("tenth", (F.col("c") / n).between(0.08, 0.12).alias("even")))
+    """A random number in [0, 1) for each line."""
+    line = F.concat_ws("/", "l_orderkey", "l_linenumber")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", D.uniform(14, line).alias("u"))
 
 
 @query("F_time", """

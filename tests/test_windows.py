@@ -69,8 +69,10 @@ def test_search_pattern_keeps_lazy_and_escaped_ends(spark):
 
 
 def test_tables_from_rows(spark):
-    o = spark.createDataFrame([(7,)], "o_orderkey bigint")
-    li = spark.createDataFrame([(7, 2, 10.5)], "l_orderkey bigint, l_linenumber int, l_extendedprice double")
-    t1, t2 = W.tables_from(o, li)
-    assert [tuple(r) for r in t1.collect()] == [(7, 14, "text7")]
-    assert [(r.a, r.b, float(r.c), r.d) for r in t2.collect()] == [(116, 174, 10.5, "text58")]
+    li = spark.createDataFrame([(7, 2, 1, 1, 10.5), (7, 1, 1, 1, 3.25), (2, 5, 1, 1, 1.0)],
+                               "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_extendedprice double")
+    t1, t2 = W.tables_from(li)
+    assert sorted(tuple(r) for r in t1.collect()) == [(1, 2, "text1"), (2, 4, "text2"), (3, 6, "text3")]
+    assert sorted((r.a, r.b, float(r.c), r.d) for r in t2.collect()) == [(2, 3, 1.0, "text1"), (4, 6, 3.25, "text2"), (6, 9, 10.5, "text3")]
+    many = W.tables_from(spark.range(999).selectExpr("id AS l_orderkey", "1 AS l_linenumber", "id AS l_partkey", "id AS l_suppkey", "id / 4 AS l_extendedprice"))
+    assert (W.w1_colocated_join(*many).count(), W.w3_two_side_join(*many).count(), W.w5_text_join(*many).count()) == (499, 333, 999)
