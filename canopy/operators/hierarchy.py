@@ -13,14 +13,16 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from canopy import store
-from canopy.session import scratch_path
+from canopy.session import scratch_path, written
 
 HIER_DEPTH_LIMIT = 100        # levels of H1 / H9 (a path may hold limit + 1 elements)
 SUBTREE_ARRAY_LIMIT = 100000  # H11 array form
+HOT_FROM = 100_000            # open chains from which hot ancestors are looked for
+SMALL_STEPS = 4               # levels that one job expands while the base is small enough to be broadcast
 
 
 class HierarchyError(RuntimeError):
@@ -84,8 +86,9 @@ def _step(frontier: DataFrame, nodes: DataFrame, n_open: int) -> DataFrame:
     broadcast table: a hot ancestor is no key of the shuffle."""
     spark = frontier.sparkSession
     right = nodes.select(F.col("x").alias("rx"), F.col("seg").alias("rseg"), F.col("nxt").alias("rnxt"))
-    share = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot = [r[0] for r in frontier.groupBy("nxt").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(64, n_open // share)).collect()]
+    share, hot = 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), []
+    if n_open > HOT_FROM:  # a smaller frontier is no burden for one task
+        hot = [r[0] for r in frontier.groupBy("nxt").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > n_open // share).collect()]
     joined = frontier.where(~F.col("nxt").isin(hot)).join(right, F.col("nxt") == F.col("rx"), "left") if hot else frontier.join(
         right, F.col("nxt") == F.col("rx"), "left")
     if hot:
@@ -236,6 +239,46 @@ class _DealtBase:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
+def _is_small(df: DataFrame) -> bool:
+    """Whether the planner, by bytes, would broadcast the table."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+
+
+def _quoted(text: str) -> str:
+    return "'" + _plain(text.replace("\\", "\\\\").replace("'", "\\'")) + "'"
+
+
+def _plain(text: str) -> str:
+    """Braces name tables in the statement; in other texts they are doubled."""
+    return text.replace("{", "{{").replace("}", "}}")
+
+
+def _expand(frontier: DataFrame, base: DataFrame, visited: DataFrame, primary_key: list[str], connect_by: str, columns: list[str],
+            paths: list[tuple[str, str]], roots: list[str], level: int, steps: int, broadcast: bool) -> DataFrame:
+    """``steps`` levels from ``level`` on, below the rows of ``frontier`` in the level before, in one statement.
+
+    With several steps rows are reached along all walks, and of each row only the visits of its earliest level stay: a walk that
+    goes on from a later visit reaches its rows one step after they were reached from the earlier one, so none of its rows
+    stays either."""
+    predicate = _plain(connect_by).replace("<parent>", "h").replace("<child>", "t")
+    own = [f"t.`{_plain(c)}`" for c in columns] + ["<level> AS __level"]
+    own += [f"concat(h.`__cbp_{f}`, {_quoted(d)}, coalesce(CAST(t.`{f}` AS STRING), '')) AS `__cbp_{f}`" for f, d in paths]
+    own += [f"h.`__cbr_{r}`" for r in roots]
+    same = " AND ".join(f"x.`{k}` = v.`{k}`" for k in primary_key)
+    hint = "/*+ BROADCAST(t) */ " if broadcast else ""
+    parts = [f"s{level - 1} AS (SELECT * FROM {{frontier}} WHERE __level = {level - 1})"]
+    for n in range(level, level + steps):
+        chosen = ", ".join(own).replace("<level>", str(n))
+        joined = f"SELECT {hint}{chosen} FROM s{n - 1} h JOIN {{base}} t ON ({predicate})"
+        parts.append(f"s{n} AS (SELECT x.* FROM ({joined}) x LEFT ANTI JOIN {{visited}} v ON {same})")
+    every = " UNION ALL ".join(f"SELECT * FROM s{n}" for n in range(level, level + steps))
+    if steps > 1:
+        keys = ", ".join(f"`{k}`" for k in primary_key)
+        every = f"SELECT * EXCEPT (__first) FROM (SELECT *, min(__level) OVER (PARTITION BY {keys}) AS __first FROM ({every})) WHERE __level = __first"
+    return frontier.sparkSession.sql(f"WITH {', '.join(parts)} {every}", frontier=frontier, base=base, visited=visited)
+
+
 _EQUALITY = re.compile(r"<(parent|child)>\.`?(\w+)`?\s*=\s*<(parent|child)>\.`?(\w+)`?", re.IGNORECASE)
 
 
@@ -320,28 +363,27 @@ def custom_hierarchy(df: DataFrame, primary_key: list[str], connect_by: str,
 
     levels = _Levels(level1)
     parent_cols, child_cols = equal_columns(connect_by)
-    base = _DealtBase(df, child_cols) if child_cols and set(child_cols) <= set(df.columns) else None
-
-    def expand(frontier: DataFrame, children: DataFrame, level: int) -> DataFrame:
-        return _fresh(frontier, "h").join(_fresh(children, "t"), _pred(connect_by), "inner").select(
-            "t.*", F.lit(level).alias("__level"),
-            *[F.concat(F.col(f"h.__cbp_{f}"), F.lit(d), as_text(f)).alias(f"__cbp_{f}") for f, d in paths],
-            *[F.col(f"h.__cbr_{r}").alias(f"__cbr_{r}") for r in roots])
+    known = bool(child_cols) and set(child_cols) <= set(df.columns)
+    small = known and _is_small(df)
+    base = _DealtBase(df, child_cols) if known and not small else None
+    if small:
+        df = written(df, "base")
 
     level = 2
     while True:
-        step = expand(levels.last(), base.cold if base else df, level)
+        ahead = SMALL_STEPS if small and level + SMALL_STEPS <= max_levels else 1
+        # The anti join needs no distinct on the visited keys.
+        how = (levels.all().select(*primary_key), primary_key, connect_by, src_cols, paths, roots, level, ahead, small)
+        found = _expand(levels.last(), base.cold if base else df, *how)
         if base and base.hot is not None:
-            step = step.unionByName(expand(levels.last().where(base.is_hot(parent_cols)), base.hot, level))
+            found = found.unionByName(_expand(levels.last().where(base.is_hot(parent_cols)), base.hot, *how))
         if level == 2 and not allow_pairs:
-            _check_equi(step, connect_by)
-        # left_anti needs no distinct on the visited keys
-        visited = levels.all().select(*primary_key)
-        if not levels.add(step.join(visited, primary_key, "left_anti").select(*src_cols, *extra)):
+            _check_equi(found, connect_by)
+        if not levels.add(found):
             break
         if level > max_levels:
             raise HierarchyError(f"hierarchy depth increased {max_levels} levels. Check it manually")
-        level += 1
+        level += ahead
     if base:
         base.forget()
     out = levels.all()

@@ -45,12 +45,13 @@ def terms(value: Column, field_type: str) -> Column:
 
 def field_postings(df: DataFrame, id_col: str, field: str, field_type: str) -> DataFrame:
     """``(term, doc_id, tf)`` of one field; ids are unique. The sorted terms of a row are cut into runs: no shuffle."""
-    ordered = df.select(F.col(id_col).alias("doc_id"), F.array_sort(terms(F.col(field), field_type)).alias("t")).where(F.size("t") > 0)
-    first = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
-    runs = F.transform("first", lambda i, k: F.struct(
-        F.get("t", i).alias("term"), (F.coalesce(F.get("first", k + 1), F.size("t")) - i).cast("bigint").alias("tf")))
-    return (ordered.withColumn("first", first).select("doc_id", F.explode(runs).alias("run"))
-            .select("run.term", "doc_id", "run.tf"))
+    t = df.select(F.col(id_col).alias("doc_id"), F.sort_array(terms(F.col(field), field_type)).alias("t")).where(F.size("t") > 0)
+    after = F.concat(F.slice("t", F.lit(2), F.size("t")), F.array(F.lit(None).cast("string")))
+    ends = F.array_compact(F.transform(F.zip_with("t", after, lambda a, b: ~a.eqNullSafe(b)), lambda last, i: F.when(last, i + 1)))
+    t = t.withColumn("ends", ends)
+    tf = F.zip_with("ends", F.slice(F.concat(F.array(F.lit(0)), "ends"), F.lit(1), F.size("ends")), lambda e, before: (e - before).cast("bigint"))
+    runs = F.zip_with(F.array_distinct("t"), tf, lambda term, n: F.struct(term.alias("term"), n.alias("tf")))
+    return t.select("doc_id", F.explode(runs).alias("run")).select("run.term", "doc_id", "run.tf")
 
 
 def postings(df: DataFrame, id_col: str, fields: list[str], types: list[str]) -> DataFrame:
@@ -65,8 +66,11 @@ def postings(df: DataFrame, id_col: str, fields: list[str], types: list[str]) ->
 
 
 def _write_segment(df: DataFrame, index_path: str, id_col: str, fields: dict[str, str]) -> str:
-    """A new segment, one write a field: a task has one open file, and reads the columns of one field only."""
-    name = f"segment-{uuid.uuid4().hex[:12]}"
+    """A new segment, one write a field: a task has one open file, and reads the columns of one field only. An input with fewer
+    tasks than the cluster has cores is small, and is dealt out first."""
+    name, cores = f"segment-{uuid.uuid4().hex[:12]}", df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.select(id_col, *[f for f in fields if f != id_col]).repartition(cores)
     try:
         for f, t in fields.items():
             field_postings(df, id_col, f, t).write.option("compression", "zstd").parquet(f"{index_path}/segments/{name}/field={f}")

@@ -61,13 +61,16 @@ def gc_log_files(spark, sf_dir) -> str:
     return path
 
 
-def load_gc(spark, sf_dir):
-    """The log read and parsed once, rows and rejects."""
-    return load_gc_log(spark, gc_log_files(spark, sf_dir), parse=lambda tagged: G.gc_table(tagged, keep=[REJECT]))
+def load_gc(spark, sf_dir, *columns):
+    """The log read and parsed once, rows (of the given columns, or all) and rejects."""
+    def parse(tagged):
+        parsed = G.gc_table(tagged, keep=[REJECT])
+        return parsed.select(*columns, REJECT) if columns else parsed
+    return load_gc_log(spark, gc_log_files(spark, sf_dir), parse=parse)
 
 
-def gc_lines(spark, sf_dir):
-    return load_gc(spark, sf_dir).rows
+def gc_lines(spark, sf_dir, *columns):
+    return load_gc(spark, sf_dir, *columns).rows
 
 
 GC_CTE = """
@@ -154,7 +157,7 @@ def gc2(spark, sf_dir):
 SELECT gp_segment, CAST(mean_span AS DECIMAL(20, 3)) AS avg_full_gc_interval, CAST(last_span AS DECIMAL(20, 3)) AS full_gc_interval
 FROM spans""")
 def gc3(spark, sf_dir):
-    r = G.full_gc_intervals(gc_lines(spark, sf_dir))
+    r = G.full_gc_intervals(gc_lines(spark, sf_dir, "gp_segment", "is_full", "gc_start"))
     return r.select("gp_segment", F.col("avg_full_gc_interval").cast(DEC).alias("avg_full_gc_interval"),
                     F.col("full_gc_interval").cast(DEC).alias("full_gc_interval"))
 
@@ -190,7 +193,8 @@ SELECT gp_segment, 'fullgc_events', CAST(events AS {DEC}), CAST(5 AS {DEC}), eve
 UNION ALL
 SELECT gp_segment, 'gc_time', CAST(gc_total_runtime AS {DEC}), CAST(300 AS {DEC}), gc_total_runtime > 300 FROM tm""")
 def gc7(spark, sf_dir):
-    return G.gc_alerts(gc_lines(spark, sf_dir), AS_OF)
+    rule_columns = ("is_full", "gc_start", "full_heap_max_size_kb", "full_heap_new_size_kb", "gc_runtime_sec")
+    return G.gc_alerts(gc_lines(spark, sf_dir, "gp_segment", *rule_columns), AS_OF)
 
 
 # ---------------------------------------------------------------- process snapshots from events

@@ -215,3 +215,32 @@ def test_a_round_writes_open_chains_only(spark):
 def test_walks_are_cut_before_the_first_repeat(spark):
     df = spark.createDataFrame([([1, 2, 3],), ([1, 2, 1, 3],), ([5, 5],), ([4],), ([1, 2, 3, 2, 1],)], "seg array<int>")
     assert [r[0] for r in df.select(H._first_repeat_cut(F.col("seg"))).collect()] == [[1, 2, 3], [1, 2], [5], [4], [1, 2, 3]]
+
+
+@pytest.mark.parametrize("steps", [1, 4])
+@pytest.mark.parametrize("limit", ["-1", "10485760"])
+def test_levels_are_the_same_whatever_the_layout(spark, monkeypatch, steps, limit):
+    """One level a job over a dealt base, or several over a broadcast one; cycles, two ways of different length, repeated visits."""
+    rng = random.Random(3)
+    edges = [(i, rng.randint(1, 60), rng.choice("ab{}'")) for i in range(2, 61)] + [(1, 9, "a"), (100, 1, "x"), (100, 2, "y")]
+    df = spark.createDataFrame([(k, *e) for k, e in enumerate(edges)], "k int, id long, p long, v string")
+    monkeypatch.setattr(H, "SMALL_STEPS", steps)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        out = H.custom_hierarchy(df, ["k"], "<parent>.id = <child>.p and <child>.v <> '{'", start_condition="id = 1",
+                                 connect_by_path=[("v", "'{}")], connect_by_root=["k int"])
+        got = sorted((r["k"], r["__level"], r["__cbp_v"], r["__cbr_k"], r["__chier_leaf"]) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    rows = {k: e for k, e in enumerate(edges)}
+    level, seen, want = [(k, e[2], k) for k, e in rows.items() if e[0] == 1], set(), []
+    n = 1
+    while level:
+        want += [(k, n, path, root) for k, path, root in level]
+        seen |= {k for k, _, _ in level}
+        level = [(c, path + "'{}" + e[2], root) for k, path, root in level for c, e in rows.items()
+                 if e[1] == rows[k][0] and e[2] != "{" and c not in seen]
+        n += 1
+    inner = {k for k, *_ in want if any(rows[c][1] == rows[k][0] and rows[c][2] != "{" for c, *_ in want)}
+    assert got == sorted((k, n, path, root, k not in inner) for k, n, path, root in want)
