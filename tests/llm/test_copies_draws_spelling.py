@@ -204,3 +204,59 @@ def test_counted_words_are_brute_force(spark, odd):
             want[w] += len(w) >= 7
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     assert {r["word"]: r["n"] for r in counted_words(df).collect()} == {w: n for w, n in want.items() if n >= 2}
+
+
+def test_decontamination_is_brute_force(spark, monkeypatch):
+    """Random texts over few words, items of all lengths, small stretches and portions, two blocks."""
+    from canopy.llm import decontaminate as D
+
+    monkeypatch.setattr(D, "STRETCH", 7)
+    monkeypatch.setattr(D, "PORTION", 300)
+    monkeypatch.setattr(D, "BLOCK_BYTES", 400)
+    rng = random.Random(6)
+    word = lambda: rng.choice(("a", "b", "Ab", "é", "c1", "漢", "zz"))
+    items = [(f"i\0{k}" if k % 3 else str(k), " ".join(word() for _ in range(rng.choice((0, 1, 2, 3, 4, 5, 9, 14))))) for k in range(40)]
+    items += [(None, "b b b"), ("i", None), ("twice", "a b c1"), ("twice", "c1 b a")]
+    docs = [(k, rng.choice((" ", ",", "\n")).join(word() for _ in range(rng.choice((0, 1, 3, 8, 30, 90))))) for k in range(60)] + [(99, None)]
+    df = spark.createDataFrame([(i, t, "own") for i, t in docs], "doc_id bigint, text string, hits string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = {r["doc_id"]: r for r in D.find_contamination(df, bench, window=4).collect()}
+    for i, t in docs:
+        w, hit, own = D.words_of((t or "").encode()), set(), set()
+        for name, text in items:
+            p = D.words_of((text or "").encode())
+            for s in range(max(1, len(p) - 3) if p else 0):
+                window = p[s:s + 4]
+                for at in range(len(w) - len(window) + 1):
+                    if w[at:at + len(window)] == window:
+                        hit |= set(range(at, at + len(window)))
+                        own.add(name or "")
+        spans = {x for h in got[i]["hits"] for x in range(h["start"], h["start"] + h["length"])}
+        assert (spans, got[i]["items"], got[i]["n_words"]) == (hit, sorted(own), len(w))
+    left = D.decontaminate(df, bench, window=4).collect()
+    assert {r["doc_id"] for r in left} == {i for i in got if not got[i]["hits"]} and all(tuple(r)[2] == "own" for r in left) and left
+
+
+def test_a_large_benchmark_needs_little_memory(tmp_path):
+    """16 MB of items as files of arrays: packing and searching stay below 500 MB in a worker."""
+    import subprocess
+    import sys
+    code = f"""
+import random, resource
+import pyarrow as pa
+from canopy.llm import decontaminate as D
+from canopy.llm.common import write_arrays
+rng = random.Random(1)
+vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(50_000)]
+for block in range(2):
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(60)) for _ in range(21_000)]
+    batch = pa.record_batch([pa.array([f"{{block}}-{{i}}" for i in range(len(texts))]), pa.array(texts)], names=["i", "t"])
+    write_arrays(f"{tmp_path}/{{block}}.arrow", D._pack([batch], 10))
+planted = " ".join(texts[7].split()[20:45])
+del texts, batch
+words = D.Words([(" ".join(rng.choice(vocabulary) for _ in range(2000)) + " " + (planted if i == 5 else "")).encode() for i in range(200)])
+found = [x for b in range(2) for g in D._block(f"{tmp_path}/{{b}}.arrow") for x in g.search(words)]
+print(len(found), found[0][1], resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
+    assert out[:2] == ["16", "1-7"] and int(out[2]) < 500
