@@ -4,14 +4,15 @@ Words become 64-bit hashes; the sorted hashes of the training words are the voca
 Bigrams and trigrams are counted by context: batches of texts send blocks of sorted (context, word, count) to the shards of
 their contexts' hashes, and a shard merges its blocks into one level file:
 
-* the contexts as a monotone sequence (ids of bigram contexts; for trigrams the pair's hash, high bits first);
+* the contexts as a monotone sequence (ids of bigram contexts; for trigrams the number of the pair of ids);
 * monotone pointers to each context's first successor;
 * the successors, relative to their context: ``context rank * vocabulary + word id`` is monotone over the shard.
 
 All three are Elias-Fano coded: low bits packed, high bits in unary. A query finds its context's rank, then the successor
 of ``rank * vocabulary + id`` at or after its place, which is the n-gram if it is equal. Once all counts of counts are
 known, each shard's counts become quantised smoothed probabilities of 8 bits (modified absolute discounting, interpolated
-with the lower order); they lie in arrays of their own beside the structure.
+with the lower order); they lie in arrays of their own beside the structure. The steps go from the least to the greatest value of
+the shard, so the model is the same at every size but for the rounding (half a step in log10).
 
 Scoring is one pass over the texts; every batch asks for its distinct n-grams in sorted order. A task holds its batch and maps files.
 
@@ -40,8 +41,8 @@ END = xxhash.xxh3_64_intdigest(b"\n")  # no word is a line end
 START = xxhash.xxh3_64_intdigest(b"\n\n")
 #: Tokens counted for one shard of a level, and tokens whose n-grams are sorted at a time.
 SHARD, PORTION = 2_000_000, 2_000_000
-#: Step and lower end of the quantised log10 values.
-STEP, LOW = 8 / 255, -8.0
+#: Steps of the quantised log10 values, from the least to the greatest of a shard's level.
+STEPS = 255
 U64 = np.uint64
 
 
@@ -222,7 +223,7 @@ def _ids(texts: pa.Array, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np
 
 def _contexts(ids: np.ndarray, first: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
     """The contexts of each token: the id before it, and the two ids before it (``start`` before a text) as one number,
-    which is exact while the square of the vocabulary is below 2**63 and wraps there."""
+    which is exact while the square of the vocabulary is below 2**63; ``train`` refuses a larger one."""
     one = np.concatenate([[start], ids[:-1]])
     one[first] = start
     two = np.concatenate([[start], one[:-1]])
@@ -341,8 +342,11 @@ def _discounts(n: np.ndarray) -> list[float]:
     return found
 
 
-def quantised(log10: np.ndarray) -> np.ndarray:
-    return np.clip(np.round((log10 - LOW) / STEP), 0, 255).astype(np.uint8)
+def quantised(name: str, log10: np.ndarray) -> dict[str, np.ndarray]:
+    """Arrays of values in 8 bits, with what each of them stands for: the range is that of the data, so none is clipped."""
+    low, high = (float(log10.min()), float(log10.max())) if len(log10) else (0.0, 0.0)
+    step = (high - low) / STEPS or 1.0
+    return {name: np.round((log10 - low) / step).astype(np.uint8), f"{name}_values": 10.0 ** (np.arange(STEPS + 1) * step + low)}
 
 
 def _write_weights(folder: str, discounts: dict[int, list[float]]):
@@ -355,9 +359,9 @@ def _write_weights(folder: str, discounts: dict[int, list[float]]):
                 start = pointers[:-1]
                 taken = np.array([0.0, *discounts[level]])[np.minimum(n, 3).astype(np.int64)]
                 total = np.add.reduceat(n, start)
-                own = np.maximum(n - taken, 1e-9) / np.repeat(total, np.diff(pointers))
+                own = (n - taken) / np.repeat(total, np.diff(pointers))
                 write_arrays(f"{folder}/weights-{level}-{shard:06d}.arrow",
-                             {"p": quantised(np.log10(own)), "w": quantised(np.log10(np.add.reduceat(taken, start) / total))})
+                             quantised("p", np.log10(own)) | quantised("w", np.log10(np.add.reduceat(taken, start) / total)))
             yield batch.select(["shard"])
 
     return write
@@ -386,9 +390,9 @@ class Trie:
                 which = np.cumsum(new) - 1
                 hit = own[known[which]]
                 rank = rank[which[known[which]]]
-                w[hit] = _VALUES[weights["w"][rank]]
+                w[hit] = weights["w_values"][weights["w"][rank]]
                 place, found = sequences["successors"].successor(rank * (self.vocab.words + 1) + word[hit])
-                p[hit[found]] = _VALUES[weights["p"][place[found]]]
+                p[hit[found]] = weights["p_values"][weights["p"][place[found]]]
         return p, w
 
     def probabilities(self, ids: np.ndarray, counts: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -407,10 +411,6 @@ class Trie:
         return found
 
 
-#: What the quantised values stand for.
-_VALUES = 10.0 ** (np.arange(256) * STEP + LOW)
-
-
 def _by_shard(context: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each shard with the places of its contexts, in order."""
     shard = (spread(context) % shards).astype(np.uint16 if shards < 65_536 else np.int64)
@@ -432,6 +432,8 @@ def train(docs: DataFrame) -> Trie:
     spark = docs.sparkSession
     folder = shared_folder(spark, "lm-trie")
     vocab = vocabulary(docs, folder)
+    if (vocab.words + 2) ** 2 >= 1 << 63:
+        raise ValueError(f"{vocab.words} distinct words: pairs of ids no longer fit 63 bits")
     shards = 1 + vocab.tokens // SHARD
     send_code(spark)
     levels = count_levels(docs, vocab, shards).groupBy("level", "shard").applyInArrow(

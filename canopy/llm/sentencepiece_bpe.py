@@ -28,12 +28,19 @@ from canopy.llm.common import add_columns
 SPACE = "▁"
 #: Texts that a worker holds ids of at a time.
 ROWS = 1000
+#: Bytes of the caches of a worker's encoder (stretches and their ids), and known pairs of its compatibility test.
+CACHE_BYTES, KNOWN_PAIRS = 48 << 20, 400_000
+
+
+def _bytes(stretch: str, ids: str) -> int:
+    """About what an entry of a cache takes: two texts and a place in the table."""
+    return 4 * len(stretch) + len(ids) + 200
 
 
 class Encoder:
     """Encodes and decodes with the merge type (BPE) of a SentencePiece model whose normaliser keeps the text as it is."""
 
-    def __init__(self, model_path: str, cached: int = 250_000):
+    def __init__(self, model_path: str, cached: int = CACHE_BYTES, known: int = KNOWN_PAIRS):
         model = SentencePieceProcessor(model_file=model_path)
         if model.normalize("a  ﬁ\tb ") != f"{SPACE}a{SPACE}{SPACE}ﬁ\tb{SPACE}":
             raise ValueError("the model's normaliser changes texts; only identity with a space mark before the text is built")
@@ -65,8 +72,11 @@ class Encoder:
                         for p in self.entries]
         #: Known answers of the compatibility test by the token before; the last one is for no token before.
         self.fits: list[dict[int, bool]] = [{} for _ in range(len(self.entries) + 1)]
-        #: Ids of what follows a space mark (by the text after it), in two halves of bounded size, and of other stretches.
-        self.limit, self.young, self.old, self.inner = cached, {}, {}, {}
+        self.most_known, self.n_known = known, 0
+        #: Ids of what follows a space mark (by the text after it), in two halves, and of other stretches; each of the three has
+        #: a third of the bytes, and a stretch that would take a sixteenth of that isn't kept.
+        self.limit, self.young, self.old, self.inner = cached // 3, {}, {}, {}
+        self.young_bytes = self.inner_bytes = 0
 
     def merged(self, text: str) -> list[str]:
         """The merges themselves, best score first and leftmost first, for the short texts of compatibility tests."""
@@ -85,6 +95,11 @@ class Encoder:
     def _compatible(self, before: int, token: int) -> bool:
         """Whether ``token`` can follow ``before`` (-1: can start)."""
         pair = [self.entries[token]] if before < 0 else [self.entries[before], self.entries[token]]
+        if self.n_known >= self.most_known:
+            for answers in self.fits:
+                answers.clear()
+            self.n_known = 0
+        self.n_known += 1
         known = self.fits[before][token] = self.merged("".join(pair)) == pair
         return known
 
@@ -135,17 +150,25 @@ class Encoder:
             first, *lines = word.split("\n") if "\n" not in self.alphabet else [word]
             ids = self._inner(SPACE + first) if lines else self._ids(SPACE + word)
             ids += "".join(self._inner("\n") + (self._inner(line) if line else "") for line in lines)
-        if len(self.young) >= self.limit:
-            self.old, self.young = self.young, {}
-        self.young[word] = ids
+        size = _bytes(word, ids)
+        if 16 * size <= self.limit:
+            if self.young_bytes + size > self.limit:
+                self.old, self.young, self.young_bytes = self.young, {}, 0
+            self.young[word] = ids
+            self.young_bytes += size
         return ids
 
     def _inner(self, stretch: str) -> str:
         ids = self.inner.get(stretch)
         if ids is None:
-            if len(self.inner) >= self.limit:
-                self.inner.clear()
-            ids = self.inner[stretch] = self._ids(stretch)
+            ids = self._ids(stretch)
+            size = _bytes(stretch, ids)
+            if 16 * size <= self.limit:
+                if self.inner_bytes + size > self.limit:
+                    self.inner.clear()
+                    self.inner_bytes = 0
+                self.inner[stretch] = ids
+                self.inner_bytes += size
         return ids
 
     def coded(self, text: str) -> tuple[str, int]:

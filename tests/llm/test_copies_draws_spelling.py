@@ -260,3 +260,44 @@ print(len(found), found[0][1], resource.getrusage(resource.RUSAGE_SELF).ru_maxrs
 """
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
     assert out[:2] == ["16", "1-7"] and int(out[2]) < 500
+
+
+def test_trie_weights_are_not_clipped(tmp_path):
+    """A context seen billions of times: its rare successors and its back-off weight keep their size, and sums stay one."""
+    import pyarrow as pa
+    from canopy.llm import lm_trie as L
+    from canopy.llm.common import read_arrays, write_arrays
+
+    n = np.array([4_000_000_000, 1, 2, 3, 9_000_000_000_000, 1, 5], np.int64)  # contexts: 4, 2 and 1 successors
+    pointers = np.array([0, 4, 6, 7])
+    write_arrays(f"{tmp_path}/counts-2-000000.arrow", {"n": n})
+    write_arrays(f"{tmp_path}/trie-2-000000.arrow", L.ef_write("pointers", pointers, 8))
+    rows = pa.record_batch([pa.array([2], pa.int32()), pa.array([0], pa.int32())], names=["level", "shard"])
+    list(L._write_weights(str(tmp_path), {2: [0.5, 0.8, 1.1]})([rows]))
+    got = read_arrays(f"{tmp_path}/weights-2-000000.arrow")
+    taken = np.array([0, 0.5, 0.8, 1.1])[np.minimum(n, 3)]
+    total = np.add.reduceat(n, pointers[:-1])
+    want_p = (n - taken) / np.repeat(total, np.diff(pointers))
+    want_w = np.add.reduceat(taken, pointers[:-1]) / total
+    for name, want in (("p", want_p), ("w", want_w)):
+        values = got[f"{name}_values"][got[name]]
+        step = (np.log10(want).max() - np.log10(want).min()) / L.STEPS
+        assert np.abs(np.log10(values) - np.log10(want)).max() <= step / 2 + 1e-9 and values.min() < 1e-11
+    sums = np.add.reduceat(got["p_values"][got["p"]], pointers[:-1]) + got["w_values"][got["w"]]
+    assert np.abs(sums - 1).max() < 0.08
+
+
+def test_encoder_caches_are_bounded_by_bytes():
+    """Text without repeats: the caches and the known pairs stay within their bounds, and ids are still the library's."""
+    import public_tokenizers
+    import sentencepiece
+    from canopy.llm.sentencepiece_bpe import Encoder
+
+    path, rng = public_tokenizers.path("piece_bpe_32k.model"), random.Random(4)
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), Encoder(path, cached=60_000, known=500)
+    signs = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    for k in range(60):
+        text = " ".join("".join(rng.choices(signs, k=rng.choice((3, 20, 200, 3000)))) for _ in range(8)) + "\n" * (k % 3) + "  x"
+        assert own.encode(text) == library.encode(text, add_eos=True)
+        held = [sum(4 * len(a) + len(b) + 200 for a, b in c.items()) for c in (own.young, own.old, own.inner)]
+        assert max(held) <= 20_000 and sum(map(len, own.fits)) <= 500
