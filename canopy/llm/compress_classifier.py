@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm.common import add_columns, as_bytes, map_rows
+from canopy.session import written
 
 BLOCK = 4096
 LEVEL = 3
@@ -93,9 +94,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 1500, blocks_per_la
         share = float(sum(k * n for k, n in total.items()) / sum(total.values())) if total else 0.5
         return Classifier(offset=math.log((share + 1e-9) / (1 - share + 1e-9)))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = [known.where(F.col("label") == k).orderBy(*order).limit(per_label).collect() for k in (0, 1)]
+    # A bound on the hash leaves some 4 * per_label rows of a label before they are put in order.
+    bound = {k: min((1 << 63) - 1, int(min(1.0, 4 * per_label / total[k]) * (1 << 64)) - (1 << 63)) for k in (0, 1)}
+    chosen = [known.where((F.col("label") == k) & (F.xxhash64("doc_id") <= bound[k])).orderBy(*order).limit(per_label).collect() for k in (0, 1)]
     ids = spark.createDataFrame([r for rows in chosen for r in rows], "doc_id bigint, label int")
-    sampled = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most 2 * per_label rows
+    sampled = written(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "labelled")  # at most 2 * per_label rows
 
     def cut(c):
         out = {"label": [], "place": [], "block": []}

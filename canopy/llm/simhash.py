@@ -150,8 +150,10 @@ def links(prints: DataFrame, max_bits: int = 4, leaf: int = LEAF) -> DataFrame:
     """``prints(fp)``, distinct -> ``(a, b)``: links that connect just what is connected at ``max_bits`` bits."""
     spark = prints.sparkSession
     n = prints.count()
-    rows = prints.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
-    sample = np.array([r["fp"] for r in rows], np.int64).view(np.uint64)
+    # Some SAMPLE fingerprints by hash, whatever the number of partitions: a bound on the hash, not the first rows of an order.
+    below = int(min(1.0, SAMPLE / max(1, n)) * (1 << 30))
+    rows = prints.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < below).select("fp").toArrow()
+    sample = np.sort(rows["fp"].to_numpy().astype(np.int64)).view(np.uint64)
     trees = spark.sparkContext.broadcast(
         Trees(sample, min(14, max(0, math.ceil(math.log2(max(1, n) / leaf)))), max_bits))
 
