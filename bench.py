@@ -26,6 +26,7 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "1"))
     scratch = tempfile.mkdtemp(prefix="canopy-bench-", dir="/tmp")
     spark = get_spark(master=f"local[{cpus}]", app="canopy-bench", shuffle_partitions=int(cpus) * 2, extra={
+        "spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "8g"),
         "spark.sql.warehouse.dir": f"{scratch}/warehouse",
         "spark.checkpoint.dir": f"{scratch}/checkpoints",
         "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),

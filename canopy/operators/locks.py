@@ -19,8 +19,8 @@ def _seconds_since(as_of: str, ts: Column) -> Column:
     return ((F.unix_micros(t0) - F.unix_micros(ts.cast("timestamp"))) / 1_000_000).cast("bigint")
 
 
-def locks_all(locks: DataFrame, activity: DataFrame, relations: DataFrame, schemas: DataFrame) -> DataFrame:
-    """Q1. Locks FULL JOIN activity, LEFT JOIN relation and schema; ordered by session, pid, schema, relation.
+def locks_all(locks: DataFrame, activity: DataFrame, relations: DataFrame, schemas: DataFrame, as_of: str) -> DataFrame:
+    """Q1. The read time and locks FULL JOIN activity, LEFT JOIN relation and schema; ordered by session, pid, schema, relation.
 
     The full join is written as locks LEFT JOIN activity plus the activity rows of sessions without
     locks (anti join on the distinct lock sessions): a session holding a third of all locks is then a
@@ -38,7 +38,7 @@ def locks_all(locks: DataFrame, activity: DataFrame, relations: DataFrame, schem
     both = both.alias("l")
     j = (both.join(c, F.col("l.relation") == F.col("c_oid"), "left")
          .join(n, F.col("relnamespace") == F.col("n_oid"), "left"))
-    return j.select("nspname", "relname", "locktype", "transactionid", "pid", "mppsessionid", "mode",
+    return j.select(F.lit(as_of).cast("timestamp_ntz").alias("read_time"), "nspname", "relname", "locktype", "transactionid", "pid", "mppsessionid", "mode",
                     "granted", "usename", "query_start", "backend_start", "client_addr",
                     query_short(F.col("current_query")).alias("query_short"), "current_query") \
         .orderBy("mppsessionid", "pid", "nspname", "relname")

@@ -9,11 +9,12 @@ from canopy.functions.strings import query_collapsed
 
 
 def activity_list(activity: DataFrame, as_of: str, hide_idle: bool = False) -> DataFrame:
-    """B1. Running time, query text with white space collapsed to 80 characters, longest first."""
+    """B1. Database, process, session and user with the running time, query text with white space collapsed to 80 characters, longest first."""
     df = activity.filter(F.col("current_query") != "<IDLE>") if hide_idle else activity
     t0 = F.lit(as_of).cast("timestamp_ntz").cast("timestamp")
     running = ((F.unix_micros(t0) - F.unix_micros(F.col("query_start").cast("timestamp"))) / 1_000_000).cast("bigint")
-    return df.select("sess_id", "usename", running.alias("running_sec"),
+    who = [c for c in ("datname", "procpid") if c in activity.columns]  # a snapshot may lack them
+    return df.select(*who, "sess_id", "usename", running.alias("running_sec"),
                      query_collapsed(F.col("current_query")).alias("query_text")).orderBy(F.desc("running_sec"))
 
 

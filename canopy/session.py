@@ -27,7 +27,6 @@ def get_spark(master: str | None = None, app: str = "canopy", shuffle_partitions
     builder = SparkSession.builder.master(master or f"local[{cpus}]").appName(app)
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or cpus)
-    conf["spark.driver.memory"] = "16g"
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)

@@ -13,7 +13,7 @@ def spark():
     from canopy.session import get_spark
     d = tempfile.mkdtemp(prefix="canopy-test-", dir="/tmp")
     s = get_spark(master="local[*]", shuffle_partitions=8, extra={
-        "spark.sql.warehouse.dir": f"{d}/warehouse", "spark.checkpoint.dir": f"{d}/checkpoints"})
+        "spark.driver.memory": "8g", "spark.sql.warehouse.dir": f"{d}/warehouse", "spark.checkpoint.dir": f"{d}/checkpoints"})
     s.sparkContext.setCheckpointDir(f"{d}/checkpoints")
     yield s
 

@@ -93,7 +93,7 @@ def main(argv):
             names.append(a)
     import __spark_entry__ as E
     from canopy.session import get_spark
-    spark = get_spark(shuffle_partitions=8)
+    spark = get_spark(shuffle_partitions=8, extra={"spark.driver.memory": "8g"})
     con = duck(sf_dir)
     qs, sqls = E.queries(), E.oracle_sql()
     bad = 0

@@ -106,7 +106,7 @@ def _lock_frames(spark):
 
 def test_lock_views(spark):
     frames = _lock_frames(spark)
-    allrows = Q.locks_all(*frames).collect()
+    allrows = Q.locks_all(*frames, "2024-01-01 01:00:00").collect()
     assert len(allrows) == 5  # 4 locks + 1 session without locks (full join)
     b = Q.locks_blockers(*frames, as_of="2024-01-01 01:00:00").collect()
     assert len(b) == 1
