@@ -2,6 +2,19 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the one before it kept. All but the last return the
 columns of ``documents``; ``n_chars`` follows the text.
+
+Defined cases, for every stage: further columns of the input are dropped, so their names can't clash; an empty table gives an
+empty one; a null or empty text has no words; very long texts are read whole; rows that share a ``doc_id`` or are repeated are judged
+each for itself, but where a stage says otherwise. What a stage does with them:
+
+* quality rules: texts without words go (too short), as do all under 50 words; a null language is a language of its own; equal texts
+  are judged alike.
+* line dedup: a null or empty text stays as it is; rows that share a ``doc_id`` count as one document; a null ``doc_id`` comes before all
+  others, so its lines go first.
+* simhash near-dedup: texts without words are one group; of a group the smallest ``doc_id`` stays (null last), of equal ids the smallest
+  fingerprint, and of rows that agree in id and text one.
+* benchmark decontamination: texts without words stay; items without words match nothing.
+* sentencepiece encoding: a null or empty text is the end id alone; every row stays.
 """
 
 from __future__ import annotations

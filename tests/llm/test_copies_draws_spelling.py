@@ -301,3 +301,24 @@ def test_encoder_caches_are_bounded_by_bytes():
         assert own.encode(text) == library.encode(text, add_eos=True)
         held = [sum(4 * len(a) + len(b) + 200 for a, b in c.items()) for c in (own.young, own.old, own.inner)]
         assert max(held) <= 20_000 and sum(map(len, own.fits)) <= 500
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark):
+    """Nulls, empty and very long texts, repeated rows and ids, further columns: defined results, no crash."""
+    import corpus_pipeline as P
+    prose = " ".join(f"word{k % 37}" for k in range(80))
+    rows = [(1, None, "en"), (2, "", None), (3, " \t\n", "en"), (4, prose, "en"), (4, prose, "en"), (5, prose + " end", None), (None, "x", "xx"),
+            (6, "z" * 100_000, "fr"), (7, "Ünï 漢字 \x00 <s> " * 5000, "de")]
+    odd = spark.createDataFrame([(i, t, lang, "s", 1, "mine", "k") for i, t, lang in rows],
+                                "doc_id bigint, text string, lang string, source string, n_chars bigint, hits string, kept string")
+    sf, out = "/root/testdata/sf0.001", {}
+    for name, stage in P.STAGES:
+        found = stage(spark, odd, sf)
+        out[name] = [r.asDict() for r in found.collect()]
+        assert name == P.STAGES[-1][0] or found.columns == P.COLUMNS
+        assert stage(spark, odd.limit(0), sf).count() == 0
+    ids = {name: sorted((r["doc_id"] for r in got), key=lambda x: (x is None, x or 0)) for name, got in out.items()}
+    assert set(ids["quality rules"]) <= {4, 5, 7}
+    assert len(ids["line dedup"]) == len(ids["benchmark decontamination"]) == len(ids["sentencepiece encoding"]) == len(rows)
+    assert ids["simhash near-dedup"].count(4) == 1 and 2 not in ids["simhash near-dedup"] and ids["simhash near-dedup"][0] == 1
+    assert {r["doc_id"]: r["ids"] for r in out["sentencepiece encoding"]}[1] == [2]
