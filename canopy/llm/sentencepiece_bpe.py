@@ -29,7 +29,7 @@ SPACE = "▁"
 #: Texts that a worker holds ids of at a time.
 ROWS = 1000
 #: Bytes of the caches of a worker's encoder (stretches and their ids), and known pairs of its compatibility test.
-CACHE_BYTES, KNOWN_PAIRS = 48 << 20, 400_000
+CACHE_BYTES, KNOWN_PAIRS = 192 << 20, 1_500_000
 
 
 def _bytes(stretch: str, ids: str) -> int:
