@@ -415,14 +415,17 @@ def subtree_nodes(df: DataFrame, id_col: str, parent_col: str, value) -> DataFra
             return levels.all()
 
 
-def subtree(df: DataFrame, id_col: str, parent_col: str, value, limit: int = SUBTREE_ARRAY_LIMIT) -> DataFrame:
-    """H11, array form: one row with the distinct ids as text, sorted as text; error above ``limit``."""
+def subtree(df: DataFrame, id_col: str, parent_col: str, value, limit: int | None = SUBTREE_ARRAY_LIMIT) -> DataFrame:
+    """H11, array form: one row with the distinct ids as text, sorted as text; error above ``limit`` (None: whole subtrees of any
+    size). Ranges of the texts are sorted by many tasks; the last one only puts the sorted runs together."""
     nodes = subtree_nodes(df, id_col, parent_col, value)
-    n = nodes.count()
-    if n > limit:
+    if limit is not None and (n := nodes.count()) > limit:
         raise HierarchyError(f"Target array size is more than {limit} elements ({n})")
-    # bounded by the check above
-    return nodes.agg(F.array_sort(F.collect_list(F.col("id").cast("string"))).alias("subtree"))
+    texts = nodes.select(F.col("id").cast("string").alias("text")).where("text is not null")
+    runs = (texts.repartitionByRange("text").groupBy(F.spark_partition_id().alias("range"))
+            .agg(F.sort_array(F.collect_list("text")).alias("run")))
+    ordered = F.sort_array(F.collect_list(F.struct("range", "run")))
+    return runs.agg(F.flatten(F.transform(ordered, lambda r: r["run"])).alias("subtree"))
 
 
 def parent_values(df: DataFrame, hier_col: str, id_col: str, value_col: str, levels=(1, 2)) -> DataFrame:

@@ -173,7 +173,7 @@ def h11(spark, sf_dir):
 @query("H11_array", _SUBTREE_CTE.format(v=5) + """
 SELECT array_to_string(list_sort(list(CAST(id AS VARCHAR))), ',') AS subtree FROM s""")
 def h11_array(spark, sf_dir):
-    out = H.subtree(part_tree(spark, sf_dir), "p_partkey", "parent", 5)
+    out = H.subtree(part_tree(spark, sf_dir), "p_partkey", "parent", 5, limit=None)  # the whole list, as the SQL has it
     return out.select(F.array_join("subtree", ",").alias("subtree"))
 
 

@@ -244,3 +244,16 @@ def test_levels_are_the_same_whatever_the_layout(spark, monkeypatch, steps, limi
         n += 1
     inner = {k for k, *_ in want if any(rows[c][1] == rows[k][0] and rows[c][2] != "{" for c, *_ in want)}
     assert got == sorted((k, n, path, root, k not in inner) for k, n, path, root in want)
+
+
+def test_subtree_array_of_a_whole_large_table(spark, tmp_dir):
+    """The registered query returns subtrees of more than the 100,000 ids that the operator's default allows."""
+    from canopy.plans.hier import h11_array
+    n = 520_000
+    spark.range(n).selectExpr("id AS p_partkey", "'x' AS p_name", "1 AS p_size").write.parquet(f"{tmp_dir}/part.parquet")
+    want, level = [], [5]
+    while level:
+        want += level
+        level = [c for i in level for c in (2 * i, 2 * i + 1) if c < n]
+    assert len(want) > H.SUBTREE_ARRAY_LIMIT
+    assert [r[0] for r in h11_array(spark, tmp_dir).collect()] == [",".join(sorted(map(str, want)))]
