@@ -23,6 +23,8 @@ HIER_DEPTH_LIMIT = 100        # levels of H1 / H9 (a path may hold limit + 1 ele
 SUBTREE_ARRAY_LIMIT = 100000  # H11 array form
 HOT_FROM = 100_000            # open chains from which hot ancestors are looked for
 SMALL_STEPS = 4               # levels that one job expands while the base is small enough to be broadcast
+SMALL_ROWS = 100_000          # a base of more rows is dealt, whatever its size in bytes: each job would send it through the driver
+FEW_ROWS = 10_000             # levels and visited rows above this are joined by a shuffle, as a broadcast is sent through the driver
 
 
 class HierarchyError(RuntimeError):
@@ -172,13 +174,13 @@ def refresh_hierarchy_unsafe(df: DataFrame, id_col: str, parent_col: str, no_cyc
 class _Levels:
     """The levels of an expansion, each written once as Parquet into the shared folder. All of them are one scan that
     reads only the columns in use, and the planner knows the size of the last: it broadcasts a small frontier, so that
-    the base is streamed and not shuffled."""
+    the base is streamed and not shuffled. The rows of the last and of all are known; above ``FEW_ROWS`` none is broadcast."""
 
     def __init__(self, df: DataFrame):
         self.spark, self.schema = df.sparkSession, df.schema
         self.folder = scratch_path(self.spark, "levels")
         self.paths: list[str] = []
-        self.written = 0
+        self.written = self.rows = self.last_rows = 0
         self.add(df)
 
     def add(self, df: DataFrame) -> bool:
@@ -190,6 +192,8 @@ class _Levels:
         if self.paths and not seen.get["n"]:
             return False
         self.paths.append(path)
+        self.last_rows = seen.get["n"]
+        self.rows += self.last_rows
         return True
 
     def last(self) -> DataFrame:
@@ -245,6 +249,11 @@ def _is_small(df: DataFrame) -> bool:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
 
 
+def _shuffled(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` for a join that must not broadcast it if it has more than a few rows."""
+    return df.hint("merge") if rows > FEW_ROWS else df
+
+
 def _quoted(text: str) -> str:
     return "'" + _plain(text.replace("\\", "\\\\").replace("'", "\\'")) + "'"
 
@@ -255,8 +264,9 @@ def _plain(text: str) -> str:
 
 
 def _expand(frontier: DataFrame, base: DataFrame, visited: DataFrame, primary_key: list[str], connect_by: str, columns: list[str],
-            paths: list[tuple[str, str]], roots: list[str], level: int, steps: int, broadcast: bool) -> DataFrame:
-    """``steps`` levels from ``level`` on, below the rows of ``frontier`` in the level before, in one statement.
+            paths: list[tuple[str, str]], roots: list[str], level: int, steps: int, hint: str = "", visited_hint: str = "") -> DataFrame:
+    """``steps`` levels from ``level`` on, below the rows of ``frontier`` in the level before, in one statement. ``hint`` is for the
+    join of the frontier ``h`` with the base ``t``, ``visited_hint`` for the one with the visited rows ``v``.
 
     With several steps rows are reached along all walks, and of each row only the visits of its earliest level stay: a walk that
     goes on from a later visit reaches its rows one step after they were reached from the earlier one, so none of its rows
@@ -266,12 +276,11 @@ def _expand(frontier: DataFrame, base: DataFrame, visited: DataFrame, primary_ke
     own += [f"concat(h.`__cbp_{f}`, {_quoted(d)}, coalesce(CAST(t.`{f}` AS STRING), '')) AS `__cbp_{f}`" for f, d in paths]
     own += [f"h.`__cbr_{r}`" for r in roots]
     same = " AND ".join(f"x.`{k}` = v.`{k}`" for k in primary_key)
-    hint = "/*+ BROADCAST(t) */ " if broadcast else ""
     parts = [f"s{level - 1} AS (SELECT * FROM {{frontier}} WHERE __level = {level - 1})"]
     for n in range(level, level + steps):
         chosen = ", ".join(own).replace("<level>", str(n))
         joined = f"SELECT {hint}{chosen} FROM s{n - 1} h JOIN {{base}} t ON ({predicate})"
-        parts.append(f"s{n} AS (SELECT x.* FROM ({joined}) x LEFT ANTI JOIN {{visited}} v ON {same})")
+        parts.append(f"s{n} AS (SELECT {visited_hint}x.* FROM ({joined}) x LEFT ANTI JOIN {{visited}} v ON {same})")
     every = " UNION ALL ".join(f"SELECT * FROM s{n}" for n in range(level, level + steps))
     if steps > 1:
         keys = ", ".join(f"`{k}`" for k in primary_key)
@@ -365,18 +374,21 @@ def custom_hierarchy(df: DataFrame, primary_key: list[str], connect_by: str,
     parent_cols, child_cols = equal_columns(connect_by)
     known = bool(child_cols) and set(child_cols) <= set(df.columns)
     small = known and _is_small(df)
-    base = _DealtBase(df, child_cols) if known and not small else None
-    if small:
+    if small:  # in bytes of its files; what a broadcast takes goes by rows
         df = written(df, "base")
+        small = df.count() <= SMALL_ROWS
+    base = _DealtBase(df, child_cols) if known and not small else None
 
     level = 2
     while True:
         ahead = SMALL_STEPS if small and level + SMALL_STEPS <= max_levels else 1
         # The anti join needs no distinct on the visited keys.
-        how = (levels.all().select(*primary_key), primary_key, connect_by, src_cols, paths, roots, level, ahead, small)
-        found = _expand(levels.last(), base.cold if base else df, *how)
+        how = (levels.all().select(*primary_key), primary_key, connect_by, src_cols, paths, roots, level, ahead)
+        visited_hint = "/*+ MERGE(v) */ " if levels.rows > FEW_ROWS else ""
+        hint = "/*+ BROADCAST(t) */ " if small else "/*+ MERGE(h) */ " if levels.last_rows > FEW_ROWS else ""
+        found = _expand(levels.last(), base.cold if base else df, *how, hint, visited_hint)
         if base and base.hot is not None:
-            found = found.unionByName(_expand(levels.last().where(base.is_hot(parent_cols)), base.hot, *how))
+            found = found.unionByName(_expand(levels.last().where(base.is_hot(parent_cols)), base.hot, *how, "", visited_hint))
         if level == 2 and not allow_pairs:
             _check_equi(found, connect_by)
         if not levels.add(found):
@@ -390,10 +402,10 @@ def custom_hierarchy(df: DataFrame, primary_key: list[str], connect_by: str,
 
     if not leaf:
         return out.select(*src_cols, *extra)
-    parents = (_fresh(out, "h").join(_fresh(out, "t"), _pred(connect_by), "left_semi")
+    parents = (_fresh(out, "h").join(_shuffled(_fresh(out, "t"), levels.rows), _pred(connect_by), "left_semi")
                .select(*[F.col(f"h.{k}").alias(k) for k in primary_key]).distinct()
                .withColumn("__nonleaf", F.lit(True)))
-    res = out.join(parents, primary_key, "left").withColumn("__chier_leaf", F.col("__nonleaf").isNull())
+    res = out.join(_shuffled(parents, levels.rows), primary_key, "left").withColumn("__chier_leaf", F.col("__nonleaf").isNull())
     return res.select(*src_cols, "__level", "__chier_leaf",
                       *[f"__cbp_{f}" for f, _ in paths], *[f"__cbr_{r}" for r in roots])
 
@@ -407,10 +419,10 @@ def subtree_nodes(df: DataFrame, id_col: str, parent_col: str, value) -> DataFra
     levels = _Levels(spark.range(1).select(F.lit(value).cast(df.schema[id_col].dataType).alias("id")))
     while True:
         last = levels.last().withColumnRenamed("id", "parent")
-        below = base.cold.join(last, "parent", "left_semi")
+        below = base.cold.join(_shuffled(last, levels.last_rows), "parent", "left_semi")
         if base.hot is not None:
             below = below.unionByName(base.hot.join(last.where(base.is_hot(["parent"])), "parent", "left_semi"))
-        if not levels.add(below.select("id").distinct().join(levels.all(), "id", "left_anti")):
+        if not levels.add(below.select("id").distinct().join(_shuffled(levels.all(), levels.rows), "id", "left_anti")):
             base.forget()
             return levels.all()
 

@@ -257,3 +257,25 @@ def test_subtree_array_of_a_whole_large_table(spark, tmp_dir):
         level = [c for i in level for c in (2 * i, 2 * i + 1) if c < n]
     assert len(want) > H.SUBTREE_ARRAY_LIMIT
     assert [r[0] for r in h11_array(spark, tmp_dir).collect()] == [",".join(sorted(map(str, want)))]
+
+
+@pytest.mark.parametrize("small", [100_000, 10])
+def test_large_levels_and_bases_are_not_broadcast(spark, monkeypatch, small):
+    """Above the bounds in rows no base, level or visited set goes through the driver, though all are small in bytes."""
+    df = spark.range(1, 200).selectExpr("id", "id div 2 AS p", "CAST(id % 7 AS string) AS v")
+    want = sorted((i, i.bit_length(), 2 * i > 199, "/".join(str(i >> k) for k in range(i.bit_length() - 1, -1, -1))) for i in range(1, 200))
+    expand, plans = H._expand, []
+
+    def kept(*args):
+        found = expand(*args)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(H, "SMALL_ROWS", small, raising=False)
+    monkeypatch.setattr(H, "FEW_ROWS", 0 if small == 10 else 10_000, raising=False)
+    monkeypatch.setattr(H, "_expand", kept)
+    out = H.custom_hierarchy(df, ["id"], "<parent>.id = <child>.p", start_condition="id = 1", connect_by_path=[("id", "/")])
+    assert sorted((r["id"], r["__level"], r["__chier_leaf"], r["__cbp_id"]) for r in out.collect()) == want
+    assert any("Broadcast" in p for p in plans) == (small != 10)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString() or small != 10
+    assert sorted(r["id"] for r in H.subtree_nodes(df, "id", "p", 1).collect()) == list(range(1, 200))
