@@ -204,11 +204,13 @@ def _histograms(counts: DataFrame, buckets: int) -> DataFrame:
     # A range holds the rows of few columns: at most ranges + columns rows, broadcast.
     upto = F.sum("n").over(Window.partitionBy("column_name", "pid").orderBy("num"))
     placed = ranged.withColumn("upto", upto).join(F.broadcast(offsets), ["column_name", "pid"])
-    last = F.col("before") + F.col("upto")
-    wanted = lambda k: F.greatest(F.lit(1), F.ceil(k * F.col("total") / buckets))
-    hits = F.filter(F.sequence(F.lit(0), F.lit(buckets)), lambda k: (wanted(k) <= last) & (wanted(k) > last - F.col("n")))
-    return (placed.select("column_name", "num", F.explode(hits).alias("k")).groupBy("column_name")
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "num"))), lambda b: b["num"]).alias("histogram_bounds")))
+    # Bound k is wanted by the row with the least place of at least k/buckets of the rows: up to place p these are 0 to p * buckets
+    # div total (none up to place 0), so a row answers those that its places add, mostly none.
+    placed = placed.select("column_name", "num", "n", "total", (F.col("before") + F.col("upto")).alias("last"))
+    ended = F.when(F.col("last") == F.col("n"), -1).otherwise(F.expr(f"(last - n) * {buckets} div total"))
+    hits = (placed.select("column_name", "num", (ended + 1).alias("k1"), F.expr(f"last * {buckets} div total").alias("k2"))
+            .where("k1 <= k2").select("column_name", "num", F.explode(F.sequence("k1", "k2")).alias("k")))
+    return (hits.groupBy("column_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "num"))), lambda b: b["num"]).alias("histogram_bounds")))
 
 
 SKETCH_TOP, SKETCH_K, SKETCH_HLL = 1_000, 800, 14
@@ -221,18 +223,22 @@ def column_sketches(df: DataFrame, columns: list[str] | None = None, parts: list
     Kept as a table, they give the statistics of any union of parts by ``merged_stats`` without reading the table again;
     when a partition is loaded or replaced, only its rows are made anew."""
     parts = list(parts or [])
+    names = columns or [c for c in df.columns if c not in parts]
+    place = {c: k for k, c in enumerate(names)}
+    # The text of a value is made once, below the aggregate, and not by each of its sketches.
+    rows = df.select(*[F.col(f"`{p}`") for p in parts], *[F.col(f"`{c}`").alias(f"__v{k}") for c, k in place.items()],
+                     *[F.col(f"`{c}`").cast("string").alias(f"__t{k}") for c, k in place.items()])
 
     def sketch(c: str) -> Column:
-        col = F.col(f"`{c}`")
-        text = col.cast("string")
+        col, text = F.col(f"__v{place[c]}"), F.col(f"__t{place[c]}")
         numeric = df.schema[c].dataType.typeName() in NUMERIC
         return F.struct(
             F.lit(c).alias("column_name"), F.count(F.lit(1)).alias("n"), F.count_if(col.isNull()).alias("nulls"),
             F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).cast("bigint").alias("bytes"), F.hll_sketch_agg(text, SKETCH_HLL).alias("distinct"),
             (F.kll_sketch_agg_double(col.cast("double"), SKETCH_K) if numeric else F.lit(None).cast("binary")).alias("quantiles"),
-            F.expr(f"approx_top_k_accumulate(CAST(`{c}` AS STRING), {SKETCH_TOP})").alias("common"))
+            F.expr(f"approx_top_k_accumulate(__t{place[c]}, {SKETCH_TOP})").alias("common"))
 
-    one = df.groupBy(*parts).agg(F.array(*[sketch(c) for c in columns or [c for c in df.columns if c not in parts]]).alias("s"))
+    one = rows.groupBy(*parts).agg(F.array(*[sketch(c) for c in names]).alias("s"))
     return one.select(*parts, F.explode("s").alias("s")).select(*parts, "s.*")
 
 

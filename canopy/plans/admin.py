@@ -190,12 +190,13 @@ def c6_merged(spark, sf_dir):
     merged = C.merged_stats(spark.read.parquet(path))
     exact = C.column_stats(li, C6_COLS, mcv=1, buckets=200, exact=True).select("column_name", F.col("n_distinct").alias("d"), F.col("histogram_bounds").alias("fine"))
     both = merged.join(exact, "column_name")
-    # Bound k of ten lies between the exact bounds 2 % below and above it in rank.
-    inside = F.forall(F.sequence(F.lit(0), F.lit(10)), lambda k: F.get("histogram_bounds", k).between(
-        F.get("fine", F.greatest(20 * k - 4, F.lit(0))), F.get("fine", F.least(20 * k + 4, F.lit(200)))))
+    # Bound k of ten lies between the exact bounds 2 % below and above it in rank. Inside a lambda a bare name may be a session variable's.
+    bounds, fine = both["histogram_bounds"], both["fine"]
+    inside = F.forall(F.sequence(F.lit(0), F.lit(10)), lambda k: F.get(bounds, k).between(
+        F.get(fine, F.greatest(20 * k - 4, F.lit(0))), F.get(fine, F.least(20 * k + 4, F.lit(200)))))
     return both.select("column_name", "n", F.col("null_frac").cast("double").alias("null_frac"), F.col("avg_width").cast("decimal(12,4)").alias("avg_width"),
                        F.col("d").alias("n_distinct"), (F.abs(F.col("n_distinct") - F.col("d")) <= 0.05 * F.col("d")).alias("distinct_within_5_percent"),
-                       F.when(F.col("fine").isNotNull(), inside).alias("bounds_within_2_percent"))
+                       F.when(fine.isNotNull(), inside).alias("bounds_within_2_percent"))
 
 
 @query("C7", """

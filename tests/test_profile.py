@@ -115,3 +115,31 @@ def test_exact_bounds_are_discrete_quantiles(spark):
     got = {r["column_name"]: r["histogram_bounds"] for r in C.column_stats(df, buckets=4, exact=True).collect()}
     own = sorted(v for v in values if v is not None)
     assert got["n"] == [float(own[max(1, -(-k * len(own) // 4)) - 1]) for k in range(5)] and got["s"] is None
+
+
+def test_histogram_bounds_by_place_without_a_loop_over_bounds(spark):
+    """Each value answers the bounds that its places add: heavy values many, most values none, with fewer rows than bounds too."""
+    columns = {"heavy": {1.0: 5, 2.0: 9_000, 7.0: 1, 8.0: 994}, "few": {3.0: 1, 1.0: 1, 2.0: 1}, "one": {4.0: 7}, "many": {float(k): 1 + k % 3 for k in range(701)}}
+    rows = [(c, v, n) for c, d in columns.items() for v, n in d.items()]
+    found = C._histograms(spark.createDataFrame(rows, "column_name string, num double, n bigint"), 200)
+    assert "filter(sequence" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["column_name"]: r["histogram_bounds"] for r in found.collect()}
+    for c, d in columns.items():
+        values = [v for v in sorted(d) for _ in range(d[v])]
+        assert got[c] == [values[max(1, -(-k * len(values) // 200)) - 1] for k in range(201)], c
+
+
+def test_merged_query_beside_a_session_variable_of_a_column_s_name(spark, tmp_dir):
+    from canopy.plans.admin import c6_merged
+    spark.range(2_000).selectExpr("id div 4 AS l_orderkey", "id % 90 AS l_partkey", "id % 7 AS l_suppkey", "CAST(id % 4 AS int) AS l_linenumber",
+                                  "CAST(id % 50 AS double) AS l_quantity", "id * 1.5D AS l_extendedprice", "0.1D AS l_discount", "0.02D AS l_tax", "'N' AS l_returnflag",
+                                  "'O' AS l_linestatus", "TIMESTAMP_NTZ '1996-09-13 00:00:00' AS l_shipdate").write.parquet(f"{tmp_dir}/lineitem.parquet")
+    for name in ("fine", "histogram_bounds"):
+        spark.sql(f"DECLARE OR REPLACE VARIABLE {name} STRING DEFAULT '1.5'")
+    try:
+        got = {r["column_name"]: r for r in c6_merged(spark, tmp_dir).collect()}
+    finally:
+        for name in ("fine", "histogram_bounds"):
+            spark.sql(f"DROP TEMPORARY VARIABLE {name}")
+    assert len(got) == 11 and got["l_orderkey"]["n_distinct"] == 500 and all(r["distinct_within_5_percent"] for r in got.values())
+    assert got["l_extendedprice"]["bounds_within_2_percent"] is True and got["l_returnflag"]["bounds_within_2_percent"] is None
