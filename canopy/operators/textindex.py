@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from canopy import store
 
 TOKEN_SPLIT = r"[^\p{L}\p{M}\p{N}_]+"  # letters, marks and digits of any script
+TERM_RUN = r"([^ ]+)(?: \1(?= |$))*+"  # possessive: a plain repeat of this group recurses in Java, once for each repeated term
 POSTINGS = "term string, doc_id bigint, tf bigint, field string"
 BITMAP_IDS, BITMAP_BYTES = 32_768, 4_096  # of Spark's bitmap functions
 
@@ -39,19 +40,20 @@ def terms(value: Column, field_type: str) -> Column:
     """Terms of one field value: text types are lower-cased and split on non-word characters,
     other types are one term (the value as text)."""
     if field_type.lower().startswith("text"):
-        return F.filter(F.split(F.lower(value), TOKEN_SPLIT), lambda t: t != "")
+        return F.array_remove(F.split(F.lower(value), TOKEN_SPLIT), "")
     return F.when(value.isNotNull(), F.array(value.cast("string"))).otherwise(F.array().cast("array<string>"))
 
 
 def field_postings(df: DataFrame, id_col: str, field: str, field_type: str) -> DataFrame:
-    """``(term, doc_id, tf)`` of one field; ids are unique. The sorted terms of a row are cut into runs: no shuffle."""
-    t = df.select(F.col(id_col).alias("doc_id"), F.sort_array(terms(F.col(field), field_type)).alias("t")).where(F.size("t") > 0)
-    after = F.concat(F.slice("t", F.lit(2), F.size("t")), F.array(F.lit(None).cast("string")))
-    ends = F.array_compact(F.transform(F.zip_with("t", after, lambda a, b: ~a.eqNullSafe(b)), lambda last, i: F.when(last, i + 1)))
-    t = t.withColumn("ends", ends)
-    tf = F.zip_with("ends", F.slice(F.concat(F.array(F.lit(0)), "ends"), F.lit(1), F.size("ends")), lambda e, before: (e - before).cast("bigint"))
-    runs = F.zip_with(F.array_distinct("t"), tf, lambda term, n: F.struct(term.alias("term"), n.alias("tf")))
-    return t.select("doc_id", F.explode(runs).alias("run")).select("run.term", "doc_id", "run.tf")
+    """``(term, doc_id, tf)`` of one field; ids are unique. No shuffle: the sorted terms of a row, joined by spaces (no term of a text
+    has one), are cut into runs of one term, whose number follows from the lengths. No function of this runs a lambda for each term."""
+    value, doc = F.col(field), F.col(id_col).alias("doc_id")
+    if not field_type.lower().startswith("text"):
+        return df.where(value.isNotNull()).select(value.cast("string").alias("term"), doc, F.lit(1).cast("bigint").alias("tf")).where("term is not null")
+    sorted_terms = F.array_join(F.sort_array(terms(value, field_type)), " ")
+    runs = df.select(doc, F.explode(F.regexp_extract_all(sorted_terms, F.lit(TERM_RUN), F.lit(0))).alias("run"))
+    return (runs.select(F.substring_index("run", " ", 1).alias("term"), "doc_id", F.octet_length("run").alias("bytes"))
+            .select("term", "doc_id", F.expr("CAST((bytes + 1) div (octet_length(term) + 1) AS BIGINT)").alias("tf")))
 
 
 def postings(df: DataFrame, id_col: str, fields: list[str], types: list[str]) -> DataFrame:

@@ -118,3 +118,20 @@ def test_terms_are_counted_without_a_shuffle(spark):
     post = X.postings(df, "doc_id", ["text"], ["text"])
     assert sorted((r["doc_id"], r["term"], r["tf"]) for r in post.collect()) == [(1, "a", 2), (1, "b", 3), (1, "c", 1), (4, "z", 1)]
     assert "Exchange" not in post._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_are_counted_without_a_lambda_for_each_term(spark):
+    """Terms that begin alike, one term 200,000 times in a row, other scripts, null and empty texts; other types are one term."""
+    import collections
+    texts = {1: "a ab a_b ab. A b; aa AA aaa a", 2: "the " * 200_000 + "then the_ THE", 3: "Été été ÉTÉ, नमस्ते \U00010437\U00010437 \U0001040f \U0001040f", 4: None, 5: "", 6: " ., \n", 7: "x\ny\r\nx x"}
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    found = X.field_postings(df, "doc_id", "text", "text_intl")
+    assert "lambdafunction" not in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = found.collect()
+    got = {(r["doc_id"], r["term"]): r["tf"] for r in rows}
+    split = df.where("text <> ''").select("doc_id", F.explode(X.terms(F.col("text"), "text")).alias("t")).collect()
+    assert got == collections.Counter((r["doc_id"], r["t"]) for r in split) and len(rows) == len(got)
+    assert got[2, "the"] == 200_001 and got[1, "a"] == 3 and got[1, "ab"] == 2 and got[3, "été"] == 3 and got[7, "x"] == 3
+    assert {k for k, _ in got} == {1, 2, 3, 7}
+    plain = X.field_postings(df, "doc_id", "text", "string").where("doc_id <> 2").collect()
+    assert {r["doc_id"]: (r["term"], r["tf"]) for r in plain} == {k: (t, 1) for k, t in texts.items() if t is not None and k != 2}
